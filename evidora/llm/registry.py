@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidora.llm import quality
+from evidora.llm import quality, urlfilter, warc
 from evidora.llm.common import table
 
 
@@ -10,6 +10,14 @@ def op4_quality_classifier(spark, sf_dir):
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_url_filter(spark, sf_dir):
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op7_warc(spark, sf_dir):
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
