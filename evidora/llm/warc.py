@@ -6,8 +6,8 @@ is the declared length of the bytes that follow.  :func:`parse_arc` reads by
 those declarations.  Each record becomes a WARC response, or a revisit of the
 record that holds the same payload, with synthesised identifier, date and
 digests.  A WARC record ends with two line breaks, so Spark's text writer with
-that separator writes valid archives straight to the shared folder; the reader
-goes by each record's Content-Length.
+that separator writes valid archives straight to the shared folder, compressed
+with gzip; the reader goes by each record's Content-Length.
 
 Cases: null html is an empty payload; a null URL is written as ``-`` and white
 space or control characters in a URL are percent-encoded; payloads under 100
@@ -18,6 +18,7 @@ revisits only what a row with an id holds.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -145,7 +146,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
                     made[i] = warc_record(header, content, cols[0][i], cols[3][i])
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["value"])
 
-    marked.mapInArrow(convert, "value string").write.option("lineSep", BREAK * 2).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    marked.mapInArrow(convert, "value string").write.option("lineSep", BREAK * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 def read_archives(spark, path: str) -> DataFrame:
@@ -155,7 +156,7 @@ def read_archives(spark, path: str) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 out: list[list] = [[] for _ in range(7)]
-                for fields, block in parse_warc(b.column("content")[i].as_py() or b""):
+                for fields, block in parse_warc(gzip.decompress(b.column("content")[i].as_py())):
                     digest, n = fields["WARC-Payload-Digest"].removeprefix("sha256:"), int(fields["Payload-Length"])
                     if fields["WARC-Type"] == "response":
                         payload = block.partition(b"\r\n\r\n")[2]
