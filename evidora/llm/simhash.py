@@ -275,11 +275,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> Da
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """One row of each group, that with the smallest doc_id; rows that share it are copies, of which one stays.
+    """One row of each group, that with the smallest doc_id.
 
-    Rows without a doc_id stay where no row of their group has one (one of them).
+    A doc_id names a document: of rows that repeat it one stays.  Rows without a doc_id all stay.
     """
     found = near_duplicates(docs, words, bits)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return named
+    return named.unionByName(docs.where("doc_id is null"))
