@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidora.llm import quality, simhash, urlfilter, warc
+from evidora.llm import quality, simhash, substring, urlfilter, warc
 from evidora.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op7_warc(spark, sf_dir):
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    return substring.dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
