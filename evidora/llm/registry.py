@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidora.llm import quality, simhash, substring, urlfilter, warc
+from evidora.llm import decontaminate, quality, simhash, substring, urlfilter, warc
 from evidora.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op8_suffix_dedup(spark, sf_dir):
     return substring.dedup_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
