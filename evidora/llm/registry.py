@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from evidora.llm import decontaminate, quality, simhash, substring, urlfilter, warc
+from pyspark.sql import functions as F
+
+from evidora.llm import decontaminate, mixing, quality, simhash, substring, topk, urlfilter, warc
 from evidora.llm.common import table
 
 
+def op1_mixing(spark, sf_dir):
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+def op2_topk_search(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_quality_classifier(spark, sf_dir):
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 

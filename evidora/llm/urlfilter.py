@@ -1,20 +1,21 @@
 """URL filter: rules for hosts and paths, and a character language-model ratio for the rest.
 
 URLs that a rule decides are the labelled examples.  Two variable-order Markov
-models over characters, one of accepted and one of rejected URLs, are counted
-with DataFrame operations: each context of up to four characters keeps its
-counts in one of a fixed number of hashed slots, so a model is a table of
-bounded size whatever the input.  The probability of a character interpolates
-all orders, ``p_k = (n(context, c) + s * p_(k-1)) / (n(context) + s)``.  A URL's
-score is the difference of its log-likelihoods over its length; a threshold
-calibrated on labelled URLs that the models have not counted decides.
+models over characters, one of accepted and one of rejected URLs, are tables of
+counts: every gram of a character and its context of up to four characters, from
+all labelled URLs but a fifth.  The probability of a character interpolates all
+orders, ``p_k = (n(context, c) + s * p_(k-1)) / (n(context) + s)``, so unseen
+contexts fall back on shorter ones.  The log-ratio is worked out once for each
+distinct gram of the corpus by joins with these tables; a URL's score is the mean
+over its characters, calibrated on the labelled URLs that were not counted.
 
 Everything is DataFrame functions; there is no Python on the executors.
 
 Cases: a null URL, an empty one and one without ``://`` have empty host and
-path, fit no rule and are judged on their whole string (null: as empty, which
-scores 0 and is allowed); without both classes of labelled URLs the method
-allows; a null page_id is judged like any other; repeated rows are each judged.
+path, fit no rule and are judged on their whole string (null: as empty, whose
+ratio is 0); without both classes of labelled URLs the method allows; a null
+page_id is judged like any other; equal URLs are judged once and all get the
+verdict; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,16 +28,15 @@ from pyspark.sql import functions as F
 from evidora.llm.common import staged
 
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
-ORDERS = 5            # longest gram: a character and up to four before it
-SLOTS = 8192          # hashed counts of each gram length
+ORDER = 5             # longest gram: a character and up to four before it
 SMOOTHING = 2.0
+START = "\x02"        # stands before the first character
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def host_and_path(url: Column) -> tuple[Column, Column]:
-    at = F.instr(url, "://")
-    rest = F.when(at > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
-    return F.coalesce(F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), UPPER, LOWER), F.lit("")), F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
+def host_and_path(url: str) -> tuple[Column, Column]:
+    rest = F.expr(f"coalesce(case when instr({url}, '://') > 0 then substring({url}, instr({url}, '://') + 3) end, '')")
+    return F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), UPPER, LOWER), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
 def matching_rule(host: Column, path: Column, rules) -> tuple[Column, Column]:
@@ -49,71 +49,53 @@ def matching_rule(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return name, says
 
 
-def _slot(gram: Column, length) -> Column:
-    """1-based place of a gram among ORDERS x SLOTS counts."""
-    return (F.lit(length) - 1) * SLOTS + F.pmod(F.xxhash64(gram), F.lit(SLOTS)).cast("int") + 1
-
-
-def count_models(labelled: DataFrame) -> list[tuple[int, int]]:
-    """(accepted, rejected) counts of all slots; ``labelled`` has text and ``accepted``.  ORDERS x SLOTS rows, whatever the input."""
-    grams = None
-    for n in range(1, ORDERS + 1):
-        of_n = F.transform(F.when(F.length("text") >= n, F.sequence(F.lit(1), F.length("text") - (n - 1))).otherwise(F.array().cast("array<int>")),
-                           lambda i, n=n: _slot(F.col("text").substr(i, F.lit(n)), n))
-        grams = of_n if grams is None else F.concat(grams, of_n)
-    counted = (labelled.select("accepted", F.explode(grams).alias("slot")).groupBy("slot")
-               .agg(F.count_if("accepted").alias("a"), F.count_if(~F.col("accepted")).alias("r")).collect())
-    counts = [(0, 0)] * (ORDERS * SLOTS)
-    for row in counted:
-        counts[row.slot - 1] = (row.a, row.r)
-    return counts
-
-
-def log_ratio(text: Column, counts: list[tuple[int, int]]) -> Column:
-    """log P(text | accepted) - log P(text | rejected), over the number of characters."""
-    table = [F.split(F.lit(",".join(str(c[side]) for c in counts)), ",").cast("array<long>") for side in (0, 1)]
-    total = [float(sum(c[side] for c in counts[:SLOTS])) for side in (0, 1)]
-
-    def at(i):
-        def step(acc, k):
-            gram, context = _slot(text.substr(i - k, k + 1), k + 1), _slot(text.substr(i - k, k), k)
-            p = []
-            for side, name in enumerate("ar"):
-                seen = F.when(k == 0, F.lit(total[side])).otherwise(F.element_at(table[side], F.greatest(context, F.lit(1))).cast("double"))
-                p.append(((F.element_at(table[side], gram) + SMOOTHING * acc[name]) / (seen + SMOOTHING)).alias(name))
-            return F.struct(*p)
-
-        orders = F.sequence(F.lit(0), F.least(F.lit(ORDERS - 1), i - 1))
-        return F.aggregate(orders, F.struct(F.lit(1 / 256).alias("a"), F.lit(1 / 256).alias("r")), step, lambda p: F.log(p["a"]) - F.log(p["r"]))
-
-    places = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(F.transform(places, at), F.lit(0.0), lambda s, x: s + x) / F.greatest(F.length(text), F.lit(1))
-
-
-def calibrated(labelled: DataFrame, counts) -> tuple[float, float]:
-    """Slope and offset of P(accepted) as a logistic function of the ratio: equal-variance normal classes of the labelled URLs."""
-    rows = {r.accepted: r for r in labelled.select("accepted", log_ratio(F.col("text"), counts).alias("x")).groupBy("accepted")
-            .agg(F.avg("x").alias("m"), F.var_pop("x").alias("v"), F.count("*").alias("n")).collect()}
-    if True not in rows or False not in rows:
+def gram_ratios(grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """gram and log P(its last character | accepted) - log P(... | rejected) for all of ``grams``; counts has gram, a and r."""
+    total = counts.agg(F.sum("a").alias("a"), F.sum("r").alias("r")).first()
+    out = grams.withColumns({"pa": F.lit(1 / 256), "pr": F.lit(1 / 256)})
+    for k in range(1, ORDER + 1):
+        def summed(start: int, length: int, name: str):
+            key = F.substring("gram", start, length)
+            return counts.groupBy(key.alias("key")).agg(F.sum("a").alias(f"a_{name}"), F.sum("r").alias(f"r_{name}"))
+
+        out = out.withColumn("key", F.substring("gram", ORDER - k + 1, k)).join(summed(ORDER - k + 1, k, "n"), "key", "left").drop("key")
+        if k > 1:
+            out = out.withColumn("key", F.substring("gram", ORDER - k + 1, k - 1)).join(summed(ORDER - k + 1, k - 1, "c"), "key", "left").drop("key")
+        else:
+            out = out.withColumns({"a_c": F.lit(total.a), "r_c": F.lit(total.r)})
+        out = out.select("gram", *((F.coalesce(f"{x}_n", F.lit(0)) + SMOOTHING * F.col(f"p{x}")).__truediv__(F.coalesce(f"{x}_c", F.lit(0)) + SMOOTHING).alias(f"p{x}") for x in "ar"))
+    return out.select("gram", (F.log("pa") - F.log("pr")).alias("ratio"))
+
+
+def calibrated(labelled: DataFrame) -> tuple[float, float]:
+    """Slope and offset of P(accepted) as a logistic function of the ratio: equal-variance normal classes; has ratio, a and r."""
+    s = labelled.agg(*(f(x).alias(f"{n}{x}") for x in "ar" for n, f in (
+        ("n", F.sum), ("m", lambda w: F.sum(F.col(w) * F.col("ratio"))), ("v", lambda w: F.sum(F.col(w) * F.col("ratio") * F.col("ratio")))))).first()
+    if not s.na or not s.nr:
         return 1.0, 0.0
-    a, r = rows[True], rows[False]
-    spread = max((a.v * a.n + r.v * r.n) / (a.n + r.n), 1e-6)
-    slope = (a.m - r.m) / spread
-    return slope, math.log(a.n / r.n) - slope * (a.m + r.m) / 2
+    ma, mr = s.ma / s.na, s.mr / s.nr
+    spread = max((s.va - s.na * ma * ma + s.vr - s.nr * mr * mr) / (s.na + s.nr), 1e-6)
+    slope = (ma - mr) / spread
+    return slope, math.log(s.na / s.nr) - slope * (ma + mr) / 2
 
 
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and the method's ``score``, the calibrated probability that the URL is accepted."""
-    host, path = host_and_path(F.col("url"))
+    host, path = host_and_path("url")
     split = pages.select("page_id", "url").withColumns({"host": host, "path": path})
     rule, says = matching_rule(F.col("host"), F.col("path"), rules)
-    judged = split.withColumns({"rule": rule, "says": says, "text": F.coalesce(F.regexp_replace("url", "^[A-Za-z]+://", ""), F.lit(""))})
-    judged = staged(judged.drop("url"), "urls")
-    labelled = judged.where("says is not null").select("text", (F.col("says") == "allow").alias("accepted"), (F.pmod(F.xxhash64("text"), F.lit(5)) == 0).alias("fresh"))
-    counts = count_models(labelled.where("not fresh"))
-    slope, offset = calibrated(labelled.where("fresh"), counts)
-    both = all(sum(c[side] for c in counts) for side in (0, 1))
-    ratio = log_ratio(F.col("text"), counts) if both else F.lit(0.0)
-    score = 1 / (1 + F.exp(-(slope * ratio + offset))) if both else F.lit(1.0)
-    return (judged.withColumn("score", score)
+    judged = split.withColumns({"rule": rule, "says": says, "text": F.coalesce(F.regexp_replace("url", "^[A-Za-z]+://", ""), F.lit(""))}).drop("url")
+    texts = staged(judged.groupBy("text").agg(F.count_if(F.col("says") == "allow").alias("a"), F.count_if(F.col("says") == "block").alias("r"))
+                   .select(F.monotonically_increasing_id().alias("id"), "text", "a", "r", (F.pmod(F.xxhash64("text"), F.lit(5)) == 0).alias("fresh")), "urls")
+    seen = texts.where("not fresh").agg(F.sum("a").alias("a"), F.sum("r").alias("r")).first()
+    if not seen.a or not seen.r:
+        return judged.select("page_id", "host", "path", "rule", F.coalesce("says", F.lit("allow")).alias("verdict"), F.lit(1.0).alias("score"))
+    padded = F.concat(F.lit(START * (ORDER - 1)), F.col("text"))
+    grams = texts.where("text != ''").select("id", "a", "r", "fresh", F.explode(F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: padded.substr(i, F.lit(ORDER)))).alias("gram"))
+    counts = staged(grams.where("not fresh and a + r > 0").groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r")), "grams")
+    ratios = gram_ratios(grams.select("gram").distinct(), counts)
+    means = grams.select("id", "gram").join(ratios, "gram").groupBy("id").agg(F.avg("ratio").alias("ratio"))
+    scored = staged(texts.join(means, "id", "left").withColumn("ratio", F.coalesce("ratio", F.lit(0.0))), "ratios")
+    slope, offset = calibrated(scored.where("fresh and a + r > 0"))
+    return (judged.join(scored.select("text", (1 / (1 + F.exp(-(slope * F.col("ratio") + offset)))).alias("score")), "text")
             .select("page_id", "host", "path", "rule", F.coalesce("says", F.when(F.col("score") >= 0.5, "allow").otherwise("block")).alias("verdict"), "score"))
