@@ -61,14 +61,14 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, per_class: int, max_chars: int) -> list:
-    """At most ``per_class`` labelled texts of each class, cut at ``max_chars``: the bounded sample a classifier is fitted on.
+    """At most ``per_class`` labelled texts of each class, each of at most ``max_chars`` characters: the bounded sample a classifier is fitted on.
 
     The rows are those with the smallest hash of doc_id among ``train``, so the choice does not depend on partitions.
     A doc_id labelled twice counts once, with its larger label.
     """
     known = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & F.coalesce(train, F.lit(False)))
              .groupBy("doc_id").agg(F.max(label).cast("int").alias("y")))
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, max_chars).alias("text"))
+    texts = docs.where(F.length("text") <= max_chars).select("doc_id", "text")
     chosen = None
     for y in (0, 1):
         # 2 x per_class ids are few and bounded, so they can be broadcast.

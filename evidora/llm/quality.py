@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from evidora.llm.common import crc_mod, fit_logistic, labelled_sample, sigmoid
 
 PER_CLASS = 1500      # labelled texts of each class that the model is fitted on, at most
-TRAIN_CHARS = 8192    # characters of each such text, at most (scoring reads whole texts)
+TRAIN_CHARS = 20000   # longer labelled texts are not in the sample (all texts are scored whole)
 DICTIONARY_BYTES = 112640
 LEVEL = 1
 

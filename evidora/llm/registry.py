@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidora.llm import decontaminate, mixing, quality, simhash, substring, topk, urlfilter, warc
+from evidora.llm import decontaminate, mixing, quality, simhash, substring, topk, toxicity, urlfilter, warc
 from evidora.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op4_quality_classifier(spark, sf_dir):
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_url_filter(spark, sf_dir):
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
 
