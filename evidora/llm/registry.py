@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidora.llm import decontaminate, mixing, quality, simhash, substring, topk, toxicity, urlfilter, warc
+from evidora.llm import decontaminate, html_text, mixing, quality, simhash, substring, topk, toxicity, urlfilter, warc
 from evidora.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_topk_search(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op3_html_text(spark, sf_dir):
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_classifier(spark, sf_dir):
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
