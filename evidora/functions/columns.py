@@ -51,6 +51,12 @@ def first_rule(text: Column, rules, default=None) -> Column:
 
 
 def shingles(text: Column, n: int = 3) -> Column:
-    """Distinct runs of n words of the lower-case text; none if it has fewer."""
+    """Distinct runs of n words of the lower-case text; none if it has fewer.
+
+    The words are zipped with themselves moved on, because a lambda would split the text anew for every run.
+    """
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    return F.array_distinct(F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>")))
+    runs = words
+    for i in range(2, n + 1):
+        runs = F.zip_with(runs, F.slice(words, i, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_distinct(F.filter(runs, lambda r: r.isNotNull()))
