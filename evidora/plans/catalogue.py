@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from evidora.plans import dedup, evidence, governance, operations, reporting, search, texts  # noqa: F401  they register their queries
+from evidora.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

@@ -116,10 +116,10 @@ CANDIDATES_SQL = f"metric_candidate AS (SELECT {_sql(CANDIDATE)} FROM orders)"
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").where("c_custkey < 420").select(*_columns(METRIC))
+    return table(spark, sf_dir, "customer").select(*_columns(METRIC))
 
 
-METRICS_SQL = f"metric_definition AS (SELECT {_sql(METRIC)} FROM customer WHERE c_custkey < 420)"
+METRICS_SQL = f"metric_definition AS (SELECT {_sql(METRIC)} FROM customer)"
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
