@@ -136,6 +136,8 @@ def align(item: str, text: str, diagonal: int, e: int) -> tuple[int, int]:
         new[:-1] = np.minimum(new[:-1], row[1:] + 1)
         new[-1] = min(new[-1], far)
         row = np.minimum.accumulate(new - steps) + steps
+        if i % 8 == 7 and row.min() > e:  # it never falls again
+            return e + 1, 0
     d = int(row.argmin())
     return int(row[d]), min(len(text), max(0, low + d + len(a)))
 
