@@ -11,7 +11,8 @@ Learning: labelled texts are bags of words of which at least one is toxic in a
 toxic text.  Words are mapped by the kernel with landmark words through the
 inverse root of the landmarks' kernel matrix (Nyström), and a linear machine with
 squared hinge loss is trained on them, in rounds that choose each toxic text's
-worst word and each clean text's worst words anew.  As kernel and map are linear
+worst word and each clean text's worst words anew; words that many toxic texts
+have and hardly any clean one are always among the toxic.  As kernel and map are linear
 in the subsequences, the whole machine is one weight for each of them, a vector
 of fixed size.  A logistic calibration on labelled texts of which the machine has
 seen nothing turns the worst word's margin into a probability.
@@ -35,11 +36,12 @@ from pyspark.sql import functions as F
 
 from evidora.llm.common import crc_mod, fit_logistic, labelled_sample, sigmoid
 
-PER_CLASS = 2000      # labelled texts of each class that the model is fitted on, at most
+PER_CLASS = 1200      # labelled texts of each class that the model is fitted on, at most
 TRAIN_CHARS = 20000   # longer labelled texts are not in the sample (all texts are scored whole)
 LANDMARKS = 256
-ROUNDS = 4
+ROUNDS = 5
 DECAY = 0.6
+CLEAN_MASS = 10000     # weight of all clean examples together; that of the toxic ones is 1000
 RADIX = 64            # symbols: 0 none, a-z, 0-9, and 27 shared by all other letters
 PIECE, STRIDE = 24, 12
 PATTERNS = [(a, b) for b in range(2, 5) for a in range(1, b)]  # places of the second and third character after the first
@@ -105,6 +107,16 @@ def feature_rows(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _dense(features, used: np.ndarray) -> np.ndarray:
+    """The columns ``used`` of some feature rows."""
+    out = np.zeros((len(features), len(used)), np.float32)
+    for i, (codes, values) in enumerate(features):
+        at = np.minimum(np.searchsorted(used, codes), len(used) - 1)
+        known = used[at] == codes
+        out[i, at[known]] = values[known]
+    return out
+
+
 def pieces(word: str) -> list[str]:
     if len(word) <= PIECE:
         return [word]
@@ -203,30 +215,35 @@ def fit_weights(texts: list[str], y: np.ndarray) -> np.ndarray:
 
     rows = np.bincount(word, y[text], len(words)), np.bincount(word, 1 - y[text], len(words))
     evidence = (np.log((rows[0] + 0.1) / n1) - np.log((rows[1] + 0.1) / n0)) * np.sqrt(rows[0])
+    # So often among the toxic, and so seldom elsewhere, that hardly one word of this vocabulary would be so by chance.
+    chance = np.log(8 * max((rows[0] + rows[1] >= 8).sum(), 1)) / np.log((n0 + n1) / n1)
+    telling = (rows[0] >= max(chance, n1 / 100)) & (rows[0] / n1 >= 20 * (rows[1] + 0.1) / n0)
+    mined = np.zeros(0, np.int64)
     for _ in range(ROUNDS):
         margin = margins(words, weights)
         order = np.lexsort((-margin[word], text))
         rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
         t, w = text[order], word[order]
-        chosen = np.where(y[t] == 1, rank < 1, (rank < 4) | (rank % 97 == 50))
+        chosen = np.where(y[t] == 1, (rank < 1) | telling[w], (rank < 4) | (rank % 97 == 50))
         positive, negative = w[chosen & (y[t] == 1)], w[chosen & (y[t] == 0)]
+        mined = negative = np.r_[mined, negative]  # a clean word that once looked toxic stays an example
         wanted = [np.argsort(-evidence, kind="stable")[:LANDMARKS // 2], np.unique(positive, return_counts=True), np.unique(negative, return_counts=True)]
         marks = list(dict.fromkeys([*wanted[0].tolist(), *(c.tolist()[i] for c, n in wanted[1:] for i in np.argsort(-n, kind="stable")[:LANDMARKS // 4].tolist())]))
         features = feature_rows([words[i] for i in marks])
-        dense = np.zeros((len(marks), RADIX**3), np.float32)
-        for i, (c, v) in enumerate(features):
-            dense[i, c] = v
-        value, vector = np.linalg.eigh((dense @ dense.T).astype(float))
+        used = np.unique(np.concatenate([c for c, _ in features]))
+        landmarks = _dense(features, used)
+        value, vector = np.linalg.eigh((landmarks @ landmarks.T).astype(float))
         root = vector @ np.diag(np.where(value > 1e-6, 1 / np.sqrt(np.maximum(value, 1e-6)), 0)) @ vector.T
 
         instances = np.r_[np.unique(positive), np.unique(negative)]
         counts = np.r_[np.unique(positive, return_counts=True)[1], np.unique(negative, return_counts=True)[1]].astype(float)
         sign = np.r_[np.ones(len(np.unique(positive))), -np.ones(len(np.unique(negative)))]
-        for label in (1, -1):
-            counts[sign == label] /= max(counts[sign == label].sum(), 1) / 1000
-        kernel = np.stack([margins([words[i] for i in instances], d) for d in dense], axis=1)
+        for label, mass in ((1, 1000), (-1, CLEAN_MASS)):
+            counts[sign == label] /= max(counts[sign == label].sum(), 1) / mass
+        kernel = np.concatenate([_dense(feature_rows([words[i] for i in instances[a:a + 512]]), used) @ landmarks.T for a in range(0, len(instances), 512)]).astype(float)
         machine = train_machine(kernel @ root, sign, counts)
-        weights = ((root @ machine[:-1]) @ dense).astype(np.float32)
+        weights = np.zeros(RADIX**3, np.float32)
+        weights[used] = (root @ machine[:-1]) @ landmarks
     return weights
 
 
