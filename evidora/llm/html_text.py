@@ -34,7 +34,7 @@ SMOOTHING = 0.5       # observations that a frequency starts with, spread as in
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|select|textarea|button|title|object)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
+    r"|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|</?[a-zA-Z][^<>]*\Z|[^<]+|<", re.S | re.I)
 ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav "
                    "ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -89,7 +89,7 @@ def parse(page: str) -> list[Node]:
     for m in TOKEN.finditer(page):
         raw, end, tag, rest = m[1], m[2], m[3], m[4]
         if tag is None:
-            if raw is None and m[0][0] != "<" or m[0] == "<":
+            if m[0][0] != "<" or m[0] == "<":
                 if not in_head:
                     text = html.unescape(m[0])
                     parts.append(text)
