@@ -22,7 +22,7 @@ def duck(small):
 
 
 def plain(value):
-    if value is None or (isinstance(value, float) and math.isnan(value)) or str(value) == "NaT":
+    if value is None or (isinstance(value, float) and math.isnan(value)) or str(value) in ("NaT", "<NA>"):
         return None
     kind = type(value).__name__
     if kind in ("bool", "bool_"):
