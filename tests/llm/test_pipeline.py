@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import duckdb
+import pytest
+
 import corpus_pipeline
-from evidora.llm import decontaminate, quality, simhash, substring
+from evidora.llm import decontaminate, quality, registry, simhash, substring
 from evidora.llm.common import crc_mod, staged, table
 
 
@@ -33,3 +36,14 @@ def test_stages_take_effect(spark):
     assert kept["quality classifier"] < 200 and docs.select("doc_id").distinct().count() > 50
     whole = corpus_pipeline.run(spark, sf)
     assert sorted(map(tuple, whole.select("doc_id", "mix_epoch").collect())) == sorted(map(tuple, docs.select("doc_id", "mix_epoch").collect()))
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_sql_gives_the_same_rows(spark, small, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"create view {t} as select * from read_parquet('{small}/{t}.parquet')")
+    want = con.sql(registry.oracle_sql()[name])
+    got = registry.queries()[name](spark, small)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
