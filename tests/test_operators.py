@@ -108,3 +108,32 @@ def test_entry_and_queries_without_the_optional_package(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).columns and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_files_zips_and_reports(spark, tmp_path):
+    import io
+    import zipfile
+
+    from evidora.sources import files
+
+    def zipped(members):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, data in members.items():
+                z.writestr(name, data)
+        return out.getvalue()
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.zip").write_bytes(zipped({"x.txt": "one", "__MACOSX/y": "no", "d/z.md": "two"}))
+    (tmp_path / "in" / "broken.zip").write_bytes(b"PK nothing")
+    (tmp_path / "in" / "._a.zip").write_bytes(b"junk")
+    (tmp_path / "in" / "t.docx").write_bytes(zipped({"word/document.xml": '<w:p><w:r><w:t>A &amp; </w:t><w:t xml:space="preserve">B</w:t></w:r></w:p><w:p></w:p><w:p><w:t>C</w:t></w:p>'}))
+    found = files.folder(spark, str(tmp_path / "in"))
+    assert found.count() == 3
+    members = {r.path.rsplit("!", 1)[-1]: r for r in files.zip_members(found).collect()}
+    assert bytes(members["x.txt"].content) == b"one" and bytes(members["d/z.md"].content) == b"two" and any(r.error for r in members.values()) and len(members) == 3
+    assert [r.text for r in files.office_text(found).collect()] == ["A & B\nC"]
+    files.write_report(spark.createDataFrame([(1, 'a "b", c')], "i int, t string"), str(tmp_path / "out"))
+    assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "out/csv")).first().t == 'a "b", c'
+    art = spark.createDataFrame([("body", 'a "q"', None)], "b string, t string, n string").select(files.markdown_artifact(F.col("b"), title=F.col("t"), none=F.col("n"))).first()[0]
+    assert art == '---\ntitle: "a \\"q\\""\n---\n\nbody'
