@@ -9,7 +9,7 @@ share theirs and form one segment.  The steps:
    key; a bucket returns a bit map of the keys that came more than once.  The
    map has at most ``MAP_BITS`` bits.  It only spares sending segments that
    cannot match; when it fills up more segments are sent and nothing is lost.
-2. Segments meet by key.  Equal ones are collapsed.  Each distinct segment is a
+2. Segments meet by 40 bits of their key.  Equal ones are collapsed.  Each distinct segment is a
    shard with a transform of its own; all shards of a block are merged by
    refining their interleave: a pass puts the order of all rotations right for
    one more pair of leading bytes, by a stable distribution on the pair of bytes
@@ -32,8 +32,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WINDOW = 50
 GRAM = 20             # 16 to 32; windows share a key for about WINDOW - GRAM positions
@@ -55,8 +57,8 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
         h = left * _M[1] + (right ^ (right >> np.uint64(29))) * _M[2]
         h ^= h >> np.uint64(32)
         k *= 2
-    j = GRAM - 16
-    h = h[:len(h) - j] * _M[3] + h[j:] * _M[4]
+    if j := GRAM - 16:
+        h = h[:-j] * _M[3] + h[j:] * _M[4]
     h ^= h >> np.uint64(31)
     h *= _M[1]
     h ^= h >> np.uint64(29)
@@ -243,11 +245,17 @@ def removed_windows(table: pa.Table, carried):
     return [np.concatenate(x) for x in zip(*spans, strict=True)], kept
 
 
-def removed_spans(docs: DataFrame) -> DataFrame:
-    """doc, tag (a hash of the text) and ``spans`` of every row that loses bytes; a span is start * 2^32 + stop."""
+def survey(docs: DataFrame) -> tuple[int, Column]:
+    """Bytes of all texts, and what tells rows apart that share a doc_id: a hash of the text if any do, else nothing."""
+    of_doc = docs.groupBy("doc_id").agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes"))
+    seen = of_doc.agg(F.sum("bytes").alias("bytes"), F.max("rows").alias("rows")).first()
+    return seen.bytes or 0, F.hash("text") if (seen.rows or 0) > 1 else F.lit(0)
+
+
+def removed_spans(docs: DataFrame, total: int, tag: Column) -> DataFrame:
+    """doc, tag and ``spans`` of every row that loses bytes; a span is start * 2^32 + stop."""
     spark = docs.sparkSession
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.hash("text").alias("tag"), "text")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), tag.alias("tag"), "text")
     bitmap, buckets, each = repeated_keys(docs, total)
     shared = spark.sparkContext.broadcast(bitmap)
 
@@ -264,7 +272,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
                     continue
                 row, at, count = row[seen], at[seen], count[seen]
                 segments = [texts[i][a:z] for i, a, z in zip(row.tolist(), at.tolist(), (at + count + WINDOW - 1).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(key[seen].view(np.int64)), pa.array(doc[row]), pa.array(tag[row]), pa.array(at), pa.array(segments, pa.binary())],
+                yield pa.RecordBatch.from_arrays([pa.array((key[seen] >> np.uint64(24)).astype(np.int64)), pa.array(doc[row]), pa.array(tag[row]), pa.array(at), pa.array(segments, pa.binary())],
                                                  ["key", "doc", "tag", "at", "segment"])
 
     def judge(batches):
@@ -306,8 +314,25 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    spans = removed_spans(docs).select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
-    return docs.join(spans, (F.col("doc_id") == F.col("__doc")) & (F.hash("text") == F.col("__tag")), "left").drop("__doc", "__tag")
+    """The rows with their spans as ``__spans``; texts are compressed for the way, to bytes."""
+    known = docs.where("doc_id is not null")
+    total, tag = survey(known)
+    spans = removed_spans(docs, total, tag).select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
+
+    def pack(batches):
+        press = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            at = b.schema.get_field_index("text")
+            yield b.set_column(at, "text", pa.array([None if t is None else press.compress(t.encode()) for t in b.column("text").to_pylist()], pa.binary()))
+
+    schema = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType) for f in docs.schema]).add("__own", "integer")
+    packed = docs.withColumn("__own", tag).mapInArrow(pack, schema)
+    return packed.join(spans, (F.col("doc_id") == F.col("__doc")) & (F.col("__own") == F.col("__tag")), "left").drop("__doc", "__tag", "__own")
+
+
+def _unpacked(b) -> list[bytes | None]:
+    press = zstandard.ZstdDecompressor()
+    return [None if t is None else press.decompress(t) for t in b.column("text").to_pylist()]
 
 
 def dedup_digest(docs: DataFrame) -> DataFrame:
@@ -317,7 +342,8 @@ def dedup_digest(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for text, spans in zip(_texts(b), b.column("__spans").to_pylist(), strict=True):
+            for text, spans in zip(_unpacked(b), b.column("__spans").to_pylist(), strict=True):
+                text = text or b""
                 gone = merge_spans(spans)
                 rows.append((len(text), sum(z - a for a, z in gone), len(gone), hashlib.sha256(kept_bytes(text, gone)).hexdigest()))
             made = list(zip(*rows, strict=True)) or [[], [], [], []]
@@ -336,10 +362,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for i, spans in enumerate(b.column("__spans").to_pylist()):
-                if spans:
-                    texts[i] = kept_bytes(texts[i].encode(), merge_spans(spans)).decode(errors="ignore")
+            texts = [None if t is None else kept_bytes(t, merge_spans(spans)).decode(errors="ignore") for t, spans in zip(_unpacked(b), b.column("__spans").to_pylist(), strict=True)]
             at = b.schema.get_field_index("text")
             yield b.drop_columns(["__spans"]).set_column(at, "text", pa.array(texts, pa.string()))
 
