@@ -197,17 +197,28 @@ def smallest_holder(segments: list[bytes], doc: np.ndarray) -> np.ndarray:
 
 
 def holders(key: np.ndarray, segments: list[bytes], doc: np.ndarray) -> np.ndarray:
-    """As smallest_holder, for segments in order of their key, block by block; a key is never cut."""
-    cuts = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)].tolist()
-    sizes = np.cumsum([0, *map(len, segments)])
-    out, a = [], 0
-    while a < len(cuts) - 1:
-        b = a + 1
-        while b < len(cuts) - 1 and sizes[cuts[b + 1]] - sizes[cuts[a]] < MERGE_BYTES:
-            b += 1
-        out.append(smallest_holder(segments[cuts[a]:cuts[b]], doc[cuts[a]:cuts[b]]))
-        a = b
-    return np.concatenate(out)
+    """As smallest_holder, for segments in order of their key, block by block; a key is never cut.
+
+    The transform of a key's only segment has none to be merged with: its windows are its own.
+    """
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    count = np.diff(np.r_[first, len(key)])
+    windows = np.fromiter(map(len, segments), np.int64, len(segments)) - WINDOW + 1
+    base = np.cumsum(windows) - windows
+    out = np.repeat(doc, windows)
+    several = np.flatnonzero(count > 1).tolist()
+    part: list[int] = []
+    size = 0
+    for n, i in enumerate(several):
+        part.extend(range(first[i], first[i] + count[i]))
+        size += int(windows[first[i]:first[i] + count[i]].sum()) + int(count[i]) * WINDOW
+        if size >= MERGE_BYTES or n == len(several) - 1:
+            at = np.array(part)
+            n_windows = windows[at]
+            place = np.repeat(base[at] - (np.cumsum(n_windows) - n_windows), n_windows) + np.arange(n_windows.sum())
+            out[place] = smallest_holder([segments[j] for j in part], doc[at])
+            part, size = [], 0
+    return out
 
 
 def removed_windows(table: pa.Table, carried):
