@@ -18,7 +18,10 @@ share theirs and form one segment.  The steps:
    more in common are the repeated intervals, and the smallest doc_id of each says
    which windows go.  A key with more rows than a block takes carries its distinct
    segments on to the next block.
-3. The removed spans join the documents.
+3. Keys with more than ``HOT_ROWS`` segments are not judged by one task.  Their equal segments are collapsed on the map
+   side; of the distinct ones, windows whose hash comes in several meet by hash and bytes, again on the map side first,
+   and what goes joins the segments by a splittable join.
+4. The removed spans join the documents.
 
 Cases: a null or empty text has no bytes; texts under 50 bytes lose none; a row
 without doc_id keeps all its bytes and counts for no other; rows that repeat a
@@ -37,27 +40,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidora.llm.common import staged
+
 WINDOW = 50
 GRAM = 20             # 16 to 32; windows share a key for about WINDOW - GRAM positions
 PIECE = 1 << 21       # bytes whose keys are computed at once
 MAP_BITS = 1 << 28    # of the map that is broadcast, at most (32 MB)
 BUCKET_KEYS = 1 << 20
 BLOCK_ROWS = 30000    # rows that a task judges at once
+HOT_ROWS = 8192       # of one key; above, its rows are spread
+COUNTED = 8           # a task reports how often a key came if more often than this, so a count lacks at most this for each task
 MERGE_BYTES = 1 << 17
 END = 0xFF            # a byte that UTF-8 never has ends a segment
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of each gram of GRAM bytes, built by doubling."""
+def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """A hash of each gram of ``size`` bytes, built by doubling."""
     h, k = (data.astype(np.uint64) + np.uint64(1)) * _M[0], 1
-    while k < 16:
+    while k * 2 <= size:
         left, right = h[:-k], h[k:]
         h = left * _M[1] + (right ^ (right >> np.uint64(29))) * _M[2]
         h ^= h >> np.uint64(32)
         k *= 2
-    if j := GRAM - 16:
+    if j := size - k:
         h = h[:-j] * _M[3] + h[j:] * _M[4]
     h ^= h >> np.uint64(31)
     h *= _M[1]
@@ -109,16 +116,41 @@ def _texts(b) -> list[bytes]:
     return [(t or "").encode() for t in b.column("text").to_pylist()]
 
 
-def repeated_keys(docs: DataFrame, total: int) -> tuple[np.ndarray, int, int]:
-    """A bit map of keys that may occur in more than one row, and the binary logarithms of its buckets and of the bits of each."""
-    buckets = min(20, max(4, int(np.ceil(np.log2(max(total * 0.07 / BUCKET_KEYS, 1))))))
-    bits = int(np.ceil(np.log2(min(max(total * 0.1, 1 << 20), MAP_BITS))))
+def segment_keys(b):
+    for key, row, _, _ in keyed_segments(_texts(b)):
+        yield key, row
+
+
+def coded(key: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each key and its low 32 bits."""
+    return ((key >> np.uint64(32)) & np.uint64((1 << buckets) - 1)) << np.uint64(32) | key & np.uint64(0xFFFFFFFF)
+
+
+def marked(bits: np.ndarray, code: np.ndarray, each: int) -> np.ndarray:
+    place = ((code >> np.uint64(32)) << np.uint64(each) | (code & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - each)).astype(np.int64)
+    return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def repeated_keys(rows: DataFrame, keys_of, expected: float) -> tuple[np.ndarray, int, int, np.ndarray]:
+    """A bit map of keys that may occur in more than one row, the binary logarithms of its buckets and of the bits of each, and hot keys.
+
+    ``keys_of`` gives pairs of arrays, the keys and their rows, of a batch.  Hot keys are coded, in order; there are at most
+    1 / HOT_ROWS as many as keys.
+    """
+    buckets = min(20, max(4, int(np.ceil(np.log2(max(expected / BUCKET_KEYS, 1))))))
+    bits = int(np.ceil(np.log2(min(max(expected / 0.7, 1 << 20), MAP_BITS))))
     each = max(bits - buckets, 8)
 
+    def by_bucket(code, values):
+        order = np.argsort(code >> np.uint64(32), kind="stable")
+        bucket, values = (code[order] >> np.uint64(32)).astype(np.int32), values[order]
+        edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        return pa.array(bucket[edges]), pa.array([values[a:b].tobytes() for a, b in zip(edges, np.r_[edges[1:], len(values)], strict=True)], pa.binary())
+
     def send(batches):
         keys, rows, n = [], [], 0
         for b in batches:
-            for key, row, _, _ in keyed_segments(_texts(b)):
+            for key, row in keys_of(b):
                 keys.append(key)
                 rows.append(row + n)
             n += b.num_rows
@@ -129,26 +161,122 @@ def repeated_keys(docs: DataFrame, total: int) -> tuple[np.ndarray, int, int]:
         key, row = key[order], row[order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         many = np.maximum.reduceat(row, first) != np.minimum.reduceat(row, first)
-        sent = np.repeat(key[first], 1 + many)  # twice: it has come more than once already
-        bucket = ((sent >> np.uint64(32)) & np.uint64((1 << buckets) - 1)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        low, bucket = sent[order].astype(np.uint32), bucket[order]
-        edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        packed = [low[a:b].tobytes() for a, b in zip(edges, np.r_[edges[1:], len(low)], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[edges]), pa.array(packed, pa.binary())], ["bucket", "keys"])
+        sent = coded(np.repeat(key[first], 1 + many), buckets)  # twice: it has come more than once already
+        bucket, packed = by_bucket(sent, sent.astype(np.uint32))
+        yield pa.RecordBatch.from_arrays([bucket, packed, pa.nulls(len(bucket), pa.binary())], ["bucket", "keys", "counts"])
+        times = np.diff(np.r_[first, len(key)])
+        often = times > COUNTED
+        if often.any():
+            sent = coded(key[first][often], buckets)
+            bucket, packed = by_bucket(sent, np.c_[sent.astype(np.uint32), times[often].astype(np.uint32)])
+            yield pa.RecordBatch.from_arrays([bucket, pa.nulls(len(bucket), pa.binary()), packed], ["bucket", "keys", "counts"])
 
     def meet(table):
-        low = np.sort(np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32))
+        low = np.sort(np.frombuffer(b"".join(x for x in table.column("keys").to_pylist() if x), np.uint32))
         again = low[1:][low[1:] == low[:-1]]
         bitmap = np.zeros(1 << each, bool)
         bitmap[again >> np.uint32(32 - each)] = True
-        return pa.table({"bucket": table.column("bucket")[:1], "bits": pa.array([np.packbits(bitmap).tobytes()], pa.binary())})
-
-    sent = docs.mapInArrow(send, "bucket int, keys binary")
-    out = np.zeros((1 << buckets, 1 << each >> 3), np.uint8)
-    for r in sent.groupBy("bucket").applyInArrow(meet, "bucket int, bits binary").toLocalIterator():
+        counts = np.frombuffer(b"".join(x for x in table.column("counts").to_pylist() if x), np.uint32).reshape(-1, 2)
+        counts = counts[np.argsort(counts[:, 0], kind="stable")].astype(np.int64)
+        first = np.flatnonzero(np.diff(counts[:, 0], prepend=-1))
+        hot = counts[first, 0][np.add.reduceat(counts[:, 1], first) > HOT_ROWS] if len(first) else counts[:0, 0]
+        return pa.table({"bucket": table.column("bucket")[:1], "bits": pa.array([np.packbits(bitmap).tobytes()], pa.binary()), "hot": pa.array([hot.astype(np.uint32).tobytes()], pa.binary())})
+
+    sent = rows.mapInArrow(send, "bucket int, keys binary, counts binary")
+    out, hot = np.zeros((1 << buckets, 1 << each >> 3), np.uint8), [np.zeros(0, np.uint64)]
+    for r in sent.groupBy("bucket").applyInArrow(meet, "bucket int, bits binary, hot binary").toLocalIterator():
         out[r.bucket] = np.frombuffer(r.bits, np.uint8)
-    return out.reshape(-1), buckets, each
+        hot.append(np.frombuffer(r.hot, np.uint32).astype(np.uint64) | np.uint64(r.bucket) << np.uint64(32))
+    return out.reshape(-1), buckets, each, np.sort(np.concatenate(hot))
+
+
+def distinct_windows(segments: list[bytes]):
+    """Piece by piece: the segment, offset and hash of distinct windows of each segment, their bytes joined, and for every window of the piece its segment, offset and the offset of one equal to it.
+
+    Windows that are found equal are equal; a few equal ones may be given twice.
+    """
+    at = 0
+    while at < len(segments):
+        to, size = at, 0
+        while to < len(segments) and size < PIECE:
+            size += len(segments[to])
+            to += 1
+        part = segments[at:to]
+        lengths = np.array([len(s) for s in part])
+        data = np.frombuffer(b"".join(part), np.uint8)
+        base = np.cumsum(lengths) - lengths
+        windows = lengths - WINDOW + 1
+        own = np.repeat(np.arange(len(part)), windows)
+        offset = np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows)
+        h = gram_hashes(data, WINDOW)[base[own] + offset]
+        view = np.lib.stride_tricks.sliding_window_view(data, WINDOW)
+        order = np.lexsort((h, own))
+        o, w, x = own[order], h[order], (base[own] + offset)[order]
+        same = np.flatnonzero((o[1:] == o[:-1]) & (w[1:] == w[:-1]))
+        new = np.ones(len(order), bool)
+        for a in range(0, len(same), 1 << 16):
+            i = same[a:a + (1 << 16)]
+            new[i + 1] = (view[x[i]] != view[x[i + 1]]).any(axis=1)
+        lead = np.flatnonzero(new)
+        like = np.empty(len(order), np.int64)
+        like[order] = np.repeat(offset[order[lead]], np.diff(np.r_[lead, len(order)]))
+        first = order[lead]
+        yield own[first] + at, offset[first], h[first], (view, base[own[first]] + offset[first]), own + at, offset, like
+        at = to
+
+
+def window_keys(b):
+    for own, _, h, _, _, _, _ in distinct_windows(b.column("segment").to_pylist()):
+        yield h, own
+
+
+def hot_spans(segments: DataFrame) -> DataFrame:
+    """Spans (doc, tag, span) that go, of the segments of hot keys; no step has all rows of a key in one task.
+
+    Of equal segments all but those of the smallest doc go whole.  That doc loses the windows which distinct segments of a
+    smaller doc have too.
+    """
+    spark = segments.sparkSession
+    rows = staged(segments, "hot-segments")
+    distinct = staged(rows.groupBy("key", "segment").agg(F.min("doc").alias("least")).withColumn("id", F.monotonically_increasing_id()), "hot-distinct")
+    expected = distinct.agg(F.sum(F.octet_length("segment") - (WINDOW - 1)).alias("n")).first().n or 0
+    bitmap, buckets, each, _ = repeated_keys(distinct.select("segment"), window_keys, expected)
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    def windows(batches):
+        bits = shared.value
+        for b in batches:
+            name, least = (b.column(c).to_numpy() for c in ("id", "least"))
+            for own, offset, h, (view, place), _, _, _ in distinct_windows(b.column("segment").to_pylist()):
+                seen = np.flatnonzero(marked(bits, coded(h, buckets), each))
+                for s in range(0, len(seen), 1 << 16):
+                    i = seen[s:s + (1 << 16)]
+                    ends = pa.py_buffer(np.arange(0, WINDOW * len(i) + 1, WINDOW, dtype=np.int32))
+                    made = pa.Array.from_buffers(pa.binary(), len(i), [None, ends, pa.py_buffer(view[place[i]].tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(name[own[i]]), pa.array(offset[i]), pa.array(least[own[i]]), pa.array(h[i].view(np.int64)), made], ["id", "offset", "least", "hash", "window"])
+
+    def parts(batches):
+        for b in batches:
+            made: list[list[int]] = [[] for _ in range(b.num_rows)]
+            lost = b.column("lost").to_pylist()
+            for _, _, _, _, own, offset, like in distinct_windows(b.column("segment").to_pylist()):
+                names = np.array([i << 32 | x for i in range(own[0], own[-1] + 1) for x in lost[i]], np.int64)
+                goes = np.isin(own << 32 | like, names)
+                new = np.r_[True, own[1:] != own[:-1]]
+                begins = np.flatnonzero(goes & (new | ~np.r_[False, goes[:-1]]))
+                ends = np.flatnonzero(goes & np.r_[new[1:] | ~goes[1:], True])
+                for i, a, z in zip(own[begins].tolist(), offset[begins].tolist(), offset[ends].tolist(), strict=True):
+                    made[i].append(a << 32 | z + WINDOW)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(made, pa.list_(pa.int64()))], ["id", "parts"])
+
+    each_window = distinct.mapInArrow(windows, "id long, offset long, least long, hash long, window binary")
+    several = each_window.groupBy("hash", "window").agg(F.min("least").alias("first"), F.max("least").alias("last")).where("first < last")
+    lost = each_window.join(several, ["hash", "window"]).where("first < least").groupBy("id").agg(F.collect_list("offset").alias("lost"))
+    partly = distinct.select("id", "segment").join(lost, "id").mapInArrow(parts, "id long, parts array<long>")
+    known = distinct.join(partly, "id", "left").select("key", "segment", "least", "parts")
+    whole = F.array(F.shiftleft("at", 32) + F.col("at") + F.octet_length("segment"))
+    some = F.transform("parts", lambda x: x + F.shiftleft("at", 32) + F.col("at"))
+    return rows.join(known, ["key", "segment"]).select("doc", "tag", F.explode(F.when(F.col("doc") > F.col("least"), whole).otherwise(some)).alias("span"))
 
 
 def merge_transforms(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -267,24 +395,29 @@ def removed_spans(docs: DataFrame, total: int, tag: Column) -> DataFrame:
     """doc, tag and ``spans`` of every row that loses bytes; a span is start * 2^32 + stop."""
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), tag.alias("tag"), "text")
-    bitmap, buckets, each = repeated_keys(docs, total)
-    shared = spark.sparkContext.broadcast(bitmap)
-
-    def send(batches):
-        bits = shared.value
-        for b in batches:
-            texts = _texts(b)
-            doc, tag = b.column("doc").to_numpy(zero_copy_only=False), b.column("tag").to_numpy(zero_copy_only=False)
-            for key, row, at, count in keyed_segments(texts):
-                place = ((key >> np.uint64(32)) & np.uint64((1 << buckets) - 1)) << np.uint64(each) | (key & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - each)
-                place = place.astype(np.int64)
-                seen = np.flatnonzero(bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1)
-                if not len(seen):
-                    continue
-                row, at, count = row[seen], at[seen], count[seen]
-                segments = [texts[i][a:z] for i, a, z in zip(row.tolist(), at.tolist(), (at + count + WINDOW - 1).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array((key[seen] >> np.uint64(24)).astype(np.int64)), pa.array(doc[row]), pa.array(tag[row]), pa.array(at), pa.array(segments, pa.binary())],
-                                                 ["key", "doc", "tag", "at", "segment"])
+    bitmap, buckets, each, hot = repeated_keys(docs, segment_keys, total * 0.07)
+    shared = spark.sparkContext.broadcast((bitmap, hot))
+
+    def send(of_hot_keys):
+        def run(batches):
+            bits, hot = shared.value
+            for b in batches:
+                texts = _texts(b)
+                doc, tag = b.column("doc").to_numpy(zero_copy_only=False), b.column("tag").to_numpy(zero_copy_only=False)
+                for key, row, at, count in keyed_segments(texts):
+                    code = coded(key, buckets)
+                    seen = marked(bits, code, each)
+                    if len(hot):
+                        seen &= (hot[np.minimum(np.searchsorted(hot, code), len(hot) - 1)] == code) == of_hot_keys
+                    seen = np.flatnonzero(seen)
+                    if not len(seen):
+                        continue
+                    row, at, count = row[seen], at[seen], count[seen]
+                    segments = [texts[i][a:z] for i, a, z in zip(row.tolist(), at.tolist(), (at + count + WINDOW - 1).tolist(), strict=True)]
+                    key = key[seen].view(np.int64) if of_hot_keys else (key[seen] >> np.uint64(24)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc[row]), pa.array(tag[row]), pa.array(at), pa.array(segments, pa.binary())],
+                                                     ["key", "doc", "tag", "at", "segment"])
+        return run
 
     def judge(batches):
         held, rows, carried = [], 0, None
@@ -304,8 +437,10 @@ def removed_spans(docs: DataFrame, total: int, tag: Column) -> DataFrame:
         if held:
             yield spans()
 
-    sent = docs.mapInArrow(send, "key long, doc long, tag int, at long, segment binary")
+    sent = docs.mapInArrow(send(False), "key long, doc long, tag int, at long, segment binary")
     found = sent.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(judge, "doc long, tag int, span long")
+    if len(hot):
+        found = found.unionByName(hot_spans(docs.mapInArrow(send(True), "key long, doc long, tag int, at long, segment binary")))
     return found.groupBy("doc", "tag").agg(F.collect_list("span").alias("spans"))
 
 

@@ -269,6 +269,25 @@ def test_one_hot_key_is_carried_over_blocks(spark, monkeypatch):
     assert got[0] == 0 and all(got[i] >= len(passage) for i in range(1, 40))
 
 
+def test_no_task_holds_a_hot_key(spark, corpus, monkeypatch):
+    judged = substring.removed_windows
+
+    def bounded(table, carried):
+        keys = table.column("key").to_pylist()
+        if max(map(keys.count, keys)) > 6:
+            raise ValueError("a task has all segments of a hot key")
+        return judged(table, carried)
+
+    passage = "shared words of the passage 0123"
+    rows = [(i, t) for i, t in corpus if t != "word " * 3000] + [(1000 + i, f"{i * i} own start {i % 3} {passage} {i % 5} {i * 7} own end of this row, {'-' * (i % 50 + 60)}") for i in range(60)]
+    digest = lambda: sorted(map(tuple, substring.dedup_digest(documents(spark, rows)).collect()), key=repr)
+    want = digest()
+    monkeypatch.setattr(substring, "HOT_ROWS", 6, raising=False)
+    monkeypatch.setattr(substring, "COUNTED", 0, raising=False)
+    monkeypatch.setattr(substring, "removed_windows", bounded)
+    assert digest() == want
+
+
 def test_leaks_against_plain_alignment(spark):
     rng = random.Random(8)
     items = [(i, sentence(rng, 12)) for i in range(12)] + [(90, "short"), (91, None), (92, "")]
