@@ -67,6 +67,15 @@ def similar_pairs(docs: DataFrame, key: str, least: float = 0.8, n: int = 3) ->
             .where(F.col("jaccard") >= least).select("a_id", "b_id", "jaccard"))
 
 
+def text_classes(docs: DataFrame, key: str, least: float = 0.8, n: int = 3) -> DataFrame:
+    """Every document with the class of its text (the smallest id that has it) and how many other classes :func:`similar_pairs` links that to."""
+    pairs = similar_pairs(docs, key, least, n)
+    links = pairs.select(F.col("a_id").alias("class_id")).unionByName(pairs.select(F.col("b_id").alias("class_id"))).groupBy("class_id").agg(F.count("*").alias("links"))
+    classes = docs.groupBy(key, "text").agg(F.min("document_id").alias("class_id")).alias("c")
+    same = F.col(f"d.{key}").eqNullSafe(F.col(f"c.{key}")) & F.col("d.text").eqNullSafe(F.col("c.text"))
+    return docs.alias("d").join(classes, same).select("document_id", "class_id").join(links, "class_id", "left").select("document_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def near_duplicate_decisions(docs: DataFrame, least: float = 0.95, length_ratio: float = 0.9) -> DataFrame:
     """Members of stem clusters with the canonical member, and whether to supersede or to review."""
     d = docs.withColumn("stem", stem(F.col("title"))).withColumn("hash", content_hash(F.col("text"))).where(F.length("stem") >= 8)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evidora.functions.columns import first_rule
 from evidora.operators import dedup as u
 from evidora.plans.governance import DOCS
-from evidora.plans.registry import query
+from evidora.plans.registry import ORACLE, query
 from evidora.sources.views import documents, table
 
 FOLD = "lower(translate({}, 'áàâäãåāéèêëēíìîïīóòôöõōúùûüūñçýÿÁÀÂÄÃÅĀÉÈÊËĒÍÌÎÏĪÓÒÔÖÕŌÚÙÛÜŪÑÇÝ', 'aaaaaaaeeeeeiiiiioooooouuuuuncyyAAAAAAAEEEEEIIIIIOOOOOOUUUUUNCY'))"
@@ -37,6 +37,15 @@ def near_dup_jaccard(spark, d):
     return u.similar_pairs(docs, "all")
 
 
+@query(f"""WITH q AS ({ORACLE["near_dup_jaccard"]}), t AS (SELECT text, min(doc_id) AS class_id FROM documents GROUP BY text),
+l AS (SELECT class_id, count(*) AS links FROM (SELECT a_id AS class_id FROM q UNION ALL SELECT b_id FROM q) GROUP BY class_id)
+SELECT doc_id AS document_id, t.class_id, coalesce(links, 0) AS links FROM documents d JOIN t ON d.text IS NOT DISTINCT FROM t.text LEFT JOIN l ON t.class_id = l.class_id""")
+def near_dup_classes(spark, d):
+    """The membership of ``near_dup_jaccard``: each document's representative, and its number of links."""
+    docs = table(spark, d, "documents").select(F.lit(0).alias("all"), F.col("doc_id").alias("document_id"), "text")
+    return u.text_classes(docs, "all")
+
+
 @query(f"{DOCS}, x AS (SELECT *, {STEM} AS stem, {HASH} AS h FROM rag_documents), c AS (SELECT *, row_number() OVER w AS r, first_value(document_id) OVER w AS canonical, first_value(h) OVER w AS kh, first_value(length(text)) OVER w AS kl, count(*) OVER (PARTITION BY stem) AS n "
        "FROM x WHERE length(stem) >= 8 WINDOW w AS (PARTITION BY stem ORDER BY CASE lifecycle WHEN 'signed' THEN 5 WHEN 'executed' THEN 4 WHEN 'filed' THEN 4 WHEN 'working_paper' THEN 3 WHEN 'draft' THEN 2 ELSE 1 END DESC, chunk_count DESC, document_id)) "
        "SELECT document_id, canonical, CASE WHEN doc_type IN ('capex','cash_flow','funding') THEN 'review' WHEN h = kh AND least(length(text), kl) / greatest(length(text), kl) >= 0.9 THEN 'supersede' ELSE 'review' END AS decision FROM c WHERE n > 1 AND r > 1")

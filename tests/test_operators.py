@@ -59,6 +59,14 @@ def test_similar_pairs_against_brute_force(spark):
     assert got == want and want
 
 
+def test_every_copy_has_its_class_and_links(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(0, i, text) for i in range(5)] + [(0, 9, text + " more"), (0, 10, "quite another text"), (0, 11, None), (0, 12, None)]
+    got = dedup.text_classes(spark.createDataFrame(rows, "all int, document_id long, text string"), "all")
+    want = [(i, 0, 1) for i in range(5)] + [(9, 9, 1), (10, 10, 0), (11, 11, 0), (12, 11, 0)]
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_retrievable_treats_nulls_as_the_rules_say(spark):
     rows = [("approved", None, "indexed", None), (None, "user", "indexed", "draft"), ("rejected", "user", "indexed", None), ("pending", "agent_rejected", "indexed", None), ("pending", "user", "indexed", "superseded"), ("pending", "user", "error", None)]
     df = spark.createDataFrame(rows, "review_status string, classification_source string, status string, lifecycle string")
