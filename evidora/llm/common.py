@@ -17,11 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset, a temporary one if Spark runs in one process (tests), else an error."""
     global _own_dir
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="evidora-")
     return "file://" + _own_dir
@@ -43,19 +45,48 @@ def crc_mod(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
-    """Newton's method for an L2-penalised logistic regression; the last column of ``x`` should be ones."""
-    w = np.zeros(x.shape[1])
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 100) -> np.ndarray:
+    """An L2-penalised logistic regression by damped Newton steps; the last column of ``x`` is ones and is not penalised.
+
+    Columns are standardised for the fit, and a step is halved until the penalised loss falls, so a fit cannot diverge;
+    a loss that is no number raises.
+    """
+    mean, scale = x[:, :-1].mean(0), x[:, :-1].std(0)
+    scale = np.where(scale > 1e-12, scale, 1.0)
+    z = np.c_[(x[:, :-1] - mean) / scale, np.ones(len(x))]
+    penalty = np.r_[np.full(z.shape[1] - 1, ridge), 1e-6]
+    sign = 2 * y - 1
+
+    def loss(w):
+        return np.logaddexp(0, -sign * (z @ w)).sum() + (penalty * w * w).sum() / 2
+
+    w = np.zeros(z.shape[1])
+    now = loss(w)
+    if not np.isfinite(now):
+        raise ValueError("a logistic regression needs finite values")
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+        p = sigmoid(z @ w)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
+        rate = 1.0
+        while rate > 1e-9 and not loss(w + rate * step) < now:
+            rate /= 2
+        if rate <= 1e-9:  # no step lowers it any more
+            break
+        w = w + rate * step
+        now = loss(w)
+        if np.abs(rate * step).max() < 1e-9:
             break
+    w[:-1] /= scale
+    w[-1] -= (w[:-1] * mean).sum()
     return w
 
 
+def odds_of(labels: DataFrame, label: str, train) -> float:
+    """How many rows of ``train`` are labelled 1 for each labelled 0; there are some of both."""
+    n = labels.where(F.col(label).isin(0, 1) & F.coalesce(train, F.lit(False))).agg(F.sum(label).alias("ones"), F.count("*").alias("all")).first()
+    return n.ones / (n.all - n.ones)
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -64,7 +95,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, per_c
     """At most ``per_class`` labelled texts of each class, each of at most ``max_chars`` characters: the bounded sample a classifier is fitted on.
 
     The rows are those with the smallest hash of doc_id among ``train``, so the choice does not depend on partitions.
-    A doc_id labelled twice counts once, with its larger label.
+    A doc_id labelled twice counts once, with its larger label; of a doc_id's texts the smallest is taken.
     """
     known = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & F.coalesce(train, F.lit(False)))
              .groupBy("doc_id").agg(F.max(label).cast("int").alias("y")))
@@ -74,12 +105,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, per_c
         # 2 x per_class ids are few and bounded, so they can be broadcast.
         part = known.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").collect()
-    seen = {}
-    for r in rows:
-        if r.doc_id not in seen or r.text < seen[r.doc_id].text:
-            seen[r.doc_id] = r
-    return [seen[k] for k in sorted(seen, key=lambda k: (hash_order(k), k))]
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).collect()
+    return sorted(rows, key=lambda r: (hash_order(r.doc_id), r.doc_id))
 
 
 def hash_order(n: int) -> int:

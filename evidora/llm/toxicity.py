@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidora.llm.common import crc_mod, fit_logistic, labelled_sample, sigmoid
+from evidora.llm.common import crc_mod, fit_logistic, labelled_sample, odds_of, sigmoid
 
 PER_CLASS = 1200      # labelled texts of each class that the model is fitted on, at most
 TRAIN_CHARS = 20000   # longer labelled texts are not in the sample (all texts are scored whole)
@@ -260,8 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, per_class: int = PER_CLASS) -
     worst = model.worst(pa.array([t for t, h in zip(texts, half, strict=True) if h], pa.string()))
     slope, offset = fit_logistic(np.c_[worst, np.ones(len(worst))], y[half], ridge=1e-2)
     # The sample has as many texts of either class where it can; the calibration is for the classes as they come.
-    share = labels.where(F.col("toxic").isin(0, 1) & F.coalesce(train, F.lit(False))).agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
-    model.slope, model.offset = slope, offset + np.log(share.t / (share.n - share.t)) - np.log((y == 1).sum() / (y == 0).sum())
+    model.slope, model.offset = slope, offset + np.log(odds_of(labels, "toxic", train)) - np.log((y == 1).sum() / (y == 0).sum())
     return model
 
 
