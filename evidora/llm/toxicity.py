@@ -1,27 +1,28 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a support vector machine.
 
 A word's features are its subsequences of three characters within five places,
-weighted ``DECAY`` per place skipped, so ``i.d.i-o-t`` and ``idiiot`` still share
-most of theirs with the plain word.  Characters that are neither letters nor
-digits may be skipped but never chosen, accents are folded, single letters set
-apart by spaces are read as one word too, and long words are read in overlapping
-pieces.  A text is as toxic as its worst word.
+the mark of its start being one, weighted ``DECAY`` per place skipped, so
+``i.d.i-o-t`` and ``idiiot`` still share most of theirs with the plain word.
+Characters that are neither letters nor digits may be skipped but never chosen,
+accents are folded, single letters set apart by spaces are read as one word too,
+and long words are read in overlapping pieces.  A text is judged by its worst
+word and by the mean of its worst words, one for every ``SHARE`` of its words.
 
 Learning: labelled texts are bags of words of which at least one is toxic in a
 toxic text.  Words are mapped by the kernel with landmark words through the
 inverse root of the landmarks' kernel matrix (Nyström), and a linear machine with
-squared hinge loss is trained on them, in rounds that choose each toxic text's
-worst word and each clean text's worst words anew; words that many toxic texts
-have and hardly any clean one are always among the toxic.  As kernel and map are linear
-in the subsequences, the whole machine is one weight for each of them, a vector
-of fixed size.  A logistic calibration on labelled texts of which the machine has
-seen nothing turns the worst word's margin into a probability.
-
-Cases: a null or empty text has the margin of a word without subsequences; a
-null doc_id is scored, ``held_out`` false, and never learnt from; rows that
-repeat are each scored; extra columns are ignored; with one class or none in the
-labels every score is that class's share, or 0.5; an empty table gives an empty
-result.
+squared hinge loss is trained on them, in rounds that choose each text's worst
+words anew; words that many toxic texts have and hardly any clean one are always
+among the toxic.  As kernel and map are linear in the subsequences, the whole
+machine is one weight for each of them, a vector of fixed size.  A logistic
+calibration on labelled texts of which the machine has seen nothing turns the
+margins of the worst words into a probability.
+
+Cases: a null or empty text has the least margins; a text of any length is read
+whole; a null doc_id is scored, ``held_out`` false, and never learnt from; rows
+that repeat are each scored, and equal texts score alike; extra columns are
+ignored, whatever their names; with one class or none in the labels every score
+is that class's share, or 0.5; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidora.llm.common import crc_mod, fit_logistic, labelled_sample, odds_of, sigmoid
+from evidora.llm.common import crc_mod, fit_logistic, labelled_sample, sigmoid
 
 PER_CLASS = 1200      # labelled texts of each class that the model is fitted on, at most
 TRAIN_CHARS = 20000   # longer labelled texts are not in the sample (all texts are scored whole)
@@ -42,7 +43,9 @@ LANDMARKS = 256
 ROUNDS = 5
 DECAY = 0.6
 CLEAN_MASS = 10000     # weight of all clean examples together; that of the toxic ones is 1000
-RADIX = 64            # symbols: 0 none, a-z, 0-9, and 27 shared by all other letters
+RADIX = 64            # symbols: 0 none, a-z, 0-9, 26 shared by all other letters, and the start of a word
+START = 63
+SHARE = 100           # the words that a text is judged by are its worst one and the worst of its every ``SHARE``-th
 PIECE, STRIDE = 24, 12
 PATTERNS = [(a, b) for b in range(2, 5) for a in range(1, b)]  # places of the second and third character after the first
 ROWS = 2000           # texts whose words are scored at once
@@ -57,7 +60,7 @@ def _symbols() -> np.ndarray:
         elif base.isdigit() and base.isascii():
             table[c] = 27 + ord(base) - 48
         elif base.isalpha():
-            table[c] = 37 + c % 27
+            table[c] = 37 + c % 26
     return table
 
 
@@ -65,11 +68,13 @@ _TABLE = _symbols()
 
 
 def symbols(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all words with four zeros after each, and the start of each word."""
-    codes = np.frombuffer("\0\0\0\0".join([*words, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 4
-    sym = np.where(codes < len(_TABLE), _TABLE[np.minimum(codes, len(_TABLE) - 1)], 37 + codes % 27)
-    return sym.astype(np.int32), np.cumsum(lengths) - lengths
+    """Symbols of all words, with the mark of a start before and four zeros after each, and where each word starts."""
+    codes = np.frombuffer(("\0\0\0\0\0".join(["", *words, ""])[4:]).encode("utf-32-le", "surrogatepass"), np.uint32)[:-1]
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 5
+    sym = np.where(codes < len(_TABLE), _TABLE[np.minimum(codes, len(_TABLE) - 1)], 37 + codes % 26).astype(np.int32)
+    start = np.cumsum(lengths) - lengths
+    sym[start] = START
+    return sym, start
 
 
 def subsequences(sym: np.ndarray):
@@ -98,7 +103,7 @@ def feature_rows(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     found = list(subsequences(sym))
     out = []
     for i, a in enumerate(start.tolist()):
-        z = a + len(words[i])
+        z = a + len(words[i]) + 1
         codes = np.concatenate([c[a:z] for c, _ in found])
         w = np.concatenate([v[a:z] for _, v in found])
         codes, w = codes[w > 0], w[w > 0]
@@ -134,6 +139,8 @@ def bags(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     text = np.repeat(np.arange(len(texts)), counts)
     distinct = coded.dictionary.to_pylist()
     length = np.fromiter(map(len, distinct), np.int64, len(distinct))
+    some = (length > 0)[code] if len(code) else np.zeros(0, bool)
+    code, text = code[some], text[some]
     vocabulary, extra_text, extra_word = list(distinct), [], []
     # Single letters in a row are a word as well.
     one = (length == 1)[code] if len(code) else np.zeros(0, bool)
@@ -160,23 +167,40 @@ def bags(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return vocabulary, np.r_[text, np.array(extra_text, np.int64)], np.r_[code, np.array(extra_word, np.int64)]
 
 
+def _worst_words(text: np.ndarray, margin: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` texts the largest margin of its words, and the mean of the largest of every SHARE-th word, of three at least."""
+    out = np.full((n, 2), -1.0)
+    order = np.lexsort((-margin, text))
+    text, margin = text[order], margin[order]
+    first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]) if len(text) else np.zeros(0, np.int64)
+    count = np.diff(np.r_[first, len(text)])
+    taken = np.maximum(-(-count // SHARE), 3)
+    rank = np.arange(len(text)) - np.repeat(first, count)
+    use = rank < np.repeat(taken, count)
+    sums = np.bincount(text[use], margin[use], n)[text[first]]
+    out[text[first], 0] = margin[first]
+    out[text[first], 1] = (sums - np.maximum(taken - count, 0)) / taken  # a word that is missing counts -1
+    return out
+
+
 class ToxicityModel:
-    def __init__(self, weights=None, slope: float = 0.0, offset: float = 0.0, constant: float = 0.5):
-        self.weights, self.slope, self.offset, self.constant = weights, slope, offset, constant
+    def __init__(self, weights=None, calibration: np.ndarray | None = None, constant: float = 0.5):
+        self.weights, self.calibration, self.constant = weights, calibration, constant
 
     def worst(self, texts: pa.Array) -> np.ndarray:
-        """The largest margin of each text's words."""
-        out = np.full(len(texts), -1.0)
+        """What the margins of each text's worst words are, as of :func:`_worst_words`."""
+        out = np.full((len(texts), 2), -1.0)
         for a in range(0, len(texts), ROWS):
-            words, text, word = bags(texts.slice(a, ROWS))
+            part = texts.slice(a, ROWS)
+            words, text, word = bags(part)
             if len(text):
-                np.maximum.at(out, a + text, margins(words, self.weights)[word])
+                out[a:a + len(part)] = _worst_words(text, margins(words, self.weights)[word], len(part))
         return out
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         if self.weights is None:
             return np.full(len(texts), self.constant)
-        return sigmoid(self.slope * self.worst(texts) + self.offset)
+        return sigmoid(np.c_[self.worst(texts), np.ones(len(texts))] @ self.calibration)
 
 
 def train_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -224,7 +248,8 @@ def fit_weights(texts: list[str], y: np.ndarray) -> np.ndarray:
         order = np.lexsort((-margin[word], text))
         rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
         t, w = text[order], word[order]
-        chosen = np.where(y[t] == 1, (rank < 1) | telling[w], (rank < 4) | (rank % 97 == 50))
+        count = np.bincount(t, minlength=len(y))[t]
+        chosen = np.where(y[t] == 1, (rank < np.maximum(1, count // SHARE)) | telling[w], (rank < 4) | (rank % 97 == 50))
         positive, negative = w[chosen & (y[t] == 1)], w[chosen & (y[t] == 0)]
         mined = negative = np.r_[mined, negative]  # a clean word that once looked toxic stays an example
         wanted = [np.argsort(-evidence, kind="stable")[:LANDMARKS // 2], np.unique(positive, return_counts=True), np.unique(negative, return_counts=True)]
@@ -247,23 +272,28 @@ def fit_weights(texts: list[str], y: np.ndarray) -> np.ndarray:
     return weights
 
 
-def fit(docs: DataFrame, labels: DataFrame, train, per_class: int = PER_CLASS) -> ToxicityModel:
-    rows = labelled_sample(docs, labels, "toxic", train, per_class, TRAIN_CHARS)
-    y = np.array([r.y for r in rows], float)
-    if min((y == 0).sum(), (y == 1).sum()) < 4:
-        return ToxicityModel(constant=float(y.mean()) if len(y) else 0.5)
+def fit_texts(texts: list[str], y: np.ndarray) -> ToxicityModel:
+    """A machine trained on two thirds of the texts and calibrated on the rest.
+
+    Toxic texts weigh as in the sample, where they are more frequent than in the corpus: of texts on the border rather too many are called toxic.
+    """
     half = np.zeros(len(y), bool)
     for label in (0, 1):
         half[np.flatnonzero(y == label)[1::3]] = True
-    texts = [r.text for r in rows]
     model = ToxicityModel(fit_weights([t for t, h in zip(texts, half, strict=True) if not h], y[~half]))
     worst = model.worst(pa.array([t for t, h in zip(texts, half, strict=True) if h], pa.string()))
-    slope, offset = fit_logistic(np.c_[worst, np.ones(len(worst))], y[half], ridge=1e-2)
-    # The sample has as many texts of either class where it can; the calibration is for the classes as they come.
-    model.slope, model.offset = slope, offset + np.log(odds_of(labels, "toxic", train)) - np.log((y == 1).sum() / (y == 0).sum())
+    model.calibration = fit_logistic(np.c_[worst, np.ones(len(worst))], y[half])
     return model
 
 
+def fit(docs: DataFrame, labels: DataFrame, train, per_class: int = PER_CLASS) -> ToxicityModel:
+    rows = labelled_sample(docs, labels, "toxic", train, per_class, TRAIN_CHARS)
+    y = np.array([r.y for r in rows], float)
+    if min((y == 0).sum(), (y == 1).sum()) < 4:
+        return ToxicityModel(constant=float(y.mean()) if len(y) else 0.5)
+    return fit_texts([r.text for r in rows], y)
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every document; labels of held-out rows are not learnt from."""
     model = fit(docs, labels, crc_mod("doc_id", 5) != 0)
