@@ -36,8 +36,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def parallelism(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+def row_hash(df: DataFrame):
+    """A hash of all columns of a row."""
+    return F.xxhash64(*(F.to_json(f.name) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in df.schema))
 
 
 def crc_mod(column: str, modulus: int):

@@ -5,18 +5,23 @@ shingles.  Distinct fingerprints are partitioned by a vantage-point tree: a
 node keeps a point and a radius, points within the radius go inside, the rest
 outside.  By the triangle inequality two fingerprints at most ``bits`` apart can
 only be on different sides when both lie within ``bits`` of the border, so an
-inside point near the border also visits the outer shard.  Each shard finds its
-pairs with the same pruning and returns a spanning forest of its links, so a
-group of n near copies gives fewer than n rows from a shard, never all pairs.
+inside point near the border also visits the outer shard.  A shard goes on
+splitting by vantage points in memory; what is left at the bottom is compared
+where one of ``bits + 1`` blocks of bits agrees, as it does for every pair that
+differs in ``bits`` of them.  Each shard returns a spanning forest of its links, so
+a group of n near copies gives fewer than n rows from a shard, never all pairs.
 Links are joined into components by large-star and small-star steps.
 
 The tree is fitted on a bounded sample and only routes; every fingerprint is
-indexed, and the pairs are exact whatever the tree.
-
-Cases: an empty or null text has fingerprint zero, linked like any other; rows
-that repeat are one fingerprint; a null doc_id is in its group but never names
-it, and the component of a group without any doc_id is null; extra columns are
-ignored; an empty table gives an empty result.
+indexed, and the pairs are exact whatever the tree.  It has ``DEPTH`` levels, and
+one more for every doubling past ``LEAF`` fingerprints a shard.
+
+Cases: an empty or null text has fingerprint zero, linked like any other; a text of
+any length is one fingerprint of all its shingles; rows that repeat are one
+fingerprint; a null doc_id is in its group but never names it, and the component of
+a group without any doc_id is null; ties do not arise, as the smallest doc_id names
+a group; extra columns are ignored by :func:`near_duplicates`, whatever their names,
+and kept by :func:`keep_one`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,14 +32,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidora.llm.common import parallelism, staged
+from evidora.llm.common import row_hash, staged
 
 WORDS = 4
 BITS = 4
 SEED = 42
 SAMPLE = 20000        # fingerprints that a tree is fitted on, at most
-LEAF = 16384          # fingerprints that a shard should hold
-BLOCK = 1 << 16       # comparisons made at once
+DEPTH = 3             # levels of the smallest tree
+LEAF = 1 << 20        # fingerprints that should be at home in a shard, at most
+GROUP = 1 << 23       # rows of a shard that one task takes; a shard with more is dealt in pairs of blocks
+BOTTOM = 1 << 15      # points below which a shard's own tree ends
+BLOCK = 1 << 20       # comparisons made at once
+HOT_ROWS = 4096       # rows of one fingerprint above which they may be joined apart
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -76,18 +85,34 @@ class Node:
         self.leaf, self.point, self.radius, self.inner, self.outer = leaf, point, radius, inner, outer
 
 
+def _split(points: np.ndarray) -> tuple[np.uint64, int] | None:
+    """Of some candidates the vantage point, with its median radius, whose border has the fewest points beside it; none if all are at one distance."""
+    best = None
+    for point in points[np.linspace(0, len(points) - 1, min(len(points), 8)).astype(int)]:
+        d = _distance(points, point)
+        radius = int(np.median(d))
+        if radius == d.max():
+            radius -= 1
+        if radius < 0 or not (d <= radius).any():
+            continue
+        inside = (d <= radius).mean()
+        cost = ((d > radius - BITS) & (d <= radius + BITS)).mean() + 2 * abs(inside - 0.5)
+        if best is None or cost < best[0]:
+            best = cost, point, radius
+    return best and best[1:]
+
+
 def build_tree(sample: np.ndarray, depth: int) -> tuple[Node, int]:
     """A tree of ``depth`` levels at most, and its number of leaves."""
     leaves = 0
 
     def grow(points, level):
         nonlocal leaves
-        if level and len(points) > 1:
-            point = points[len(points) // 2]
+        split = _split(points) if level and len(points) > 1 else None
+        if split:
+            point, radius = split
             d = _distance(points, point)
-            radius = int(np.median(d))
-            if radius < d.max():
-                return Node(None, point, radius, grow(points[d <= radius], level - 1), grow(points[d > radius], level - 1))
+            return Node(None, point, radius, grow(points[d <= radius], level - 1), grow(points[d > radius], level - 1))
         leaves += 1
         return Node(leaves - 1)
 
@@ -132,35 +157,57 @@ class Forest:
                 return r
             r = s
 
-    def link(self, a, b) -> None:
-        up = self.up
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            while up[j] != j:
-                up[j] = up[up[j]]
-                j = up[j]
-            if i != j:
-                up[max(i, j)] = min(i, j)
+    def hook(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Hang the larger root of each pair below the smallest it meets; some pairs may still be apart afterwards."""
+        np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
 
 
 def link_near(fps: np.ndarray, home: np.ndarray, bits: int) -> np.ndarray:
     """Root of each of a shard's fingerprints, after linking all pairs of which one at least is at home."""
     forest = Forest(len(fps))
 
-    def compare(a, b):
-        step = max(1, BLOCK // max(len(b), 1))
-        for s in range(0, len(a), step):
-            x = a[s:s + step]
-            near = np.bitwise_count(fps[x][:, None] ^ fps[b][None, :]) <= bits
-            while True:
-                ra, rb = forest.roots(x), forest.roots(b)
-                i, j = np.nonzero(near & (ra[:, None] != rb[None, :]))
-                if not len(i):
-                    break
-                pairs = np.unique(np.c_[ra[i], rb[j]], axis=0)
-                forest.link(pairs[:, 0], pairs[:, 1])
+    def link(i, j):
+        near = np.bitwise_count(fps[i] ^ fps[j]) <= bits
+        i, j = i[near], j[near]
+        while len(i):
+            a, b = forest.roots(i), forest.roots(j)
+            apart = a != b
+            if not apart.any():
+                return
+            i, j = i[apart], j[apart]
+            forest.hook(a[apart], b[apart])
+
+    def compare(a, points):
+        """Pairs of ``a`` and ``points`` that agree in a block of bits; a block value whose holders are all linked needs no more."""
+        edges = np.linspace(0, 64, bits + 2).astype(int).tolist()
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            mask = np.uint64((1 << high - low) - 1)
+            of_a, of_points = (fps[x] >> np.uint64(low) & mask for x in (a, points))
+            order = np.argsort(of_a, kind="stable")
+            own, of_a = a[order], of_a[order]
+            order = np.argsort(of_points, kind="stable")
+            other, of_points = points[order], of_points[order]
+            first, last = np.searchsorted(of_points, of_a), np.searchsorted(of_points, of_a, side="right")
+            n = last - first
+            at, width = 0, 1
+            while at < len(own):
+                if n[at] > 512:  # few rows first: in a dense group they link nearly all of it
+                    same = other[first[at]:last[at]]
+                    stop = int(np.searchsorted(of_a, of_a[at], side="right"))
+                    if len(np.unique(forest.roots(np.concatenate([own[at:stop], same])))) == 1:
+                        at, width = stop, 1
+                        continue
+                    to = min(at + width, stop)
+                    width = 1 if to == stop else min(2 * width, max(1, BLOCK // len(same)))
+                else:
+                    big = np.flatnonzero(n[at:at + BLOCK] > 512)
+                    end = at + (int(big[0]) if len(big) else min(BLOCK, len(own) - at))
+                    to = at + max(1, int(np.searchsorted(np.cumsum(n[at:end]), BLOCK)))
+                    to = min(to, end)
+                count = n[at:to]
+                i = np.repeat(np.arange(at, to), count)
+                link(own[i], other[np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + first[i]])
+                at = to
 
     stack = [(np.flatnonzero(home), None), (np.flatnonzero(~home), np.flatnonzero(home))]
     while stack:
@@ -169,20 +216,13 @@ def link_near(fps: np.ndarray, home: np.ndarray, bits: int) -> np.ndarray:
         points = a if same else b
         if not len(a) or not len(points):
             continue
-        if len(a) * len(points) <= BLOCK:
+        split = _split(fps[points[np.linspace(0, len(points) - 1, min(len(points), 512)).astype(int)]]) if len(points) > BOTTOM else None
+        d = _distance(fps[points], split[0]) if split else None
+        if d is None or (d <= split[1]).all() or not (d <= split[1]).any():
             compare(a, points)
             continue
-        point = fps[points[len(points) // 2]]
-        d = _distance(fps[points], point)
-        radius = int(np.median(d))
+        point, radius = split
         inside = d <= radius
-        if inside.all():
-            radius -= 1
-            inside = d <= radius
-        if not inside.any():  # all at one distance: nothing to prune here
-            for s in range(0, len(a), 4096):
-                compare(a[s:s + 4096], points)
-            continue
         inner, outer = points[inside], points[~inside]
         if same:
             stack += [(inner, None), (outer, None), (inner[d[inside] > radius - bits], outer[d[~inside] <= radius + bits])]
@@ -192,14 +232,17 @@ def link_near(fps: np.ndarray, home: np.ndarray, bits: int) -> np.ndarray:
     return forest.roots(np.arange(len(fps)))
 
 
+def depth_for(n: int) -> int:
+    return max(DEPTH, int(np.ceil(np.log2(max(n, 1) / LEAF))))
+
+
 def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     """(u, v) of a set of links with the same components as all pairs of ``fp`` at most ``bits`` apart; v < u."""
     spark = distinct.sparkSession
     n = distinct.count()
     sample = [r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
-    depth = max(0, int(np.ceil(np.log2(max(n, 1) / LEAF))))
-    tree, leaves = build_tree(np.array(sample, np.int64).view(np.uint64), depth)
-    shared = spark.sparkContext.broadcast(tree)  # at most 2^depth nodes and never more than the sample
+    tree, leaves = build_tree(np.array(sample, np.int64).view(np.uint64), depth_for(n))
+    shared = spark.sparkContext.broadcast(tree)  # no more nodes than twice the sample
 
     def visit(batches):
         for b in batches:
@@ -207,7 +250,7 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
             leaf, at, home = route(shared.value, fps.view(np.uint64), bits)
             yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), pa.array(fps[at]), pa.array(home)], ["leaf", "fp", "home"])
 
-    visits = distinct.mapInArrow(visit, "leaf int, fp long, home boolean")
+    visits = staged(distinct.mapInArrow(visit, "leaf int, fp long, home boolean"), "visits")
 
     def pair(table):
         fps = table.column("fp").to_numpy()
@@ -217,15 +260,17 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
         at = np.flatnonzero(up != np.arange(len(fps)))
         return pa.table({"u": fps[at], "v": fps[up[at]]})
 
-    # A shard's homes are dealt in blocks, so that one region that holds a third of all fingerprints is not one task:
-    # block pair (i, j) compares the homes of i with all of j.
-    sizes = visits.groupBy("leaf").count().withColumn("blocks", F.ceil(F.col("count") / (8 * LEAF)).cast("int"))
-    placed = visits.join(sizes.select("leaf", "blocks"), "leaf").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    dealt = (placed.withColumn("block", F.explode(every))
-             .select("leaf", "block", "fp", (F.col("home") & (F.col("own") == F.col("block"))).alias("home"), "blocks")
-             .drop("blocks"))
-    return dealt.groupBy("leaf", "block").applyInArrow(pair, "u long, v long")
+    # A shard that is too large for a task is dealt in blocks, and every pair of blocks is a group of its own, so that no
+    # group holds it whole: a row of block b goes to the pairs of b with each block, itself included.
+    sizes = visits.groupBy("leaf").count().withColumn("blocks", F.ceil(F.col("count") * 2 / GROUP).cast("int")).collect()  # a row for each leaf of the tree
+    blocks = {r.leaf: r.blocks for r in sizes if r["count"] > GROUP}
+    dealt = visits.withColumns({"i": F.lit(0), "j": F.lit(0)})
+    if blocks:
+        n_blocks = F.coalesce(F.create_map(*(F.lit(x) for kv in blocks.items() for x in kv))[F.col("leaf")], F.lit(1))
+        own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
+        dealt = (visits.withColumn("n", n_blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+                 .select("leaf", "fp", "home", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
+    return dealt.groupBy("leaf", "i", "j").applyInArrow(pair, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -262,24 +307,53 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _grouped(docs: DataFrame, words: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """The staged (doc_id, fp) of every row, and for each fp its group (a fingerprint), its number of rows and the group's smallest doc_id."""
+    rows = staged(fingerprints(docs, words), "fingerprints")
+    of_fp = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "distinct")
+    root = components(links(of_fp.select("fp"), bits)).withColumnRenamed("node", "fp")
+    named = of_fp.join(root, "fp", "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("group"))
+    groups = named.groupBy("group").agg(F.min("least").alias("component_id"))
+    return rows, staged(named.join(groups, "group").select("fp", "rows", "group", "component_id"), "groups")
+
+
+def _with_groups(rows: DataFrame, of_fp: DataFrame) -> DataFrame:
+    """The rows with their fingerprint's group; the few fingerprints with very many rows are joined by broadcast."""
+    total = of_fp.agg(F.sum("rows").alias("n")).first().n or 0
+    hot = of_fp.where(F.col("rows") > max(HOT_ROWS, total // 1000))  # fewer than a thousand, as each holds a thousandth of all rows
+    if hot.isEmpty():
+        return rows.join(of_fp, "fp")
+    few = F.broadcast(hot)
+    return rows.join(few, "fp").unionByName(rows.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(of_fp, "fp"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """doc_id, fingerprint (hexadecimal) and component_id of every row."""
-    rows = staged(fingerprints(docs, words), "fingerprints")
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    root = components(links(least.select("fp"), bits)).withColumnRenamed("node", "fp")
-    named = least.join(root, "fp").select("root", "fp", "least")
-    groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(groups, "root").select("fp", "component_id")
-    ids = least.join(of, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows, of_fp = _grouped(docs.select("doc_id", "text"), words, bits)
+    return _with_groups(rows, of_fp).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """One row of each group, that with the smallest doc_id.
 
-    A doc_id names a document: of rows that repeat it one stays.  Rows without a doc_id all stay.
+    Of a group's rows with that doc_id the one with the smallest hash of its columns stays, so the choice does not depend
+    on partitions; a doc_id with different texts is in as many groups and may stay in each.  Rows without a doc_id all stay.
     """
-    found = near_duplicates(docs, words, bits)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    named = docs.where("doc_id is not null")
+    mark = row_hash(docs)
+    marked = named.select("doc_id", "text", mark.alias("mark"))
+
+    def run(batches):
+        for b in batches:
+            made = np.array([fingerprint((t or "").encode(), words) for t in b.column("text").to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(made.view(np.int64))], ["doc_id", "mark", "fp"])
+
+    schema = docs.select("doc_id").schema.add("mark", "long").add("fp", "long")
+    rows = staged(marked.mapInArrow(run, schema), "fingerprints")
+    of_fp = staged(rows.groupBy("fp").agg(F.min(F.struct("doc_id", "mark")).alias("first")), "distinct")
+    root = components(links(of_fp.select("fp"), bits)).withColumnRenamed("node", "fp")
+    first = of_fp.join(root, "fp", "left").groupBy(F.coalesce("root", "fp").alias("group")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__doc"), F.col("first.mark").alias("__mark"))
+    same = (F.col("doc_id") == F.col("__doc")) & (mark == F.col("__mark"))
+    kept = named.join(first.distinct(), same).select(*docs.columns, "__mark")
+    one = kept.dropDuplicates(["doc_id", "__mark"]).select(docs.columns)  # rows that are alike in all columns
+    return one.unionByName(docs.where("doc_id is null"))
