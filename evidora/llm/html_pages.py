@@ -3,12 +3,16 @@
 Every block's label is that of its nearest ancestor, itself included, with
 ``data-main``: 1 for main text, 0 for all else.  The pages are invented: each
 puts together parts that its number selects, so that menus, adverts, notices,
-comments and articles of all lengths stand in many places.
+comments and articles of all lengths stand in many places.  On some pages names
+say nothing: classes and ids are replaced by made-up ones, or an article carries
+the names of its topics, which may be those of other things.
 """
 
 from __future__ import annotations
 
-PAGES = 400
+import re
+
+PAGES = 600
 _WORDS = ("the river wall was built by hand and it holds when rain comes over the hill so people in town walk there every day "
           "to look at boats that bring stone from far away while children count gulls").split()
 
@@ -45,6 +49,13 @@ def _paragraphs(c: _Choice, most: int = 4) -> str:
     return "".join(f"<p>{c.text()}</p>" for _ in range(1 + c.below(most)))
 
 
+def _remark(c: _Choice) -> str:
+    """A reader's comment: often with a name, a date or a link to answer."""
+    name = c.of(("", f"<b>{c.of(_WORDS).capitalize()}</b>: ", f"<h4>{c.of(_WORDS).capitalize()} {c.of(_WORDS).capitalize()}</h4>", f"<span>{1 + c.below(28)} {c.of(('May', 'June', 'March'))} {2001 + c.below(24)}</span> "))
+    answer = c.of(("", "", f'<a href="#r{c.below(99)}">{c.of(("Reply", "Answer", "Report", "Like"))}</a>'))
+    return c.of((f"<p>{name}{c.sentence()}</p>{answer}", f"{name}<p>{c.text()}</p>{answer}", f"<p>{name}{c.text()} {answer}</p>"))
+
+
 def _other(c: _Choice, where: str) -> str:
     """Something that is not main text."""
     kinds = {
@@ -60,10 +71,13 @@ def _other(c: _Choice, where: str) -> str:
         "notice": (lambda: f'<div class="{c.of(("notice", "cookie-banner", "cookie-notice", "gdpr consent", "alert", "popup", "modal"))}" data-main="0">{c.of((c.text(), _paragraphs(c, 2)))}</div>',
                    lambda: f'<div id="{c.of(("cookies", "consent", "notice"))}" data-main="0">{_paragraphs(c, 2)}</div>', lambda: f'<div role="{c.of(("banner", "alert", "search", "navigation"))}" data-main="0">{_paragraphs(c, 1)}</div>',
                    lambda: f'<section class="notice" data-main="0">{_paragraphs(c, 2)}</section>', lambda: f'<p class="notice" data-main="0">{c.text()}</p>', lambda: f'<dialog data-main="0">{_paragraphs(c, 2)}</dialog>'),
-        "comments": (lambda: f'<section class="comments" data-main="0"><h3>{c.sentence()}</h3>' + "".join(f'<div class="comment">{_paragraphs(c, 2)}</div>' for _ in range(1 + c.below(4))) + "</section>",
-                     lambda: f'<div id="{c.of(("comments", "disqus_thread", "replies"))}" data-main="0"><ol>' + "".join(f"<li><p>{c.text()}</p></li>" for _ in range(1 + c.below(4))) + "</ol></div>",
-                     lambda: '<div class="reader-comments" data-main="0">' + "".join(f'<article class="comment"><p>{c.text()}</p></article>' for _ in range(1 + c.below(3))) + "</div>",
-                     lambda: '<ul class="comment-list" data-main="0">' + "".join(f"<li>{c.text()}</li>" for _ in range(1 + c.below(4))) + "</ul>"),
+        "comments": (lambda: f'<section class="{c.of(("comments", "comments", "feedback", "discussion", "responses"))}" data-main="0"><h3>{c.sentence()}</h3>' + "".join(f'<div class="comment">{_remark(c)}</div>' for _ in range(1 + c.below(5))) + "</section>",
+                     lambda: f'<div id="{c.of(("comments", "disqus_thread", "replies", "reactions"))}" data-main="0"><ol>' + "".join(f"<li>{_remark(c)}</li>" for _ in range(1 + c.below(5))) + "</ol></div>",
+                     lambda: f'<div class="{c.of(("reader-comments", "feedback", "readers"))}" data-main="0">' + "".join(f'<article class="comment">{_remark(c)}</article>' for _ in range(1 + c.below(4))) + "</div>",
+                     lambda: f'<ul class="{c.of(("comment-list", "opinions"))}" data-main="0">' + "".join(f"<li>{c.text()}</li>" for _ in range(1 + c.below(5))) + "</ul>",
+                     lambda: f'<{c.of(("div", "section"))} {c.of(("class", "id"))}="{c.of(("comments", "comments", "comment", "replies"))}" data-main="0">{_paragraphs(c, 3)}</div></section>',
+                     lambda: "".join(f'<div class="comment" data-main="0">{c.of((c.text(), _paragraphs(c, 1)))}</div>' for _ in range(1 + c.below(3))),
+                     lambda: f'<div class="{c.of(("feedback", "comments", "responses"))}" data-main="0">' + "".join(f"<div>{_remark(c)}</div>" for _ in range(1 + c.below(5))) + "</div>"),
         "end": (lambda: f'<footer data-main="0">{c.of(("&copy; " + c.text(), _menu(c), _paragraphs(c, 2), c.text()))}</footer>',
                 lambda: f'<div class="{c.of(("footer", "site-footer", "legal", "page-footer"))}" data-main="0">{c.of((c.text(), _menu(c), _paragraphs(c, 2)))}</div>', lambda: f'<div id="footer" data-main="0">{c.text()}</div>'),
     }
@@ -83,24 +97,37 @@ def _body(c: _Choice) -> str:
     return "".join(out)
 
 
+def _topics(c: _Choice) -> str:
+    """Names that an article has for what it is about; they may be those of menus, adverts and the like."""
+    if c.below(3):
+        return ""
+    topics = ("advert", "advertising", "newsletter", "comments", "footer", "header", "menu", "sidebar", "sponsored", "notice", "banner", "nav", "related", "share", "promo", "cookies", "social", "widget", "news", "town")
+    of = lambda: c.of((f"tag-{c.of(topics)}", f"category-{c.of(topics)}", f"topic-{c.of(topics)}", f"{c.of(topics)}-guidelines", f"post-{c.of(topics)}"))
+    return f' class="{c.of(("post", "entry", "article-body", "hentry", "story"))} {of()} {of()}"'
+
+
 def _article(c: _Choice) -> str:
-    body, after = _body(c), _other(c, "comments") if c.below(4) == 0 else ""
-    kind = c.below(8)
+    body, after = _body(c), _other(c, "comments") if c.below(3) == 0 else ""
+    kind = c.below(12)
     if kind < 3:
-        return f'<article data-main="1">{body}{after}</article>'
+        return f'<article{_topics(c)} data-main="1">{body}{after}</article>'
     if kind == 3:
-        return f'<main data-main="1">{body}{after}</main>'
+        return f'<main{_topics(c)} data-main="1">{body}{after}</main>'
+    if kind in (8, 9):
+        return f'<div{_topics(c)} data-main="1">{body}{after}</div>'
     if kind == 4:
         return f'<main><article data-main="1">{body}</article>{after}</main>'
     if kind == 5:
         return f'<div data-main="1">{body}</div>{after}'
     if kind == 6:
         return f'<article><div class="{c.of(("entry-content", "post-body", "article-text"))}" data-main="1">{body}</div>{after}</article>'
-    return f'<div class="{c.of(("post-content", "content", "story", "article"))}" data-main="1">{body}{after}</div>'
+    return f'<div class="{c.of(("post-content", "content", "story", "article", "text", "entry", "main-content", "post"))}" data-main="1">{body}{after}</div>'
 
 
 def labelled_page(number: int) -> str:
     c = _Choice(number)
+    if c.below(8) == 0:  # nothing around the article
+        return _renamed(c, f'<body data-main="1">{"".join(_other(c, "top") for _ in range(c.below(2)))}{_body(c)}{"".join(_other(c, c.of(("end", "comments", "side"))) for _ in range(c.below(3)))}</body>')
     top = "".join(_other(c, "top") for _ in range(c.below(3)))
     if c.below(3) == 0:
         top += _other(c, "notice")
@@ -112,7 +139,20 @@ def labelled_page(number: int) -> str:
     middle = c.of((main + side, side + main)) + comments
     middle = c.of((middle, f"<div>{middle}</div>", f'<div id="wrapper" class="{c.of(("page", "container", "row"))}">{middle}</div>'))
     end = "".join(_other(c, "end") for _ in range(c.below(3)))
-    return f"<html><head><title>{c.sentence()}</title></head><body>{top}{middle}{end}</body></html>"
+    return _renamed(c, f"<html><head><title>{c.sentence()}</title></head><body>{top}{middle}{end}</body></html>")
+
+
+def _renamed(c: _Choice, page: str) -> str:
+    """At times every class and id is another word that says nothing."""
+    if c.below(6):
+        return page
+    names: dict[str, str] = {}
+
+    def other(m):
+        made = "".join(chr(97 + c.below(26)) for _ in range(3 + c.below(4))) + str(c.below(99))
+        return f'{m[1]}="{names.setdefault(m[2], made)}"'
+
+    return re.sub(r'\b(class|id)="([^"]*)"', other, page)
 
 
 def labelled_pages(n: int = PAGES) -> list[str]:

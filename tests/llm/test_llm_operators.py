@@ -111,19 +111,28 @@ def test_html_of_many_shapes(spark):
 
 
 def test_marginals_are_those_of_all_assignments():
+    """Sum-product messages against the sum over all assignments of states to the nodes of two trees."""
+    import numpy as np
+
     model = html_text.TreeModel()
-    nodes = html_text.parse("<body><div class=menu><p>x</p></div><article><p>Some text.</p></article></body>")
-    own = model.potentials(nodes)
-    assert len(nodes) == 7 and all(p[html_text.MIXED] == 0 for n, p in zip(nodes, own) if n.text is not None)
-    parent = [-1 if n.parent is None else nodes.index(n.parent) for n in nodes]
-    main, whole = [0.0] * len(nodes), 0.0
-    for code in range(3 ** len(nodes)):
-        s = [code // 3**i % 3 for i in range(len(nodes))]
-        w = model.prior[s[0]] * math.prod(own[i][s[i]] for i in range(len(nodes))) * math.prod(model.pair[s[parent[i]]][s[i]] for i in range(1, len(nodes)))
-        whole += w
-        for i, x in enumerate(s):
-            main[i] += w * (x == html_text.MAIN)
-    assert all(math.isclose(a / whole, b, abs_tol=1e-9) for a, b in zip(main, model.marginals(nodes)))
+    pages = [html_text.parse("<body><div class=menu><p>x</p></div><article><p>Some text.</p></article></body>"), html_text.parse("<p>y<p>z")]
+    rng = np.random.default_rng(4)
+    forest = html_text.Forest(pages)
+    own = rng.normal(size=(forest.size, 3))
+    got = forest.marginals(own, model.pair, model.prior)[:, html_text.MAIN]
+    own[forest.text, html_text.MIXED] = -np.inf
+    pair, at = np.exp(model.pair), 0
+    for nodes in pages:
+        n = len(nodes)
+        mine, parent = np.exp(own[at:at + n]), [-1 if x.parent is None else nodes.index(x.parent) for x in nodes]
+        main, whole = np.zeros(n), 0.0
+        for code in range(3**n):
+            s = [code // 3**i % 3 for i in range(n)]
+            w = math.exp(model.prior[s[0]]) * math.prod(mine[i][s[i]] for i in range(n)) * math.prod(pair[s[parent[i]]][s[i]] for i in range(1, n))
+            whole += w
+            main += w * (np.array(s) == html_text.MAIN)
+        assert np.allclose(main / whole, got[at:at + n], atol=1e-9)
+        at += n
 
 
 @pytest.mark.parametrize("name,label,mod,left_out", [("op4_quality_classifier", "quality", 3, 1), ("op5_toxicity", "toxic", 5, 0)])
