@@ -4,7 +4,9 @@ Each source's share of all tokens (runs of characters that are not white space)
 is raised to an exponent and the results are scaled to weights.  The exponent is
 found by bisection between 0 (equal weights) and 1 (natural shares): the largest
 one whose weights have the target entropy, or a larger one where a source would
-otherwise be repeated more than the limit.  A source's weight times the token
+otherwise be repeated more than the limit.  Unless a target is given it is half-way
+between the entropy of the natural shares and the greatest, so that sources of
+different sizes are always brought nearer to each other.  A source's weight times the token
 budget is its quota, taken in passes over the source.  In every pass the source's
 blocks of documents come in a random order, and the documents of a block in
 another; the last pass stops where the quota is met, to within a document.
@@ -17,9 +19,11 @@ over blocks and over the documents of one block, never over all its documents.
 
 Cases: a null or empty text has no tokens and is in no pass, as is a source
 without tokens; a null source is a source of its own; rows that repeat a doc_id
-and text are taken together or not at all; a null doc_id is allowed; ties in a
-random order go to the smaller doc_id; extra columns are kept by :func:`mix`; an
-empty table gives an empty result.
+and text are taken together or not at all; a null doc_id is allowed; a text of any
+length counts all its tokens, and one longer than its source's quota is not taken;
+ties in a random order go to the smaller doc_id; sources of equal size have equal
+weights; extra columns are kept by :func:`mix`, but for those that it makes, which
+replace columns of their name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from evidora.llm.common import staged
 
-TARGET_ENTROPY = 0.95     # of the entropy of equal weights
+TARGET_ENTROPY = None     # of the entropy of equal weights; None: half-way between that of the natural shares and 1
 MAX_REPETITION = 4.0      # passes over a source
 BUDGET_RATE = 1.0         # tokens of the mixture, over those of the corpus
 BLOCK_TOKENS = 1 << 20
@@ -43,7 +47,7 @@ def units(docs: DataFrame) -> DataFrame:
             .groupBy("doc_id", "source", "tag").agg(F.sum("n").alias("tokens")).where("tokens > 0"))
 
 
-def exponent(totals: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repetition: float = MAX_REPETITION, budget: float | None = None) -> float:
+def exponent(totals: DataFrame, target_entropy: float | None = TARGET_ENTROPY, max_repetition: float = MAX_REPETITION, budget: float | None = None) -> float:
     """The exponent for the sources in ``totals`` (source, tokens)."""
     whole = totals.agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).first()
     if not whole.n or whole.n == 1:
@@ -70,13 +74,15 @@ def exponent(totals: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repe
                 break
         return low
 
+    if target_entropy is None:
+        target_entropy = (measured([1.0])[1.0][0] + 1) / 2
     even = bisect(lambda m, points: [m[t][0] >= target_entropy - 1e-12 for t in points], 0.0, 1.0)
     if measured([even])[even][1] <= max(max_repetition, rate) + 1e-9:
         return even
     return bisect(lambda m, points: [m[t][1] > max(max_repetition, rate) for t in points], even, 1.0) + 1 / SECTIONS**ROUNDS
 
 
-def passes(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repetition: float = MAX_REPETITION, budget: float | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def passes(docs: DataFrame, target_entropy: float | None = TARGET_ENTROPY, max_repetition: float = MAX_REPETITION, budget: float | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, source, tag, tokens, weight, epoch and progress: a row for each time that a document is in the mixture."""
     rows = staged(units(docs), "units").withColumn("of", F.concat(F.lit("="), "source")).withColumn("of", F.coalesce("of", F.lit("-")))
     totals = staged(rows.groupBy("of").agg(F.sum("tokens").alias("tokens")), "totals")
@@ -108,4 +114,4 @@ def mix(docs: DataFrame, **limits) -> DataFrame:
     """The rows of the mixture with their own columns, and weight, epoch and progress."""
     chosen = passes(docs, **limits).select(F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("tag").alias("__tag"), F.col("weight").alias("mix_weight"), F.col("epoch").alias("mix_epoch"), F.col("progress").alias("mix_progress"))
     same = F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("source").eqNullSafe(F.col("__source")) & (F.hash("text") == F.col("__tag"))
-    return docs.join(chosen, same).drop("__doc", "__source", "__tag")
+    return docs.drop("mix_weight", "mix_epoch", "mix_progress").join(chosen, same).drop("__doc", "__source", "__tag")

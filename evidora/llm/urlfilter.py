@@ -7,7 +7,8 @@ all labelled URLs but a fifth.  The probability of a character interpolates all
 orders, ``p_k = (n(context, c) + s * p_(k-1)) / (n(context) + s)``, so unseen
 contexts fall back on shorter ones.  The log-ratio is worked out once for each
 distinct gram of the corpus by joins with these tables; a URL's score is the mean
-over its characters, calibrated on the labelled URLs that were not counted.
+over its characters, calibrated on the labelled URLs that were not counted, with
+equal weight for accepted and rejected ones.
 
 Everything is DataFrame functions; there is no Python on the executors.
 
@@ -15,13 +16,13 @@ Cases: a null URL, an empty one and one without ``://`` have empty host and
 path, fit no rule and are judged on their whole string (null: as empty, whose
 ratio is 0); without both classes of labelled URLs the method allows; a null
 page_id is judged like any other; equal URLs are judged once and all get the
-verdict; extra columns are ignored; an empty table gives an empty result.
+verdict; a URL of any length is judged whole; a score of exactly one half allows;
+extra columns are ignored, whatever their names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +50,15 @@ def matching_rule(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return name, says
 
 
+def all_grams(text: Column) -> Column:
+    """Every run of ORDER characters.  Characters are zipped with themselves moved on: a substring would count from the start each time."""
+    chars = F.split(text, "")
+    runs = chars
+    for i in range(2, ORDER + 1):
+        runs = F.zip_with(runs, F.slice(chars, i, 1 << 30), lambda a, b: F.concat(a, b))
+    return F.filter(runs, lambda g: g.isNotNull())
+
+
 def gram_ratios(grams: DataFrame, counts: DataFrame) -> DataFrame:
     """gram and log P(its last character | accepted) - log P(... | rejected) for all of ``grams``; counts has gram, a and r."""
     total = counts.agg(F.sum("a").alias("a"), F.sum("r").alias("r")).first()
@@ -68,7 +78,11 @@ def gram_ratios(grams: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def calibrated(labelled: DataFrame) -> tuple[float, float]:
-    """Slope and offset of P(accepted) as a logistic function of the ratio: equal-variance normal classes; has ratio, a and r."""
+    """Slope and offset of P(accepted) as a logistic function of the ratio: normal classes of equal variance and equal weight; has ratio, a and r.
+
+    How many URLs the rules accept and reject says nothing of those that no rule fits, so both classes weigh alike: the
+    threshold stands half-way between their means.
+    """
     s = labelled.agg(*(f(x).alias(f"{n}{x}") for x in "ar" for n, f in (
         ("n", F.sum), ("m", lambda w: F.sum(F.col(w) * F.col("ratio"))), ("v", lambda w: F.sum(F.col(w) * F.col("ratio") * F.col("ratio")))))).first()
     if not s.na or not s.nr:
@@ -76,7 +90,7 @@ def calibrated(labelled: DataFrame) -> tuple[float, float]:
     ma, mr = s.ma / s.na, s.mr / s.nr
     spread = max((s.va - s.na * ma * ma + s.vr - s.nr * mr * mr) / (s.na + s.nr), 1e-6)
     slope = (ma - mr) / spread
-    return slope, math.log(s.na / s.nr) - slope * (ma + mr) / 2
+    return slope, -slope * (ma + mr) / 2
 
 
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -90,11 +104,15 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     seen = texts.where("not fresh").agg(F.sum("a").alias("a"), F.sum("r").alias("r")).first()
     if not seen.a or not seen.r:
         return judged.select("page_id", "host", "path", "rule", F.coalesce("says", F.lit("allow")).alias("verdict"), F.lit(1.0).alias("score"))
-    padded = F.concat(F.lit(START * (ORDER - 1)), F.col("text"))
-    grams = texts.where("text != ''").select("id", "a", "r", "fresh", F.explode(F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: padded.substr(i, F.lit(ORDER)))).alias("gram"))
+    grams = texts.where("text != ''").select("id", "a", "r", "fresh", F.explode(all_grams(F.concat(F.lit(START * (ORDER - 1)), F.col("text")))).alias("gram"))
     counts = staged(grams.where("not fresh and a + r > 0").groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r")), "grams")
-    ratios = gram_ratios(grams.select("gram").distinct(), counts)
-    means = grams.select("id", "gram").join(ratios, "gram").groupBy("id").agg(F.avg("ratio").alias("ratio"))
+    seen_grams = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    ratios = staged(gram_ratios(seen_grams.select("gram"), counts).join(seen_grams, "gram"), "gram-ratios")
+    # Of the grams that make a thousandth of all occurrences there are at most a thousand: these are joined by broadcast.
+    hot = F.broadcast(ratios.where(F.col("n") > F.lit((ratios.agg(F.sum("n").alias("n")).first().n or 0) / 1000)).select("gram", "ratio"))
+    of_url = grams.select("id", "gram")
+    found = of_url.join(hot, "gram").unionByName(of_url.join(hot.select("gram"), "gram", "left_anti").join(ratios.select("gram", "ratio"), "gram"))
+    means = found.groupBy("id").agg(F.avg("ratio").alias("ratio"))
     scored = staged(texts.join(means, "id", "left").withColumn("ratio", F.coalesce("ratio", F.lit(0.0))), "ratios")
     slope, offset = calibrated(scored.where("fresh and a + r > 0"))
     return (judged.join(scored.select("text", (1 / (1 + F.exp(-(slope * F.col("ratio") + offset)))).alias("score")), "text")

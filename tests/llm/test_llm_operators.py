@@ -61,6 +61,14 @@ def test_mixing_meets_its_targets(spark):
     full = got.where("source is null and epoch = 0").count()
     assert full == sum(1 for r in rows if r[3] is None) - 1  # a pass holds every document once, the repeated rows together
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, mixing.mixture(docs, target_entropy=0.9, max_repetition=3.0).collect()), key=repr)
+    totals = mixing.units(docs).groupBy(F.col("source").alias("of")).agg(F.sum("tokens").alias("tokens"))
+    natural = totals.collect()
+    whole = sum(r.tokens for r in natural)
+    even = lambda t: -sum(w * math.log(w) for w in [x / sum((r.tokens / whole) ** t for r in natural) for x in [(r.tokens / whole) ** t for r in natural]]) / math.log(len(natural))
+    t = mixing.exponent(totals)
+    assert 0 < t < 1 and math.isclose(even(t), (even(1) + 1) / 2, abs_tol=1e-6)  # half-way between the natural and the greatest entropy
+    again = mixing.mix(docs.withColumn("mix_epoch", F.lit("clash")))
+    assert again.schema["mix_epoch"].dataType.simpleString() != "string" and again.count() == mixing.mix(docs).count()
     out = mixing.mix(docs)
     assert out.columns == docs.columns + ["mix_weight", "mix_epoch", "mix_progress"] and out.where("text is null or text = ''").count() == 0
     assert mixing.mixture(docs.where("false")).count() == 0
