@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from evidora.functions.columns import fold, shingles
 
+# Types whose versions carry data of their own, and types of which versions may replace each other.
+FINANCIAL = ("capex", "cash_flow", "monthly_reporting")
+CONTRACTS = ("funding", "legal", "board", "other", "general", "")
 LIFECYCLE_RANK = {"signed": 5, "executed": 4, "filed": 4, "working_paper": 3, "draft": 2}
 
 
@@ -33,16 +36,25 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     return keyed.join(groups, "content_hash").select("document_id", "survivor", "copies", (F.col("document_id") != F.col("survivor")).alias("superseded"))
 
 
+def _bare(title: Column) -> Column:
+    return F.regexp_replace(fold(title), r"\.[a-z0-9]{2,4}$", "")
+
+
 def stem(title: Column) -> Column:
-    """A title without extension, version, copy and draft marks and without anything but letters and digits."""
-    bare = F.regexp_replace(fold(title), r"\.[a-z0-9]{2,4}$", "")
-    bare = F.regexp_replace(bare, r"\b(v[0-9]+|rev[0-9]*|draft|signed|final|copy)\b", "")
+    """A title without extension, version, date, copy and status marks and without anything but letters and digits."""
+    bare = F.regexp_replace(_bare(title), r"\b(v[0-9]+|rev[0-9]*|draft|signed|final|copy)\b", "")
     return F.regexp_replace(F.regexp_replace(bare, r"[0-9]{4}[-_]?[0-9]{2}[-_]?[0-9]{2}", ""), r"[^a-z0-9]", "")
 
 
 def tight_key(title: Column) -> Column:
-    """As :func:`stem`, with digits and marks kept."""
-    return F.regexp_replace(F.regexp_replace(fold(title), r"\.[a-z0-9]{2,4}$", ""), r"[^a-z0-9]", "")
+    """As :func:`stem`, but only status marks and short copy numbers go: dates and versions tell documents apart."""
+    bare = F.regexp_replace(_bare(title), r"\b(draft|signed|final|copy)\b", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"\([ ]*[0-9]{1,3}[ ]*\)", ""), r"[^a-z0-9]", "")
+
+
+def language_tag(title: Column) -> Column:
+    """The language that a title names, null if none."""
+    return F.nullif(F.regexp_extract(fold(title), r"\b(en|es|fr|de|eng|esp)\b", 1), F.lit(""))
 
 
 def similar_pairs(docs: DataFrame, key: str, least: float = 0.8, n: int = 3) -> DataFrame:
@@ -77,30 +89,67 @@ def text_classes(docs: DataFrame, key: str, least: float = 0.8, n: int = 3) -> D
 
 
 def near_duplicate_decisions(docs: DataFrame, least: float = 0.95, length_ratio: float = 0.9) -> DataFrame:
-    """Members of stem clusters with the canonical member, and whether to supersede or to review."""
-    d = docs.withColumn("stem", stem(F.col("title"))).withColumn("hash", content_hash(F.col("text"))).where(F.length("stem") >= 8)
-    order = Window.partitionBy("stem").orderBy(F.desc(lifecycle_rank(F.col("lifecycle"))), F.desc("chunk_count"), "document_id")
-    whole = Window.partitionBy("stem")
-    d = (d.withColumn("r", F.row_number().over(order)).withColumn("canonical", F.first("document_id").over(order)).withColumn("n", F.count("*").over(whole))
-         .withColumn("hashes", F.size(F.collect_set("hash").over(whole))).where("n > 1"))
-    keep = d.where("r = 1").select("stem", F.col("hash").alias("keep_hash"), F.length("text").alias("keep_length"))
-    ratio = F.least(F.length("text"), F.col("keep_length")) / F.greatest(F.length("text"), F.col("keep_length"))
-    same = F.col("hash") == F.col("keep_hash")
-    return (d.where("r > 1").join(keep, "stem").withColumn("decision", F.when(F.col("doc_type").isin("capex", "cash_flow", "funding"), "review").when(same & (ratio >= length_ratio), "supersede").otherwise("review"))
-            .select("document_id", "canonical", "decision"))
+    """For members of title clusters of a project: what they are compared with (``canonical``), the decision and its reason.
+
+    Clusters of one content are left to exact dedup.  A cluster with a type whose versions carry data of their own
+    (FINANCIAL), or with one that is no contract, is reviewed whole.  The others are grouped by tight key; a group in several
+    languages is reviewed, and in the rest a member is superseded if it shares ``least`` of its word trigrams with the
+    group's canonical document and their lengths are within ``length_ratio``, else reviewed.  Only keys, hashes and lengths
+    are grouped; texts join for the pairs of a member and its canonical document.
+    """
+    keyed = docs.select("document_id", "project_id", "doc_type", "title", "lifecycle", "chunk_count", content_hash(F.col("text")).alias("hash"), stem(F.col("title")).alias("stem"),
+                        tight_key(F.col("title")).alias("tight"), language_tag(F.col("title")).alias("language")).where(F.length("stem") >= 8).withColumn("project", F.coalesce("project_id", F.lit("")))
+    kind = F.coalesce("doc_type", F.lit(""))
+    clusters = (keyed.groupBy("stem", "project").agg(F.count("*").alias("n"), (F.min("hash") != F.max("hash")).alias("differ"), F.max(kind.isin(*FINANCIAL)).alias("financial"), F.min(kind.isin(*CONTRACTS)).alias("contracts"))
+                .where("n > 1 and differ"))
+    whole = F.when(F.col("financial"), "financial-versions").when(~F.col("contracts"), "mixed-type")
+    members = keyed.join(clusters.select("stem", "project", whole.alias("whole")), ["stem", "project"])
+    reviewed = members.where("whole is not null").select("document_id", F.lit(None).cast("long").alias("canonical"), F.lit("review").alias("decision"), F.col("whole").alias("reason"))
+    single = members.where("whole is null")
+    best = F.min(F.struct((-lifecycle_rank(F.col("lifecycle"))).alias("a"), F.when(F.col("title").rlike("(?i)signed"), 0).otherwise(1).alias("b"), F.when(F.col("title").rlike(r"(?i)\.pdf$"), 0).otherwise(1).alias("c"), (-F.coalesce("chunk_count", F.lit(0))).alias("d"), "document_id"))
+    groups = (single.groupBy("stem", "project", "tight").agg(F.count("*").alias("n"), (F.min("hash") != F.max("hash")).alias("differ"), (F.min("language") != F.max("language")).alias("languages"), best.alias("best"))
+              .where("n > 1 and differ").select("stem", "project", "tight", F.coalesce("languages", F.lit(False)).alias("languages"), F.col("best.document_id").alias("canonical")))
+    grouped = single.join(groups, ["stem", "project", "tight"])
+    translated = grouped.where("languages").select("document_id", F.lit(None).cast("long").alias("canonical"), F.lit("review").alias("decision"), F.lit("translations").alias("reason"))
+    texts = docs.select("document_id", F.length("text").alias("length"), shingles(F.col("text")).alias("grams"))
+    other = texts.select(F.col("document_id").alias("canonical"), F.col("length").alias("canonical_length"), F.col("grams").alias("canonical_grams"))
+    pairs = grouped.where("not languages and document_id <> canonical").select("document_id", "canonical").join(texts, "document_id").join(other, "canonical")
+    shared = F.size(F.array_intersect("grams", "canonical_grams"))
+    similarity = F.coalesce(F.try_divide(shared, F.size("grams") + F.size("canonical_grams") - shared), F.lit(0.0))
+    ratio = F.least("length", "canonical_length") / F.greatest("length", "canonical_length", F.lit(1))
+    alike = (similarity >= least) & (ratio >= length_ratio)
+    compared = pairs.select("document_id", "canonical", F.when(alike, "supersede").otherwise("review").alias("decision"), F.when(alike, "near-duplicate").otherwise("differs").alias("reason"))
+    return reviewed.unionByName(translated).unionByName(compared)
+
+
+KEPT_ACTIONS = ("unsupported", "too_large", "unmapped", "unavailable", "duplicate_content_superseded", "failed_unextractable")
+QUEUED_ACTIONS = ("missing", "changed", "reingest_same_hash", "legacy_title_match")
 
 
 def mark_batch_duplicates(files: DataFrame) -> DataFrame:
-    """The first file of each project and hash keeps its action, later ones are duplicates in the batch."""
-    first = files.groupBy("project_id", "source_hash").agg(F.min("file_id").alias("first"))
-    same = F.col("a.project_id").eqNullSafe(F.col("b.project_id")) & (F.col("a.source_hash") == F.col("b.source_hash"))
-    return files.alias("a").join(first.alias("b"), same).select("a.file_id", F.when(F.col("a.file_id") == F.col("first"), F.col("a.action")).otherwise("duplicate_in_batch").alias("action"))
-
-
-def reconcile(files: DataFrame, docs: DataFrame, jobs: DataFrame) -> DataFrame:
-    """What to do with each incoming file, by the documents and jobs that already know it."""
-    by_hash = docs.groupBy("source_hash").agg(F.min("document_id").alias("hash_doc"), F.min_by("status", "document_id").alias("hash_status"))
-    by_title = docs.groupBy("title").agg(F.min("document_id").alias("title_doc"))
-    known = files.join(by_hash, "source_hash", "left").join(by_title, "title", "left").join(jobs, "storage_path", "left")
-    return known.select("file_id", F.when(F.col("size") > 50_000, "too_large").when(F.col("hash_status") == "indexed", "already_indexed").when(F.col("hash_status") == "error", "retry").when(F.col("hash_doc").isNotNull(), "known")
-                        .when(F.col("job_status").isin("queued", "processing"), "in_queue").when(F.col("title_doc").isNotNull(), "review_title").otherwise("ingest").alias("action"))
+    """Of files of one project and hash the first keeps its action; later ones that would be queued are duplicates in the batch."""
+    counts = F.col("project_id").isNotNull() & ~F.col("action").isin(*KEPT_ACTIONS)
+    first = files.where(counts).groupBy("project_id", "source_hash").agg(F.min("file_id").alias("first"))
+    same = (F.col("a.project_id") == F.col("b.project_id")) & (F.col("a.source_hash") == F.col("b.source_hash"))
+    again = F.col("a.action").isin(*QUEUED_ACTIONS) & (F.col("a.file_id") > F.col("b.first"))
+    return files.alias("a").join(first.alias("b"), same, "left").select("a.*", F.when(again, "duplicate_in_batch").otherwise(F.col("a.action")).alias("marked")).withColumn("action", F.col("marked")).drop("marked")
+
+
+def reconcile(files: DataFrame, docs: DataFrame, jobs: DataFrame, max_bytes: int = 50 * 1024 * 1024, extensions=("pdf", "docx", "xlsx", "pptx", "txt", "md", "csv")) -> DataFrame:
+    """What to do with each incoming file (file_id, name, project_id, source_hash, size, storage_path, unavailable).
+
+    Documents are known by project and hash, and by project and title; each is summed to flags first, so that a hash or title
+    that very many documents share is summed on the map side.  The first condition that holds names the action.
+    """
+    name = F.lower(F.trim(F.regexp_replace("name", r"\.[A-Za-z0-9]{1,5}$", "")))
+    has_chunks, indexed, gone = F.coalesce("chunk_count", F.lit(0)) > 0, F.col("status") == "indexed", F.col("lifecycle").eqNullSafe(F.lit("superseded"))
+    any_of = lambda c, n: F.coalesce(F.bool_or(c), F.lit(False)).alias(n)
+    project = F.coalesce("project_id", F.lit("")).alias("project")
+    by_hash = docs.where("source_hash is not null").groupBy(project, "source_hash").agg(any_of(indexed & ~gone & has_chunks, "usable"), any_of(indexed & gone & has_chunks, "replaced"), any_of(F.col("status") == "error", "failed"))
+    by_title = docs.where(~gone).groupBy(project, F.lower(F.trim(F.regexp_replace("title", r"\.[A-Za-z0-9]{1,5}$", ""))).alias("key")).agg(any_of(F.col("source_hash").isNotNull(), "hashed"))
+    f = files.withColumn("project", F.coalesce("project_id", F.lit(""))).withColumn("key", name).withColumn("ext", F.lower(F.regexp_extract("name", r"\.([A-Za-z0-9]{1,5})$", 1)))
+    known = f.join(by_hash, ["project", "source_hash"], "left").join(by_title, ["project", "key"], "left").join(jobs.select("storage_path", "job_status"), "storage_path", "left")
+    action = (F.when(F.col("name").rlike(r"(?i)_error\.txt$") | ~F.col("ext").isin(*extensions), "unsupported").when(F.col("unavailable"), "unavailable").when(F.col("project_id").isNull(), "unmapped")
+              .when(F.col("usable"), "already_indexed_hash").when(F.col("replaced"), "duplicate_content_superseded").when(F.col("failed"), "failed_unextractable").when(F.col("usable").isNotNull(), "reingest_same_hash")
+              .when(F.col("size") > max_bytes, "too_large").when(F.col("job_status").isin("queued", "processing", "done"), "job_exists").when(F.col("hashed"), "changed").when(F.col("hashed").isNotNull(), "legacy_title_match").otherwise("missing"))
+    return mark_batch_duplicates(known.select("file_id", "project_id", "source_hash", action.alias("action")))

@@ -14,7 +14,8 @@ FOLD = "lower(translate({}, 'áàâäãåāéèêëēíìîïīóòôöõōúù
 HASH = "sha256(trim(regexp_replace(text, '\\s+', ' ', 'g')) || chr(10))"
 _BARE = f"regexp_replace({FOLD.format('title')}, '\\.[a-z0-9]{{2,4}}$', '')"
 STEM = f"regexp_replace(regexp_replace(regexp_replace({_BARE}, '\\b(v[0-9]+|rev[0-9]*|draft|signed|final|copy)\\b', '', 'g'), '[0-9]{{4}}[-_]?[0-9]{{2}}[-_]?[0-9]{{2}}', '', 'g'), '[^a-z0-9]', '', 'g')"
-TIGHT = f"regexp_replace({_BARE}, '[^a-z0-9]', '', 'g')"
+TIGHT = f"regexp_replace(regexp_replace(regexp_replace({_BARE}, '\\b(draft|signed|final|copy)\\b', '', 'g'), '\\([ ]*[0-9]{{1,3}}[ ]*\\)', '', 'g'), '[^a-z0-9]', '', 'g')"
+LANGUAGE = f"nullif(regexp_extract({FOLD.format('title')}, '\\b(en|es|fr|de|eng|esp)\\b', 1), '')"
 
 
 @query(f"{DOCS}, h AS (SELECT *, {HASH} AS h FROM rag_documents), s AS (SELECT document_id, h, count(*) OVER (PARTITION BY h) AS copies, first_value(document_id) OVER (PARTITION BY h ORDER BY coalesce(authority_score, -1) DESC, created_at, document_id) AS survivor FROM h) "
@@ -46,9 +47,18 @@ def near_dup_classes(spark, d):
     return u.text_classes(docs, "all")
 
 
-@query(f"{DOCS}, x AS (SELECT *, {STEM} AS stem, {HASH} AS h FROM rag_documents), c AS (SELECT *, row_number() OVER w AS r, first_value(document_id) OVER w AS canonical, first_value(h) OVER w AS kh, first_value(length(text)) OVER w AS kl, count(*) OVER (PARTITION BY stem) AS n "
-       "FROM x WHERE length(stem) >= 8 WINDOW w AS (PARTITION BY stem ORDER BY CASE lifecycle WHEN 'signed' THEN 5 WHEN 'executed' THEN 4 WHEN 'filed' THEN 4 WHEN 'working_paper' THEN 3 WHEN 'draft' THEN 2 ELSE 1 END DESC, chunk_count DESC, document_id)) "
-       "SELECT document_id, canonical, CASE WHEN doc_type IN ('capex','cash_flow','funding') THEN 'review' WHEN h = kh AND least(length(text), kl) / greatest(length(text), kl) >= 0.9 THEN 'supersede' ELSE 'review' END AS decision FROM c WHERE n > 1 AND r > 1")
+_GRAMS = "(SELECT doc_id, w, length(text) AS len, CASE WHEN len(w) < 3 THEN []::varchar[] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents))"
+
+
+@query(f"""{DOCS}, x AS (SELECT document_id, coalesce(project_id, '') AS p, coalesce(doc_type, '') AS t, title, lifecycle, coalesce(chunk_count, 0) AS cc, {HASH} AS h, {STEM} AS stem, {TIGHT} AS tight, {LANGUAGE} AS lang FROM rag_documents),
+c AS (SELECT stem, p, bool_or(t IN {u.FINANCIAL}) AS fin, bool_and(t IN {u.CONTRACTS}) AS con FROM x WHERE length(stem) >= 8 GROUP BY stem, p HAVING count(*) > 1 AND count(DISTINCT h) > 1),
+m AS (SELECT x.*, CASE WHEN fin THEN 'financial-versions' WHEN NOT con THEN 'mixed-type' END AS whole FROM x JOIN c USING (stem, p)),
+s AS (SELECT *, count(*) OVER g AS n, min(h) OVER g <> max(h) OVER g AS differ, coalesce(min(lang) OVER g <> max(lang) OVER g, false) AS langs, first_value(document_id) OVER (PARTITION BY stem, p, tight ORDER BY CASE lifecycle WHEN 'signed' THEN 5 WHEN 'executed' THEN 4 WHEN 'filed' THEN 4
+ WHEN 'working_paper' THEN 3 WHEN 'draft' THEN 2 ELSE 1 END DESC, title ILIKE '%signed%' DESC, title ILIKE '%.pdf' DESC, cc DESC, document_id) AS canonical FROM m WHERE whole IS NULL WINDOW g AS (PARTITION BY stem, p, tight)),
+q AS (SELECT s.document_id, canonical, coalesce(len(list_intersect(a.g, b.g)) / nullif(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)), 0), 0) AS sim, least(a.len, b.len) / greatest(a.len, b.len, 1) AS ratio
+ FROM s JOIN {_GRAMS} a ON a.doc_id = s.document_id JOIN {_GRAMS} b ON b.doc_id = canonical WHERE n > 1 AND differ AND NOT langs AND s.document_id <> canonical)
+SELECT document_id, NULL::bigint AS canonical, 'review' AS decision, whole AS reason FROM m WHERE whole IS NOT NULL UNION ALL SELECT document_id, NULL, 'review', 'translations' FROM s WHERE n > 1 AND differ AND langs
+UNION ALL SELECT document_id, canonical, CASE WHEN sim >= 0.95 AND ratio >= 0.9 THEN 'supersede' ELSE 'review' END, CASE WHEN sim >= 0.95 AND ratio >= 0.9 THEN 'near-duplicate' ELSE 'differs' END FROM q""")
 def near_dup_decisions(spark, d):
     return u.near_duplicate_decisions(documents(spark, d))
 
@@ -65,24 +75,47 @@ def hash_dup_probe(spark, d):
     return documents(spark, d).groupBy(F.sha2("text", 256).alias("source_hash"), "project_id").agg(F.count("*").alias("n"), F.countDistinct("doc_type").alias("types")).where("n > 1")
 
 
-@query(f"{DOCS}, f AS (SELECT document_id AS file_id, project_id, sha256(text) AS h FROM rag_documents) SELECT file_id, CASE WHEN file_id = min(file_id) OVER (PARTITION BY project_id, h) THEN 'ingest' ELSE 'duplicate_in_batch' END AS action FROM f")
-def batch_dup_mark(spark, d):
-    return u.mark_batch_duplicates(documents(spark, d).select(F.col("document_id").alias("file_id"), "project_id", F.sha2("text", 256).alias("source_hash"), F.lit("ingest").alias("action")))
+_STATES = ("missing", "unmapped", "job_exists", "changed")
 
 
-_FILES = "f AS (SELECT document_id AS file_id, sha256(text) AS source_hash, title, storage_path, length(text) AS size FROM rag_documents WHERE document_id % 2 = 1), k AS (SELECT * FROM rag_documents WHERE document_id % 2 = 0)"
+@query(f"{DOCS}, f AS (SELECT document_id AS file_id, project_id, sha256(text) AS h, ({list(_STATES)})[document_id % 4 + 1] AS action FROM rag_documents), "
+       "m AS (SELECT project_id, h, min(file_id) AS first FROM f WHERE project_id IS NOT NULL AND action <> 'unmapped' GROUP BY ALL) "
+       "SELECT file_id, CASE WHEN action IN ('missing', 'changed') AND file_id > first THEN 'duplicate_in_batch' ELSE action END AS action FROM f LEFT JOIN m ON f.project_id = m.project_id AND f.h = m.h")
+def batch_dup_mark(spark, d):
+    action = F.element_at(F.array(*map(F.lit, _STATES)), (F.col("document_id") % 4 + 1).cast("int"))
+    files = documents(spark, d).select(F.col("document_id").alias("file_id"), "project_id", F.sha2("text", 256).alias("source_hash"), action.alias("action"))
+    return u.mark_batch_duplicates(files).select("file_id", "action")
+
+
+# Every document comes again as a file: under another hash if it is changed, from another project, unreadable or too large.
+_FILE = {"file_id": "document_id", "name": "concat(title, case document_id % 11 when 0 then '_error.txt' when 1 then '.exe' when 2 then ' new.docx' else '.pdf' end)", "project_id": "case when document_id % 17 = 3 then null else project_id end",
+         "hashed": "case when document_id % 3 = 0 then concat(text, '+') else text end", "size": "length(text) * 1000", "storage_path": "coalesce(storage_path, concat('in/', cast(document_id as string)))", "unavailable": "document_id % 23 = 4"}
+_HASHED = "case when document_id % 4 = 2 then null else text end"  # documents of old have no hash
+_JOB = "case event_type when 'view' then 'queued' when 'click' then 'processing' when 'signup' then 'canceled' else 'done' end"
+
+
+@query(f"""{DOCS}, f AS (SELECT {', '.join(f"{e} AS {n}" for n, e in _FILE.items()).replace('as string)', 'as varchar)')} FROM rag_documents), g AS (SELECT *, coalesce(project_id, '') AS p, sha256(hashed) AS source_hash, lower(trim(regexp_replace(name, '\.[A-Za-z0-9]{{1,5}}$', ''))) AS key, lower(regexp_extract(name, '\.([A-Za-z0-9]{{1,5}})$', 1)) AS ext FROM f),
+k AS (SELECT *, coalesce(project_id, '') AS p, CASE WHEN {_HASHED} IS NOT NULL THEN sha256(text) END AS source_hash_of FROM rag_documents),
+bh AS (SELECT p, source_hash_of AS source_hash, count(*) FILTER (status = 'indexed' AND lifecycle IS DISTINCT FROM 'superseded' AND chunk_count > 0) AS usable, count(*) FILTER (status = 'indexed' AND lifecycle = 'superseded' AND chunk_count > 0) AS replaced, count(*) FILTER (status = 'error') AS failed FROM k WHERE source_hash_of IS NOT NULL GROUP BY ALL),
+bt AS (SELECT p, lower(trim(regexp_replace(title, '\.[A-Za-z0-9]{{1,5}}$', ''))) AS key, count(source_hash_of) AS hashed_docs FROM k WHERE lifecycle IS DISTINCT FROM 'superseded' GROUP BY ALL),
+j AS (SELECT 'uploads/' || event_id AS storage_path, {_JOB} AS job_status FROM events),
+a AS (SELECT file_id, g.project_id, g.source_hash, CASE WHEN regexp_matches(name, '(?i)_error\.txt$') OR ext NOT IN ('pdf','docx','xlsx','pptx','txt','md','csv') THEN 'unsupported' WHEN unavailable THEN 'unavailable' WHEN g.project_id IS NULL THEN 'unmapped' WHEN usable > 0 THEN 'already_indexed_hash'
+ WHEN replaced > 0 THEN 'duplicate_content_superseded' WHEN failed > 0 THEN 'failed_unextractable' WHEN usable IS NOT NULL THEN 'reingest_same_hash' WHEN size > 20000000 THEN 'too_large' WHEN job_status IN ('queued','processing','done') THEN 'job_exists' WHEN hashed_docs > 0 THEN 'changed' WHEN hashed_docs = 0 THEN 'legacy_title_match' ELSE 'missing' END AS action
+ FROM g LEFT JOIN bh USING (p, source_hash) LEFT JOIN bt USING (p, key) LEFT JOIN j USING (storage_path)),
+m AS (SELECT project_id, source_hash, min(file_id) AS first FROM a WHERE project_id IS NOT NULL AND action NOT IN {u.KEPT_ACTIONS} GROUP BY ALL)
+SELECT file_id, CASE WHEN action IN {u.QUEUED_ACTIONS} AND file_id > first THEN 'duplicate_in_batch' ELSE action END AS action FROM a LEFT JOIN m ON a.project_id = m.project_id AND a.source_hash = m.source_hash""")
+def reconcile_actions(spark, d):
+    """All documents arrive as files and are known as documents."""
+    docs = documents(spark, d)
+    files = docs.select(*(F.expr(e).alias(n) for n, e in _FILE.items())).withColumn("source_hash", F.sha2("hashed", 256)).drop("hashed")
+    jobs = table(spark, d, "events").select(F.concat(F.lit("uploads/"), "event_id").alias("storage_path"), F.expr(_JOB).alias("job_status"))
+    known = docs.withColumn("source_hash", F.sha2(F.expr(_HASHED), 256))
+    return u.reconcile(files, known, jobs, max_bytes=20_000_000).select("file_id", "action")
 
 
-@query(f"""{DOCS}, {_FILES}, bh AS (SELECT sha256(text) AS source_hash, min(document_id) AS hash_doc, arg_min(status, document_id) AS hash_status FROM k GROUP BY 1), bt AS (SELECT title, min(document_id) AS title_doc FROM k GROUP BY 1),
-j AS (SELECT 'uploads/' || event_id AS storage_path, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'processing' ELSE 'done' END AS job_status FROM events)
-SELECT file_id, CASE WHEN size > 50000 THEN 'too_large' WHEN hash_status = 'indexed' THEN 'already_indexed' WHEN hash_status = 'error' THEN 'retry' WHEN hash_doc IS NOT NULL THEN 'known' WHEN job_status IN ('queued','processing') THEN 'in_queue'
-WHEN title_doc IS NOT NULL THEN 'review_title' ELSE 'ingest' END AS action FROM f LEFT JOIN bh USING (source_hash) LEFT JOIN bt USING (title) LEFT JOIN j USING (storage_path)""")
-def reconcile_actions(spark, d):
-    """Odd documents arrive as files; even ones are known."""
-    docs = documents(spark, d).withColumn("source_hash", F.sha2("text", 256))
-    files = docs.where("document_id % 2 = 1").select(F.col("document_id").alias("file_id"), "source_hash", "title", "storage_path", F.length("text").alias("size"))
-    jobs = table(spark, d, "events").select(F.concat(F.lit("uploads/"), "event_id").alias("storage_path"), F.when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "processing").otherwise("done").alias("job_status"))
-    return u.reconcile(files, docs.where("document_id % 2 = 0"), jobs)
+@query(f"SELECT action, count(*) AS n FROM ({ORACLE['reconcile_actions']}) GROUP BY action")
+def reconcile_summary(spark, d):
+    return reconcile_actions(spark, d).groupBy("action").agg(F.count("*").alias("n"))
 
 
 _PATHS = ((r"^https?://[^/]*spam", "quarantine"), (r"/en/", "english"), (r"/fr/", "french"), (r"/de/", "german"), (r"/es/", "spanish"))

@@ -31,38 +31,47 @@ _TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower(translate({}, '
 _CHUNKS = as_sql(CHUNKS_SQL)
 
 
-@query(f"{_CHUNKS} SELECT lexeme, count(*) AS df FROM (SELECT unnest({_TOKENS.format('content')}) AS lexeme FROM rag_chunks) GROUP BY lexeme")
+@query(f"{BOTH} SELECT lexeme, count(*) AS df FROM (SELECT unnest({_TOKENS.format('content')}) AS lexeme FROM rag_chunks JOIN rag_documents USING (document_id) WHERE {RETRIEVABLE}) GROUP BY lexeme")
 def term_df(spark, d):
-    return s.document_frequency(chunks(spark, d))
+    return s.document_frequency(chunks(spark, d), documents(spark, d))
 
 
 QUERY = "the thereal nation heation stan of ertion"
 _ALL = _TOKENS.replace("list_distinct(", "(", 1)
 KEYWORD_SQL = f"""asked AS (SELECT lexeme FROM (SELECT unnest({_TOKENS.format("'" + QUERY + "'")}) AS lexeme) WHERE lexeme NOT IN {s.STOP_WORDS}),
-hits AS (SELECT chunk_id, document_id, lexeme, count(*) AS tf FROM (SELECT chunk_id, document_id, unnest({_ALL.format('content')}) AS lexeme FROM rag_chunks) JOIN asked USING (lexeme) GROUP BY ALL),
+hits AS (SELECT chunk_id, document_id, lexeme, count(*) AS tf FROM (SELECT chunk_id, document_id, unnest({_ALL.format('content')}) AS lexeme FROM rag_chunks JOIN rag_documents USING (document_id) WHERE {RETRIEVABLE}) JOIN asked USING (lexeme) GROUP BY ALL),
 dfs AS (SELECT lexeme, count(chunk_id) AS df FROM asked LEFT JOIN hits USING (lexeme) GROUP BY lexeme),
 sel AS (SELECT *, (SELECT bool_or(df <= {{0}}) FROM dfs) AS has_selective FROM dfs),
 chosen AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY df, lexeme) AS r FROM sel WHERE df <= {{0}} OR NOT has_selective) WHERE r <= CASE WHEN has_selective THEN 6 ELSE 3 END),
 k AS (SELECT chunk_id, document_id, round(sum(tf) * 0.1, 4) AS rank FROM hits JOIN chosen USING (lexeme) GROUP BY ALL HAVING bool_or(has_selective) OR count(*) = (SELECT count(*) FROM chosen) ORDER BY rank DESC, chunk_id LIMIT 15)"""
 
 
-@query(f"{_CHUNKS}, {KEYWORD_SQL.format(1500)} SELECT * FROM k")
+@query(f"{BOTH}, {KEYWORD_SQL.format(1500)} SELECT * FROM k")
 def keyword_search(spark, d):
-    return s.keyword_lane(chunks(spark, d), QUERY)
+    return s.keyword_lane(chunks(spark, d), documents(spark, d), QUERY)
+
+
+_ONE_PROJECT = KEYWORD_SQL.replace("chunk_id, document_id, lexeme, count(*) AS tf FROM (SELECT chunk_id, document_id,", "chunk_id, document_id, lexeme, p, count(*) AS tf FROM (SELECT chunk_id, document_id, coalesce(project_id, chunk_project, '') AS p,").replace("FROM hits JOIN chosen USING (lexeme) GROUP BY ALL", "FROM hits JOIN chosen USING (lexeme) WHERE p = 'P1' GROUP BY ALL")
+
+
+@query(f"{BOTH}, {_ONE_PROJECT.format(1500)} SELECT * FROM k")
+def keyword_search_filtered(spark, d):
+    """Within one project, which a chunk has from its document first; word counts are the whole corpus's, from the kept table."""
+    return s.keyword_lane(chunks(spark, d), documents(spark, d), QUERY, term_df=term_df(spark, d), project="P1")
 
 
 COMMON = "this from are"
 
 
-@query(f"{_CHUNKS}, {KEYWORD_SQL.format(0).replace(QUERY, COMMON)} SELECT * FROM k")
+@query(f"{BOTH}, {KEYWORD_SQL.format(0).replace(QUERY, COMMON)} SELECT * FROM k")
 def keyword_topk(spark, d):
     """With no selective word the rarest three must all be there."""
-    return s.keyword_lane(chunks(spark, d), COMMON, ceiling=0)
+    return s.keyword_lane(chunks(spark, d), documents(spark, d), COMMON, ceiling=0)
 
 
 def _lanes(spark, d):
     vector = s.ranked(_vector(spark, d), F.desc("similarity"), F.desc_nulls_last("authority_score"), "document_id").select("document_id", "place", "similarity")
-    words = s.keyword_lane(chunks(spark, d), QUERY).groupBy("document_id").agg(F.max("rank").alias("rank"))
+    words = s.keyword_lane(chunks(spark, d), documents(spark, d), QUERY).groupBy("document_id").agg(F.max("rank").alias("rank"))
     return vector, s.ranked(words, F.desc("rank"), "document_id").select("document_id", "place")
 
 
