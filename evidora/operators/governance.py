@@ -13,6 +13,7 @@ from evidora.functions.columns import first_rule, ratio
 
 HUMAN_VALIDATED = ("user", "admin", "import")
 TIER_OF_SCORE = ((95, "audited"), (90, "executed"), (80, "controller"), (70, "board_pack"), (60, "dd_memo"), (40, "internal"), (10, "narrative"))
+# What a tier stands for where no score is given (fixed values).
 SCORE_OF_TIER = {"audited": 100, "executed": 90, "controller": 80, "board_pack": 70, "dd_memo": 60, "internal": 40, "narrative": 10, "unverified": 0}
 TRUST = {"source_of_record": 3, "supporting": 2, "context": 1, "unverified": 0}
 FINAL_LIFECYCLES = ("executed", "signed", "filed", "audited")
@@ -82,19 +83,78 @@ def finalise_backlog(docs: DataFrame) -> DataFrame:
             .withColumn("outcome", F.when(~risky & (F.col("confidence") >= 0.7), "approve").when(risky & (F.col("confidence") >= 0.8), "downgrade").otherwise("keep")))
 
 
-def transition(docs: DataFrame, actions: DataFrame) -> DataFrame:
-    """One action a document (document_id, action): the new state, and why not where a guard forbids it."""
-    both = docs.join(actions, "document_id")
-    gone = F.col("lifecycle").eqNullSafe(F.lit("superseded"))
-    error = (F.when((F.col("action") == "approve") & F.col("review_status").eqNullSafe(F.lit("rejected")), "rejected documents cannot be approved")
-             .when((F.col("action") == "endorse") & ~F.col("review_status").eqNullSafe(F.lit("approved")), "only approved documents can be endorsed")
-             .when((F.col("action") == "supersede") & gone, "already superseded").when((F.col("action") == "restore") & ~gone, "not superseded"))
-    ok = error.isNull()
-    state = F.when(ok & F.col("action").isin("approve", "endorse"), "approved").when(ok & (F.col("action") == "reject"), "rejected").otherwise(F.col("review_status"))
-    life = F.when(ok & (F.col("action") == "supersede"), "superseded").when(ok & (F.col("action") == "restore"), "executed").otherwise(F.col("lifecycle"))
-    score = F.when(ok & (F.col("action") == "endorse"), F.greatest(F.coalesce("authority_score", F.lit(0)), F.lit(90))).otherwise(F.col("authority_score"))
-    return both.select("document_id", "action", error.alias("error"), state.alias("review_status"), life.alias("lifecycle"), score.alias("authority_score"),
-                       (F.col("current_version") + F.when(ok, 1).otherwise(0)).alias("current_version"))
+def score_of_tier(tier: Column) -> Column:
+    out = F.lit(None).cast("int")
+    for name, score in SCORE_OF_TIER.items():
+        out = F.when(tier == name, score).otherwise(out)
+    return out
+
+
+def transition(docs: DataFrame, actions: DataFrame, doc_types, lifecycles) -> DataFrame:
+    """One action a document: its state afterwards, or why a guard forbids it; then the state is as it was.
+
+    ``actions`` has document_id, action, old_id (what a supersede replaces) and what a reclassify sets: new_doc_type,
+    new_period, new_lifecycle, new_tier and new_score, null where it leaves them.  A score given without a tier names the
+    tier, and a tier without a score the score.  ``events`` counts the audit events that the action leaves.
+    """
+    old = docs.select(F.col("document_id").alias("old_id"), F.col("current_version").alias("old_version"))
+    both = docs.join(actions, "document_id").join(old, "old_id", "left")
+    act = lambda name: F.col("action") == name
+    said_no = F.col("classification_source").eqNullSafe(F.lit("agent_rejected"))
+    rejected, retired, gone = F.col("review_status").eqNullSafe(F.lit("rejected")), F.col("status").eqNullSafe(F.lit("retired")), F.col("lifecycle").eqNullSafe(F.lit("superseded"))
+    fields = ("new_doc_type", "new_period", "new_lifecycle", "new_tier", "new_score")
+    none_set = F.coalesce(*(F.col(c).cast("string") for c in fields)).isNull()
+    guards = (("approve", said_no, "rejected by the agent"), ("endorse", said_no, "rejected by the agent"), ("endorse", F.coalesce(F.col("authority_score"), F.lit(0)) < 90, "authority below 90"),
+              ("endorse", retired | rejected, "not live"), ("reject", rejected, "already rejected"), ("reclassify", none_set, "nothing to set"),
+              ("reclassify", ~F.coalesce("new_doc_type", F.lit(doc_types[0])).isin(*doc_types), "unknown type"), ("reclassify", ~F.coalesce("new_lifecycle", F.lit(lifecycles[0])).isin(*lifecycles), "unknown lifecycle"),
+              ("reclassify", ~F.coalesce("new_tier", F.lit("audited")).isin(*SCORE_OF_TIER), "unknown tier"), ("retire", retired, "already retired"), ("restore", ~retired, "not retired"), ("restore", gone, "superseded"),
+              ("supersede", F.col("old_id").isNull(), "replaces nothing"), ("supersede", F.col("old_id") == F.col("document_id"), "replaces itself"), ("supersede", F.col("old_version").isNull(), "replaces nothing known"),
+              ("supersede", (F.coalesce("status", F.lit("")) != "indexed") | rejected, "not live"))
+    error = F.lit(None).cast("string")
+    for name, holds, text in reversed(guards):
+        error = F.when(act(name) & holds, text).otherwise(error)
+    both = both.withColumn("error", error)
+    ok = F.col("error").isNull()
+    sets = lambda c: F.when(ok & act("reclassify") & F.col(f"new_{c}").isNotNull(), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c)
+    official = ok & act("endorse") | ok & act("approve")
+    source = F.when(official & ~F.coalesce(F.col("classification_source").isin(*HUMAN_VALIDATED), F.lit(False)), "agent_reviewed").when(ok & act("reclassify"), "agent_corrected").otherwise(F.col("classification_source"))
+    re = ok & act("reclassify")
+    score = F.when(re & F.col("new_score").isNotNull(), F.col("new_score")).when(re & F.col("new_tier").isNotNull(), score_of_tier(F.col("new_tier"))).otherwise(F.col("authority_score"))
+    tier = F.when(re & F.col("new_tier").isNotNull(), F.col("new_tier")).when(re & F.col("new_score").isNotNull(), tier_of_score(F.col("new_score"))).otherwise(F.col("authority_tier"))
+    one = lambda c: F.when(c, 1).otherwise(0)
+    told = (1 + one(F.col("new_doc_type").isNotNull()) + one(F.col("new_period").isNotNull()) + one(F.col("new_lifecycle").isNotNull())
+            + F.when(F.col("new_tier").isNotNull(), 2).when(F.col("new_score").isNotNull(), 1 + one(tier_of_score(F.col("new_score")) != F.coalesce("authority_tier", F.lit("")))).otherwise(0))
+    return both.select("document_id", "action", "error", F.when(official, "approved").when(ok & act("reject"), "rejected").otherwise(F.col("review_status")).alias("review_status"), source.alias("classification_source"),
+                       F.when(ok & act("retire"), "retired").when(ok & act("restore"), "indexed").otherwise(F.col("status")).alias("status"), sets("lifecycle"), sets("doc_type"), sets("period"), tier.alias("authority_tier"), score.alias("authority_score"),
+                       F.when(ok & act("supersede"), F.col("old_id")).alias("supersedes_document_id"),
+                       F.when(ok & act("supersede"), F.greatest(F.col("current_version"), F.col("old_version")) + 1).when(ok, F.col("current_version") + 1).otherwise(F.col("current_version")).alias("current_version"),
+                       F.when(~ok, 0).when(act("reclassify"), told).when(act("supersede"), 3).otherwise(1).alias("events"))
+
+
+def superseded(after: DataFrame, docs: DataFrame) -> DataFrame:
+    """The documents that accepted supersedes replaced: retired, with their lifecycle; the first of several by id counts."""
+    by = after.where("supersedes_document_id is not null").groupBy(F.col("supersedes_document_id").alias("document_id")).agg(F.min("document_id").alias("superseded_by"))
+    return docs.select("document_id", F.col("status").alias("old_status"), F.col("lifecycle").alias("old_lifecycle")).join(by, "document_id").withColumns({"status": F.lit("retired"), "lifecycle": F.lit("superseded")})
+
+
+def apply_changes(docs: DataFrame, changes: DataFrame) -> DataFrame:
+    """Ordered changes (document_id, seq, expected_version, review_status, doc_type, clears_type) applied one after the other.
+
+    A change is refused where it expects another version than it finds.  A null review_status leaves it as it is; doc_type is
+    set where given and set to null where ``clears_type``: a key that is there with null differs from one that is not.
+    Every accepted change is a new version.  A document's changes are folded in one row, so they should be few.
+    """
+    ordered = changes.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("seq", "expected_version", "review_status", "doc_type", "clears_type"))).alias("changes"))
+
+    def step(state, c):
+        ok = c["expected_version"].isNull() | (c["expected_version"] == state["version"])
+        kind = F.when(c["clears_type"], F.lit(None).cast("string")).otherwise(F.coalesce(c["doc_type"], state["doc_type"]))
+        return F.struct((state["version"] + F.when(ok, 1).otherwise(0)).cast("int").alias("version"), F.when(ok, F.coalesce(c["review_status"], state["review_status"])).otherwise(state["review_status"]).alias("review_status"),
+                        F.when(ok, kind).otherwise(state["doc_type"]).alias("doc_type"), (state["applied"] + F.when(ok, 1).otherwise(0)).cast("int").alias("applied"))
+
+    start = F.struct(F.col("current_version").alias("version"), "review_status", "doc_type", F.lit(0).alias("applied"))
+    out = docs.select("document_id", "current_version", "review_status", "doc_type").join(ordered, "document_id").select("document_id", F.size("changes").alias("asked"), F.aggregate("changes", start, step).alias("s"))
+    return out.select("document_id", "s.version", "s.review_status", "s.doc_type", "s.applied", (F.col("asked") - F.col("s.applied")).alias("refused"))
 
 
 def revert(docs: DataFrame, events: DataFrame) -> DataFrame:

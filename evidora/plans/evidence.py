@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evidora.operators import evidence as e
 from evidora.plans.governance import DOCS
 from evidora.plans.registry import query
-from evidora.sources.views import CANDIDATES_SQL, CHUNKS_SQL, DOCUMENTS_SQL, METRICS_SQL, as_sql, candidates, chunks, documents, metrics
+from evidora.sources.views import CANDIDATES_SQL, CHUNKS_SQL, DOCUMENTS_SQL, METRICS_SQL, as_sql, candidates, chunks, documents, metrics, table
 
 CANDS, WITH_METRICS, WITH_DOCS = as_sql(CANDIDATES_SQL), as_sql(CANDIDATES_SQL, METRICS_SQL), as_sql(CANDIDATES_SQL, DOCUMENTS_SQL)
 PAIRS = """p AS (SELECT a.metric_id, a.candidate_id AS a_id, b.candidate_id AS b_id, round(abs(a.value - b.value), 2) AS delta_abs, round(abs(a.value - b.value) / greatest(abs(a.value), abs(b.value)), 6) AS delta_pct,
@@ -24,13 +24,13 @@ def contradiction_pairs(spark, d):
 @query(f"{WITH_METRICS}, {PAIRS} SELECT metric_id, display_name, domain, a_id, b_id, delta_abs, severity FROM x JOIN metric_definition USING (metric_id) ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, delta_abs DESC, a_id, b_id LIMIT 20")
 def open_contradictions(spark, d):
     rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "high", 1).when(F.col("severity") == "medium", 2).otherwise(3)
-    return (e.contradictions(candidates(spark, d)).join(F.broadcast(metrics(spark, d)), "metric_id").orderBy(rank, F.desc("delta_abs"), "a_id", "b_id").limit(20)
+    return (e.contradictions(candidates(spark, d)).join(metrics(spark, d), "metric_id").orderBy(rank, F.desc("delta_abs"), "a_id", "b_id").limit(20)
             .select("metric_id", "display_name", "domain", "a_id", "b_id", "delta_abs", "severity"))
 
 
 @query(f"{WITH_METRICS} SELECT status, domain, project_id, count(*) AS n, round(cast(sum(cast(confidence as decimal(9,4))) as double) / count(*), 4) AS avg_confidence, count(*) FILTER (confidence >= 0.8) AS confident, count(*) FILTER (confidence < 0.5) AS doubtful FROM metric_candidate JOIN metric_definition USING (metric_id) GROUP BY ALL")
 def candidate_pipeline(spark, d):
-    return (candidates(spark, d).join(F.broadcast(metrics(spark, d)), "metric_id").groupBy("status", "domain", "project_id")
+    return (candidates(spark, d).join(metrics(spark, d), "metric_id").groupBy("status", "domain", "project_id")
             .agg(F.count("*").alias("n"), F.round(F.sum(F.col("confidence").cast("decimal(9,4)")).cast("double") / F.count("*"), 4).alias("avg_confidence"), F.count_if(F.col("confidence") >= 0.8).alias("confident"), F.count_if(F.col("confidence") < 0.5).alias("doubtful")))
 
 
@@ -72,11 +72,28 @@ def missing_metrics(spark, d):
     return e.missing_metrics(metrics(spark, d), candidates(spark, d)).select("metric_id", "domain")
 
 
-@query(f"""{WITH_METRICS}, g AS (SELECT c.*, value = 0 AS n, period_date IS NULL AND period_label IS NULL AS m, period_label IS NULL AS t, authority_score < min_authority AS f, note IS NOT NULL AS s FROM metric_candidate c LEFT JOIN metric_definition USING (metric_id))
-SELECT candidate_id, concat_ws(',', CASE WHEN n THEN 'NEGATIVE_TERM' END, CASE WHEN m THEN 'MISSING_PERIOD' END, CASE WHEN t THEN 'TEMPORAL_SHAPE' END, CASE WHEN f THEN 'FORBIDDEN_DOC_TYPE' END, CASE WHEN s THEN 'NO_POSITIVE_TERMS' END) AS issues,
-CASE WHEN n OR m OR t THEN 'validation_failed' WHEN confidence >= 0.9 AND authority_score >= 80 THEN 'auto_accepted' ELSE 'pending_review' END AS gate FROM g""")
+# Rules of the metrics, and the quote of each candidate: the first 200 characters of its document.
+_RULES = {"negative_terms": "case when {k} % 5 = 0 then ['Stand', 'heaton'] when {k} % 5 = 1 then [] end", "positive_terms": "case when {k} % 4 = 0 then ['Nation', 'thereal'] when {k} % 4 = 1 then ['zzz'] else [] end",
+          "forbidden_doc_types": "case when {k} % 3 = 0 then ['legal', 'unknown'] else ['tax'] end", "temporal_shape": "case when {k} % 9 = 0 then 'rolling_13w_forecast' else 'point' end", "period_required": "{k} % 2 = 0", "period_inference_allowed": "{k} % 4 <> 2",
+          "auto_accept_enabled": "{k} % 3 <> 1", "auto_accept_min_confidence": "case when {k} % 6 = 0 then 0.8 end", "auto_accept_requires_period": "{k} % 5 = 2"}
+_TEXTS = "case when document_id % 6 = 1 then concat(text, ' Week ending') else text end"
+
+
+@query(f"""{as_sql(CANDIDATES_SQL, DOCUMENTS_SQL)}, m AS (SELECT concat('M', cast(c_custkey AS varchar)) AS metric_id, {', '.join(f"{e.format(k='c_custkey')} AS {n}" for n, e in _RULES.items())} FROM customer WHERE c_custkey < 380),
+d AS (SELECT document_id, doc_type, lower({_TEXTS}) AS text, lower(substr(text, 1, 200)) AS quote FROM rag_documents),
+g AS (SELECT candidate_id, confidence, c.authority_score, period_date, m.*, doc_type, coalesce(text, '') AS text, coalesce(quote, '') AS quote FROM metric_candidate c LEFT JOIN m USING (metric_id) LEFT JOIN d USING (document_id)),
+i AS (SELECT *, len(list_filter(coalesce(negative_terms, []), lambda t: contains(quote, lower(t)))) > 0 AS n, coalesce(temporal_shape = 'rolling_13w_forecast', false) AND NOT regexp_matches(text, '13 week|13-week|13week|weekly forecast|week ending|13 semanas') AS t,
+ coalesce(period_required AND NOT period_inference_allowed, false) AND period_date IS NULL AS p, list_contains(coalesce(forbidden_doc_types, []), coalesce(doc_type, 'unknown')) AS f,
+ len(coalesce(positive_terms, [])) > 0 AND len(list_filter(positive_terms, lambda t: contains(quote, lower(t)) OR contains(text, lower(t)))) = 0 AS s FROM g)
+SELECT candidate_id, concat_ws(',', CASE WHEN n THEN 'NEGATIVE_TERM' END, CASE WHEN t THEN 'TEMPORAL_SHAPE_MISMATCH' END, CASE WHEN p THEN 'MISSING_PERIOD' END, CASE WHEN f THEN 'FORBIDDEN_DOC_TYPE' END, CASE WHEN s THEN 'NO_POSITIVE_TERMS' END) AS issues,
+CASE WHEN n OR t OR p THEN 'validation_failed' WHEN coalesce(auto_accept_enabled, false) AND confidence >= coalesce(auto_accept_min_confidence, 0.9) AND authority_score >= 80 AND (NOT coalesce(auto_accept_requires_period, false) OR period_date IS NOT NULL) THEN 'auto_accepted' ELSE 'pending_review' END AS gate FROM i""")
 def validation_gate(spark, d):
-    return e.validation_gate(candidates(spark, d), metrics(spark, d))
+    rules = [F.expr(e.format(k="c_custkey").replace("[]", "array()").replace("[", "array(").replace("]", ")")).alias(n) for n, e in _RULES.items()]
+    m = table(spark, d, "customer").where("c_custkey < 380").select(F.concat(F.lit("M"), F.col("c_custkey").cast("string")).alias("metric_id"), *rules)
+    m = m.withColumns({n: F.col(n).cast("array<string>") for n in ("negative_terms", "positive_terms", "forbidden_doc_types")})
+    docs = documents(spark, d).withColumn("quote", F.substring("text", 1, 200)).withColumn("text", F.expr(_TEXTS))
+    c = candidates(spark, d).join(docs.select("document_id", F.col("quote").alias("evidence_quote")), "document_id", "left")
+    return e.validation_gate(c, m, docs)
 
 
 @query(f"{CANDS} SELECT candidate_id, CASE WHEN confidence < 0.3 THEN 'urgent' WHEN confidence < 0.6 THEN 'high' ELSE 'normal' END AS priority FROM metric_candidate WHERE status = 'pending_review' ORDER BY CASE WHEN confidence < 0.3 THEN 0 WHEN confidence < 0.6 THEN 1 ELSE 2 END, created_at, candidate_id LIMIT 100")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidora.operators import governance as g
+from evidora.plans.registry import ORACLE as QUERIES_SQL
 from evidora.plans.registry import query
 from evidora.sources.views import CHUNKS_SQL, DOCUMENTS_SQL, as_sql, chunks, documents, table
 
@@ -87,18 +88,62 @@ def backlog_finalize(spark, d):
     return g.finalise_backlog(documents(spark, d)).select("document_id", "outcome")
 
 
-_ACTIONS = "case document_id % 5 when 0 then 'approve' when 1 then 'reject' when 2 then 'endorse' when 3 then 'supersede' else 'restore' end"
+DOC_TYPES = ("board", "funding", "capex", "cash_flow", "legal", "general", "other", "monthly_reporting", "tax")
+LIFECYCLES = ("superseded", "executed", "draft", "working_paper", "signed", "filed", "audited")
+_ACTIONS = {
+    "action": "case document_id % 7 when 0 then 'approve' when 1 then 'reject' when 2 then 'endorse' when 3 then 'supersede' when 4 then 'restore' when 5 then 'retire' else 'reclassify' end",
+    "old_id": "case when document_id % 7 = 3 then case when document_id % 4 = 0 then document_id when document_id % 4 = 1 then -1 else document_id - 1 end end",
+    "new_doc_type": "case document_id % 5 when 0 then 'tax' when 1 then 'nonsense' end", "new_period": "case when document_id % 4 = 0 then 'FY2024' end", "new_lifecycle": "case document_id % 6 when 0 then 'signed' when 1 then 'lost' end",
+    "new_tier": "case when document_id % 11 = 0 then 'controller' when document_id % 11 = 1 then 'regal' end", "new_score": "cast(case when document_id % 3 = 0 then document_id % 100 end as int)",
+}
+_SCORED = " ".join(f"WHEN '{t}' THEN {n}" for t, n in g.SCORE_OF_TIER.items())
+_NEW_TIER = TIER_OF_SCORE.replace("authority_score", "new_score")
+
+
+@query(f"""{DOCS}, a AS (SELECT *, {TIER_OF_SCORE} AS authority_tier, {', '.join(f"{e} AS {n}" for n, e in _ACTIONS.items())} FROM rag_documents), o AS (SELECT document_id AS o_id, current_version AS old_version FROM rag_documents),
+e AS (SELECT *, CASE WHEN action IN ('approve','endorse') AND classification_source IS NOT DISTINCT FROM 'agent_rejected' THEN 'rejected by the agent' WHEN action = 'endorse' AND coalesce(authority_score, 0) < 90 THEN 'authority below 90'
+ WHEN action = 'endorse' AND (status = 'retired' OR review_status IS NOT DISTINCT FROM 'rejected') THEN 'not live' WHEN action = 'reject' AND review_status IS NOT DISTINCT FROM 'rejected' THEN 'already rejected'
+ WHEN action = 'reclassify' AND coalesce(new_doc_type, new_period, new_lifecycle, new_tier, cast(new_score AS varchar)) IS NULL THEN 'nothing to set' WHEN action = 'reclassify' AND new_doc_type NOT IN {DOC_TYPES} THEN 'unknown type'
+ WHEN action = 'reclassify' AND new_lifecycle NOT IN {LIFECYCLES} THEN 'unknown lifecycle' WHEN action = 'reclassify' AND new_tier NOT IN {tuple(g.SCORE_OF_TIER)} THEN 'unknown tier' WHEN action = 'retire' AND status = 'retired' THEN 'already retired'
+ WHEN action = 'restore' AND status <> 'retired' THEN 'not retired' WHEN action = 'restore' AND lifecycle IS NOT DISTINCT FROM 'superseded' THEN 'superseded' WHEN action = 'supersede' AND old_id IS NULL THEN 'replaces nothing'
+ WHEN action = 'supersede' AND old_id = document_id THEN 'replaces itself' WHEN action = 'supersede' AND old_version IS NULL THEN 'replaces nothing known' WHEN action = 'supersede' AND (status <> 'indexed' OR review_status IS NOT DISTINCT FROM 'rejected') THEN 'not live' END AS error
+ FROM a LEFT JOIN o ON old_id = o_id), x AS (SELECT *, error IS NULL AS ok, error IS NULL AND action = 'reclassify' AS re FROM e)
+SELECT document_id, action, error, CASE WHEN ok AND action IN ('approve','endorse') THEN 'approved' WHEN ok AND action = 'reject' THEN 'rejected' ELSE review_status END AS review_status,
+CASE WHEN ok AND action IN ('approve','endorse') AND NOT coalesce(classification_source IN {g.HUMAN_VALIDATED}, false) THEN 'agent_reviewed' WHEN re THEN 'agent_corrected' ELSE classification_source END AS classification_source,
+CASE WHEN ok AND action = 'retire' THEN 'retired' WHEN ok AND action = 'restore' THEN 'indexed' ELSE status END AS status, CASE WHEN re THEN coalesce(new_lifecycle, lifecycle) ELSE lifecycle END AS lifecycle,
+CASE WHEN re THEN coalesce(new_doc_type, doc_type) ELSE doc_type END AS doc_type, CASE WHEN re THEN coalesce(new_period, period) ELSE period END AS period,
+CASE WHEN re AND new_tier IS NOT NULL THEN new_tier WHEN re AND new_score IS NOT NULL THEN {_NEW_TIER} ELSE authority_tier END AS authority_tier,
+CASE WHEN re AND new_score IS NOT NULL THEN new_score WHEN re AND new_tier IS NOT NULL THEN CASE new_tier {_SCORED} END ELSE authority_score END AS authority_score, CASE WHEN ok AND action = 'supersede' THEN old_id END AS supersedes_document_id,
+CASE WHEN ok AND action = 'supersede' THEN greatest(current_version, old_version) + 1 WHEN ok THEN current_version + 1 ELSE current_version END AS current_version,
+CASE WHEN NOT ok THEN 0 WHEN re THEN 1 + CASE WHEN new_doc_type IS NULL THEN 0 ELSE 1 END + CASE WHEN new_period IS NULL THEN 0 ELSE 1 END + CASE WHEN new_lifecycle IS NULL THEN 0 ELSE 1 END
+ + CASE WHEN new_tier IS NOT NULL THEN 2 WHEN new_score IS NOT NULL THEN 1 + CASE WHEN {_NEW_TIER} IS DISTINCT FROM authority_tier THEN 1 ELSE 0 END ELSE 0 END WHEN action = 'supersede' THEN 3 ELSE 1 END AS events FROM x""")
+def governance_transitions(spark, d):
+    docs = documents(spark, d).withColumn("authority_tier", g.tier_of_score(F.col("authority_score")))
+    return g.transition(docs, docs.select("document_id", *(F.expr(e).alias(n) for n, e in _ACTIONS.items())), DOC_TYPES, LIFECYCLES)
 
 
-@query(f"{DOCS}, a AS (SELECT *, {_ACTIONS} AS action FROM rag_documents), e AS (SELECT *, CASE WHEN action = 'approve' AND review_status IS NOT DISTINCT FROM 'rejected' THEN 'rejected documents cannot be approved' "
-       "WHEN action = 'endorse' AND review_status IS DISTINCT FROM 'approved' THEN 'only approved documents can be endorsed' WHEN action = 'supersede' AND lifecycle IS NOT DISTINCT FROM 'superseded' THEN 'already superseded' "
-       "WHEN action = 'restore' AND lifecycle IS DISTINCT FROM 'superseded' THEN 'not superseded' END AS error FROM a) SELECT document_id, action, error, "
-       "CASE WHEN error IS NULL AND action IN ('approve','endorse') THEN 'approved' WHEN error IS NULL AND action = 'reject' THEN 'rejected' ELSE review_status END AS review_status, "
-       "CASE WHEN error IS NULL AND action = 'supersede' THEN 'superseded' WHEN error IS NULL AND action = 'restore' THEN 'executed' ELSE lifecycle END AS lifecycle, "
-       "CASE WHEN error IS NULL AND action = 'endorse' THEN greatest(coalesce(authority_score, 0), 90) ELSE authority_score END AS authority_score, current_version + CASE WHEN error IS NULL THEN 1 ELSE 0 END AS current_version FROM e")
-def governance_transitions(spark, d):
-    docs = documents(spark, d)
-    return g.transition(docs, docs.select("document_id", F.expr(_ACTIONS).alias("action")))
+_SUPERSEDED_SQL = QUERIES_SQL["governance_transitions"]
+
+
+@query(f"WITH t AS ({_SUPERSEDED_SQL}), {DOCS[5:]} SELECT document_id, superseded_by, status AS old_status, lifecycle AS old_lifecycle FROM rag_documents JOIN (SELECT supersedes_document_id AS document_id, min(document_id) AS superseded_by FROM t WHERE supersedes_document_id IS NOT NULL GROUP BY ALL) USING (document_id)")
+def superseded_documents(spark, d):
+    """The related changes of accepted supersedes."""
+    return g.superseded(governance_transitions(spark, d), documents(spark, d)).select("document_id", "superseded_by", "old_status", "old_lifecycle")
+
+
+_CHANGE = ("event_id as seq", "event_id % 300 as document_id", "cast(case when event_id % 5 < 2 then 1 + event_id % 4 end as int) as expected_version", "case event_type when 'view' then 'approved' when 'click' then 'rejected' end as review_status",
+           "case when user_id % 3 = 0 then 'tax' end as doc_type", "user_id % 7 = 1 as clears_type")
+
+
+@query(f"""{DOCS}, c AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY seq) AS n FROM (SELECT {', '.join(_CHANGE)} FROM events WHERE event_id < 900)),
+r AS (WITH RECURSIVE f AS (SELECT document_id, 0::bigint AS n, current_version AS version, review_status, doc_type, 0 AS applied FROM rag_documents WHERE document_id IN (SELECT document_id FROM c)
+ UNION ALL SELECT f.document_id, c.n, CASE WHEN ok THEN version + 1 ELSE version END, CASE WHEN ok THEN coalesce(c.review_status, f.review_status) ELSE f.review_status END,
+ CASE WHEN NOT ok THEN f.doc_type WHEN clears_type THEN NULL ELSE coalesce(c.doc_type, f.doc_type) END, applied + CASE WHEN ok THEN 1 ELSE 0 END
+ FROM f JOIN c ON c.document_id = f.document_id AND c.n = f.n + 1, LATERAL (SELECT expected_version IS NULL OR expected_version = version AS ok) k) SELECT * FROM f)
+SELECT document_id, arg_max(version, n) AS version, arg_max(struct_pack(v := review_status), n).v AS review_status, arg_max(struct_pack(v := doc_type), n).v AS doc_type, arg_max(applied, n) AS applied, cast(max(n) - arg_max(applied, n) AS integer) AS refused FROM r GROUP BY document_id""")
+def apply_governance(spark, d):
+    """Three changes a document, some of which expect a version that they do not find."""
+    return g.apply_changes(documents(spark, d), table(spark, d, "events").where("event_id < 900").selectExpr(*_CHANGE))
 
 
 _EVENT = ("SELECT event_id, event_id % 700 AS document_id, CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'needs_review' ELSE 'approved' END AS old_value, "
