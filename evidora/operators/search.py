@@ -73,6 +73,11 @@ def keyword_lane(chunks: DataFrame, docs: DataFrame, query: str, k: int = KEYWOR
     return hits.select("chunk_id", "document_id", F.round(F.size("words") * 0.1, 4).alias("rank")).orderBy(F.desc("rank"), "chunk_id").limit(k)
 
 
+def over_fetched(k: int, strict: bool = True) -> tuple[int, int]:
+    """Rows that the vector and the keyword lane are asked for; strict grounding drops many, so it asks for more."""
+    return (min(4 * k, 100), min(4 * k, 80)) if strict else (k, k)
+
+
 def ranked(lane: DataFrame, *order) -> DataFrame:
     """A lane's rows with their place in it; a lane has at most its k rows."""
     return lane.withColumn("place", F.row_number().over(Window.orderBy(*order)))

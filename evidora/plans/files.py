@@ -48,12 +48,6 @@ def resolve_ids(spark, d):
     return documents(spark, d).where(F.col("title").ilike("%accounts%") | F.col("title").ilike("%opinion%")).select("document_id", F.coalesce(retrievable(), F.lit(False)).alias("usable"))
 
 
-@query(f"{DOCS} SELECT document_id FROM rag_documents WHERE false")
-def invalid_filter(spark, d):
-    """A filter value outside its list finds nothing, rather than being no filter."""
-    return documents(spark, d).where(F.lit("no_such_status").isin("approved", "rejected", "pending", "needs_review")).select("document_id")
-
-
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type")
 def tally(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type")
