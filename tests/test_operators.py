@@ -11,7 +11,7 @@ from evidora.streaming import windows
 
 def test_tables_keep_their_head_in_every_fragment():
     rows = [f"| row {i} | {'x' * 60} |" for i in range(60)]
-    blocks = chunking.tables(["Prices", "| a | b |", "|---|---|", *rows, "after"])
+    blocks = chunking.tables(["Prices", "", "| a | b |", "|---|---|", *rows, "after"])
     tables = [b for k, b in blocks if k == "table"]
     assert len(tables) > 1 and all(t.startswith("| a | b |\n|---|---|\n") and len(t) <= 2000 for t in tables)
     assert [r for t in tables for r in t.split("\n")[2:]] == rows
