@@ -9,10 +9,12 @@ less place in the item) at most e apart.  Shared q-grams are counted in bands of
 them all; bands that reach the bound are verified by an alignment that is free
 at both ends of the region and confined to the band's diagonals.
 
-The items are indexed in blocks of at most ``INDEX_CHARS`` characters, which is
-all that is ever broadcast; every further block is another pass.
+The items are indexed in blocks of about ``INDEX_CHARS`` characters.  One block is
+broadcast at a time and released before the next, and every further block is
+another pass over the documents.
 
-Cases: a null or empty document leaks nothing; items that are null or under
+Cases: a null or empty document leaks nothing; a text of any length is searched
+whole; of an item's regions that need equally many edits the first to end counts; items that are null or under
 ``Q`` characters are too short to be evidence and are not searched; for short
 items e is lowered to where the bound is one q-gram or more; items and rows that
 repeat each give their rows; null ids are carried along; extra columns are
@@ -24,7 +26,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from evidora.llm.common import staged
 
 Q = 8
 EDITS_PER_CHAR = 0.1
@@ -32,6 +35,7 @@ INDEX_CHARS = 1 << 22
 CHUNK_CHARS = 1 << 20
 CHUNK_TEXTS = 1 << 16
 PREFILTER_BITS = 22
+PAIRS = 1 << 22       # pairs of a document's and an item's place that are counted at once
 GAP = "￿"         # stands between texts; it is a noncharacter
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -89,18 +93,23 @@ class Index:
         right = self.gram[gram] == h[hit]
         hit, gram = hit[right], gram[right]
         n = self.count[gram]
-        at = np.repeat(self.first[gram] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        hit = np.repeat(hit, n)
-        text = np.searchsorted(start, hit, side="right") - 1
-        item = self.item[at]
-        band = (hit - start[text] - self.place[at]) // (self.e[item] + 1) + CHUNK_CHARS
         # The last place of a key holds bands; a long text's own length bounds them, hence the mixed radix.
         radix = int(CHUNK_CHARS + lengths.max() + 2)
-        key = (text * len(self.m) + item) * radix + band
-        key, count = np.unique(np.r_[key, key - 1], return_counts=True)
-        item = key // radix % len(self.m)
-        enough = count >= self.least[item]
-        key, item = key[enough], item[enough]
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # A gram that many items share has many places for each hit, so pairs of hit and place are made and counted part by part.
+        for part in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(np.cumsum(n) // PAIRS)) + 1):
+            m = n[part]
+            at = np.repeat(self.first[gram[part]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            of = np.repeat(hit[part], m)
+            text, item = np.searchsorted(start, of, side="right") - 1, self.item[at]
+            band = (of - start[text] - self.place[at]) // (self.e[item] + 1) + CHUNK_CHARS
+            key = (text * len(self.m) + item) * radix + band
+            key, count = np.unique(np.r_[key, key - 1], return_counts=True)
+            keys, back = np.unique(np.r_[keys, key], return_inverse=True)
+            counts = np.bincount(back, np.r_[counts, count], len(keys)).astype(np.int64)
+        item = keys // radix % len(self.m)
+        enough = counts >= self.least[item]
+        key, item = keys[enough], item[enough]
         return list(zip((key // radix // len(self.m)).tolist(), item.tolist(), ((key % radix - CHUNK_CHARS) * (self.e[item] + 1)).tolist(), strict=True))
 
     def leaks(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
@@ -168,6 +177,26 @@ def _chunks(texts: list[str]):
         yield a, texts[a:]
 
 
+def _passes(docs: DataFrame, benchmark: DataFrame, one_pass):
+    """``one_pass`` (docs, broadcast index) for each block of items.
+
+    With one block its result is lazy.  With more, each pass is written before the next block is indexed, and its index is
+    released, so that driver and executors hold one block at a time, however large the benchmark.
+    """
+    context = docs.sparkSession.sparkContext
+    blocks = _blocks(benchmark)
+    index, following = next(blocks, None), next(blocks, None)
+    while index is not None:
+        shared = context.broadcast(index)
+        out = one_pass(shared)
+        if following is None:
+            yield out
+            return
+        yield staged(out, "leaks")
+        shared.destroy()
+        index, following = following, next(blocks, None)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, edits and stop (end of the region in the normalised text), a row for each item that a document leaks."""
     spark = docs.sparkSession
@@ -175,21 +204,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for f in benchmark.select("item_id").schema:
         schema = schema.add(f)
     schema = schema.add("edits", "integer").add("stop", "long")
-    out = None
-    for index in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(index)
+    kind = _arrow_type(schema["item_id"])
 
-        def run(batches, shared=shared):
+    def one_pass(shared):
+        def run(batches):
             index = shared.value
             for b in batches:
                 texts = [normalise(t) for t in b.column("text").to_pylist()]
                 found = [(a + t, i, e, s) for a, part in _chunks(texts) for t, i, e, s in index.leaks(part)]
                 if found:
                     row, item, edits, stop = map(list, zip(*found, strict=True))
-                    ids = pa.array([index.ids[i] for i in item], _arrow_type(schema["item_id"]))
+                    ids = pa.array([index.ids[i] for i in item], kind)
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), ids, pa.array(edits, pa.int32()), pa.array(stop, pa.int64())], ["doc_id", "item_id", "edits", "stop"])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+    out = None
+    for part in _passes(docs, benchmark, one_pass):
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -201,17 +232,18 @@ def _arrow_type(field):
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows that leak no item, with their own columns."""
-    out = docs
-    spark = docs.sparkSession
-    for index in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(index)
+    """The rows that leak no item, with their own columns; every block of items sees only what the blocks before it left."""
+    left = [docs]
 
-        def run(batches, shared=shared):
+    def one_pass(shared):
+        def run(batches):
             for b in batches:
                 texts = [normalise(t) for t in b.column("text").to_pylist()]
                 found = {a + t for a, part in _chunks(texts) for t, *_ in shared.value.leaks(part)}
                 yield b.filter(pa.array([i not in found for i in range(b.num_rows)])) if found else b
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+        return left[0].mapInArrow(run, docs.schema)
+
+    for part in _passes(docs, benchmark, one_pass):
+        left[0] = part
+    return left[0]

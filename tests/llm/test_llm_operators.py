@@ -325,6 +325,21 @@ def test_leaks_against_plain_alignment(spark):
     assert decontaminate.leaks(documents(spark, rows), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_many_blocks_of_items_and_grams_that_many_share(spark, monkeypatch):
+    rng = random.Random(11)
+    common = "the answer to this question is "
+    items = [(i, common * 3 + sentence(rng, 8)) for i in range(40)]
+    rows = [(i, f"{sentence(rng, 6)} {items[i][1] if i % 2 else common * 2} {sentence(rng, 5)}") for i in range(30)]
+    docs, bench = documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    find = lambda: sorted((r.doc_id, r.item_id, r.edits) for r in decontaminate.leaks(docs, bench).collect())
+    want = find()
+    assert {(i, i, 0) for i in range(1, 30, 2)} <= set(want) and not {d for d, _, _ in want} & set(range(0, 30, 2))
+    monkeypatch.setattr(decontaminate, "INDEX_CHARS", 600)
+    monkeypatch.setattr(decontaminate, "PAIRS", 50)
+    assert find() == want
+    assert sorted(r.doc_id for r in decontaminate.remove_leaks(docs, bench).collect()) == list(range(0, 30, 2))
+
+
 def fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     grams = [" ".join(words[i:i + 4]) for i in range(max(1, len(words) - 3))] if words else []
