@@ -168,3 +168,66 @@ def find_documents(docs: DataFrame, name: str, k: int = 25) -> DataFrame:
     none = exact.limit(1).agg((F.count("*") == 0).alias("none"))
     loose = loose.crossJoin(F.broadcast(none)).where("none").drop("none")
     return exact.unionByName(loose).orderBy(F.desc("score"), F.when(F.col("status") == "indexed", 0).otherwise(1), "document_id").limit(k)
+
+
+def expanded_query(query: str, rules) -> str:
+    """The query with the words that rules (word, words to add) give for what it names."""
+    named = fold_text(query)
+    return " ".join([query, *(more for word, more in rules if word in named)])
+
+
+def fold_text(text: str) -> str:
+    return text.translate(str.maketrans(MARKED, PLAIN)).lower()
+
+
+def best_of_document(lane: DataFrame, score: str) -> DataFrame:
+    """A lane of chunks as one of documents: each with its best score."""
+    return lane.groupBy("document_id").agg(F.max(score).alias("similarity"))
+
+
+def retrieve(vector: DataFrame, keyword: DataFrame, supplements: DataFrame, docs: DataFrame, terms: list[str], mode: str = "standard", scores: DataFrame | None = None, floor: float = 0.3, model_order: DataFrame | None = None,
+             k: int = FINAL_K) -> tuple[DataFrame, DataFrame]:
+    """The k best documents of three lanes (document_id, similarity), and one row of diagnostics.
+
+    The first lane that has a document wins; ``mode`` keeps only sources trusted enough.  Relevance is a reranker's score
+    (``scores``) or, without one (degraded), similarity scaled over the pool.  Documents that may not be retrieved go, whatever
+    lane brought them; with scores those below ``floor`` go, unless the source is trusted or nothing would be left.  Then come
+    boosts for governance and for query words in the title, a model's order where it brings one, a small lead for supplements,
+    and the order of the mode.  Lanes hold a bounded number of rows, so the windows are over few rows.
+    """
+    out = None
+    for i, lane in enumerate((vector, keyword, supplements)):
+        part = lane.select("document_id", F.lit(i).alias("lane"), F.col("similarity").cast("double").alias("similarity"))
+        out = part if out is None else out.unionByName(part)
+    fused = out.groupBy("document_id").agg(F.min(F.struct("lane", (-F.col("similarity")).alias("s"))).alias("b"), F.count_distinct("lane").alias("lanes"))
+    pool = fused.select("document_id", F.col("b.lane").alias("lane"), (-F.col("b.s")).alias("similarity"), "lanes").join(docs, "document_id").withColumn("query_id", F.lit(0)).withColumn("trust", trust(verification_tier()))
+    allowed = pool.where(F.col("trust") >= {"standard": 0, "trusted_only": 2, "official_only": 3}[mode])
+    if scores is None:
+        rows = minmax(allowed, "similarity", "query_id").withColumnRenamed("scaled", "relevance")
+    else:
+        rows = allowed.join(scores, "document_id", "left").withColumn("relevance", F.coalesce("score", F.lit(0.0)))
+    excluded = (F.col("review_status").eqNullSafe(F.lit("rejected")) | F.col("classification_source").eqNullSafe(F.lit("agent_rejected")) | F.col("lifecycle").eqNullSafe(F.lit("superseded")))
+    rows = rows.where(~excluded)
+    if scores is not None:
+        rows = relevance_floor(rows.withColumn("protected", F.col("trust") >= 2), floor)
+    metadata = F.when(F.col("authority_score") >= 60, 0.5).otherwise(0.0) + F.when(F.col("review_status") == "approved", 0.4).otherwise(0.0)
+    content = sum((F.when(F.contains(fold(F.col("title")), F.lit(t)), 0.2).otherwise(0.0) for t in terms), F.lit(0.0))
+    rows = rows.withColumn("relevance", boosted(F.col("relevance"), metadata, content))
+    if model_order is not None:
+        rows = rows.join(model_order, "document_id", "left").withColumn("relevance", F.coalesce("model_score", "relevance"))
+    rows = rows.withColumn("relevance", F.round(F.col("relevance") + F.when(F.col("lane") == 2, 0.02).otherwise(0.0), 6))
+    ranked_rows = trust_order(rows, "standard" if mode == "standard" else "trust").where(F.col("place") <= k)
+    counts = out.groupBy("lane").agg(F.count("*").alias("n")).agg(*(F.coalesce(F.sum(F.when(F.col("lane") == i, F.col("n"))), F.lit(0)).alias(c) for i, c in enumerate(("vector_count", "keyword_count", "graph_count"))))
+    pools = pool.agg(F.count("*").alias("pool_count"), F.count_if(F.col("lanes") > 1).alias("overlap_count"), F.count_if(F.col("trust") < {"standard": 0, "trusted_only": 2, "official_only": 3}[mode]).alias("grounding_filtered"))
+    used = ranked_rows.agg(F.count("*").alias("returned"), F.count_if(F.coalesce(F.col("review_status").isin("pending", "needs_review"), F.lit(True))).alias("unreviewed_used"))
+    diagnostics = counts.join(F.broadcast(pools)).join(F.broadcast(used)).withColumns({"degraded": F.lit(scores is None), "model_used": F.lit(model_order is not None), "grounding_mode": F.lit(mode)})
+    return ranked_rows.select("document_id", "relevance", "trust", "lane", "place"), diagnostics
+
+
+def smart_results(ranked_rows: DataFrame, docs: DataFrame, hits: DataFrame, limit: int = 12) -> DataFrame:
+    """Found documents with a score of relevance, authority and review, and the first snippets of their hits (document_id, chunk_id, score, content)."""
+    rolled = roll_up(hits.join(ranked_rows.select("document_id"), "document_id", "left_semi"))
+    lift = F.coalesce(F.col("authority_score"), F.lit(0)) / 100 * 0.12 + F.when(F.col("review_status") == "approved", 0.08).when(F.col("review_status") == "needs_review", -0.04).otherwise(0.0)
+    score = F.round(F.least(F.greatest(F.col("relevance") + lift, F.lit(0.0)), F.lit(1.5)), 6)
+    return (ranked_rows.join(docs.select("document_id", "title", "authority_score", "review_status"), "document_id").join(rolled.select("document_id", "snippets"), "document_id", "left")
+            .select("document_id", "title", score.alias("smart_score"), "snippets").orderBy(F.desc("smart_score"), "document_id").limit(limit))

@@ -53,11 +53,12 @@ def evidence_coverage(spark, d):
                                                          F.round(F.sum(F.col("confidence").cast("decimal(9,4)")).cast("double") / F.count("*"), 4).alias("avg_confidence"), F.round(F.sum("authority_score").cast("double") / F.count("authority_score"), 4).alias("avg_authority"))
 
 
-@query(f"{as_sql(CANDIDATES_SQL, DOCUMENTS_SQL, CHUNKS_SQL)} SELECT candidate_id, c.document_id, chunk_id, title, c.authority_score, substr(content, 1, 80) AS snippet FROM metric_candidate c JOIN rag_chunks k ON k.document_id = c.document_id AND k.chunk_index = 0 JOIN rag_documents d ON d.document_id = c.document_id WHERE c.status = 'accepted'")
+@query(f"{as_sql(CANDIDATES_SQL, DOCUMENTS_SQL, CHUNKS_SQL)} SELECT candidate_id, c.document_id, chunk_id, title, coalesce(d.authority_score, c.authority_score) AS authority_score, sha256(content) AS digest FROM metric_candidate c JOIN rag_chunks k ON k.document_id = c.document_id AND k.chunk_index = candidate_id % 3 JOIN rag_documents d ON d.document_id = c.document_id WHERE c.status = 'accepted'")
 def fact_evidence(spark, d):
-    c = candidates(spark, d).where("status = 'accepted'").select("candidate_id", "document_id", "authority_score")
-    return (c.join(chunks(spark, d).where("chunk_index = 0").select("document_id", "chunk_id", F.substring("content", 1, 80).alias("snippet")), "document_id")
-            .join(documents(spark, d).select("document_id", "title"), "document_id").select("candidate_id", "document_id", "chunk_id", "title", "authority_score", "snippet"))
+    """Each accepted candidate's chunk, which is one of its document's first three, and the document; the chunk's whole text as a digest."""
+    c = candidates(spark, d).where("status = 'accepted'").select("candidate_id", "document_id", (F.col("candidate_id") % 3).cast("int").alias("chunk_index"), F.col("authority_score").alias("own"))
+    return (c.join(chunks(spark, d).select("document_id", "chunk_index", "chunk_id", F.sha2("content", 256).alias("digest")), ["document_id", "chunk_index"])
+            .join(documents(spark, d).select("document_id", "title", "authority_score"), "document_id").select("candidate_id", "document_id", "chunk_id", "title", F.coalesce("authority_score", "own").alias("authority_score"), "digest"))
 
 
 @query(f"{WITH_DOCS} SELECT metric_id, candidate_id, title, coalesce(d.authority_score, c.authority_score) AS authority_score, c.confidence FROM metric_candidate c JOIN rag_documents d USING (document_id) WHERE c.metric_id = 'M7' ORDER BY 4 DESC NULLS LAST, c.confidence DESC, candidate_id")

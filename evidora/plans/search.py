@@ -140,11 +140,14 @@ RULES = (("loan", "finance", 5), ("capex", "finance", 4), ("board", "role", 6),
 _RULES_SQL = "rules(alias, kind, weight) AS (VALUES " + ", ".join(f"('{a}', '{k}', {w})" for a, k, w in RULES) + ")"
 
 
-@query(f"""{BOTH}, {_RULES_SQL}, od AS (SELECT document_id, sum(weight) AS w FROM rag_documents, rules WHERE contains(lower(title), alias) GROUP BY document_id),
+GRAPH_SQL = f"""{_RULES_SQL}, od AS (SELECT document_id, sum(weight) AS w FROM rag_documents, rules WHERE contains(lower(title), alias) GROUP BY document_id),
 sd AS (SELECT document_id, w + CASE WHEN review_status = 'approved' THEN 3 ELSE 0 END + CASE WHEN authority_score >= 90 THEN 3 WHEN authority_score >= 75 THEN 1 ELSE 0 END AS doc_score FROM rag_documents JOIN od USING (document_id)),
 f AS (SELECT chunk_id, document_id, doc_score, sum(weight) AS w, count(DISTINCT kind) AS kinds FROM rag_chunks JOIN sd USING (document_id), rules WHERE doc_score >= 3 AND contains({_TOKENS[_TOKENS.index('lower('):_TOKENS.index(", '[^a-z")].format('content')}, alias) GROUP BY ALL),
-c AS (SELECT chunk_id, document_id, round(cast(0.45 * doc_score + w + CASE WHEN kinds >= 3 THEN 8 WHEN kinds >= 2 THEN 4 ELSE 0 END AS double), 4) AS score FROM f)
-SELECT chunk_id, document_id, score, round(least(greatest(0.52 + score / 42, 0.52), 0.98), 6) AS similarity FROM c WHERE score >= 7 ORDER BY score DESC, chunk_id LIMIT 28""")
+c AS (SELECT chunk_id, document_id, round(cast(0.45 * doc_score + w + CASE WHEN kinds >= 3 THEN 8 WHEN kinds >= 2 THEN 4 ELSE 0 END AS double), 4) AS score FROM f),
+gr AS (SELECT chunk_id, document_id, score, round(least(greatest(0.52 + score / 42, 0.52), 0.98), 6) AS similarity FROM c WHERE score >= 7 ORDER BY score DESC, chunk_id LIMIT 28)"""
+
+
+@query(f"{BOTH}, {GRAPH_SQL} SELECT * FROM gr")
 def graph_expand(spark, d):
     return s.graph_expand(chunks(spark, d), documents(spark, d), spark.createDataFrame(list(RULES), "alias string, kind string, weight int"))
 
@@ -207,3 +210,66 @@ def hybrid_retrieve(spark, d):
     rows = both.join(documents(spark, d).where(retrievable()), "document_id")
     rows = rows.withColumn("relevance", s.boosted(F.col("relevance"), F.when(F.col("authority_score") >= 60, 0.5).otherwise(0.0), F.lit(0.0))).withColumn("query_id", F.lit(0)).withColumn("trust", trust(verification_tier()))
     return s.trust_order(rows, "standard").where(F.col("place") <= s.FINAL_K).select("document_id", "relevance", "trust", "place")
+
+
+_QUERY = s.expanded_query(QUERY, (("nation", "heation"), ("loan", "facility")))
+_TERMS = s.query_terms(_QUERY)
+_WORDS = tuple(t for t in ("report", "board", "capex"))
+_SUPPLEMENT_SQL = ("sup AS (SELECT document_id, max(similarity) AS similarity FROM (SELECT document_id, similarity FROM gr UNION ALL " + " UNION ALL ".join(f"SELECT * FROM (SELECT document_id, {sim}::double AS similarity FROM rag_documents WHERE regexp_matches(title, '{p}') AND {RETRIEVABLE} ORDER BY authority_score DESC NULLS LAST, document_id LIMIT {k})" for n, p, k, sim in SUPPLEMENTS)
+                   + ") GROUP BY document_id)")
+
+
+def _retrieve_sql(mode: str, scored: bool) -> str:
+    least = {"standard": 0, "trusted_only": 2}[mode]
+    relevance = ("coalesce((document_id * 37) % 100 / 100.0::double, 0)" if scored else "round(CASE WHEN max(similarity) OVER () - min(similarity) OVER () < 1e-9 THEN 0.5 ELSE (similarity - min(similarity) OVER ()) / (max(similarity) OVER () - min(similarity) OVER ()) END, 6)")
+    lead = "relevance >= 0.5 DESC, CASE WHEN relevance >= 0.5 THEN relevance ELSE -1 END DESC, " if mode == "standard" else ""
+    words = " + ".join(f"CASE WHEN contains(lower(title), '{w}') THEN 0.2::double ELSE 0 END" for w in _WORDS)
+    return f"""{BOTH}, {VECTOR_SQL}, {KEYWORD_SQL.format(1500).replace(QUERY, _QUERY)}, {GRAPH_SQL}, {_SUPPLEMENT_SQL},
+al AS (SELECT document_id, 0 AS lane, similarity FROM v UNION ALL SELECT document_id, 1, max(rank) FROM k GROUP BY document_id UNION ALL SELECT document_id, 2, similarity FROM sup),
+fu AS (SELECT document_id, min(lane) AS lane, arg_min(similarity, lane) AS similarity, count(DISTINCT lane) AS lanes FROM al GROUP BY document_id),
+po AS (SELECT fu.*, title, review_status, classification_source, lifecycle, authority_score, CASE {TIER} WHEN 'source_of_record' THEN 3 WHEN 'supporting' THEN 2 WHEN 'context' THEN 1 ELSE 0 END AS trust FROM fu JOIN rag_documents USING (document_id)),
+re AS (SELECT *, {relevance} AS r0 FROM po WHERE trust >= {least}),
+ex AS (SELECT * FROM re WHERE review_status IS DISTINCT FROM 'rejected' AND classification_source IS DISTINCT FROM 'agent_rejected' AND lifecycle IS DISTINCT FROM 'superseded'),
+fl AS (SELECT *, bool_or(trust >= 2 OR r0 >= 0.3) OVER () AS any_kept, row_number() OVER (ORDER BY r0 DESC, document_id) AS best FROM ex),
+bo AS (SELECT *, round(round(least(r0 + least(CASE WHEN authority_score >= 60 THEN 0.5::double ELSE 0 END + CASE WHEN review_status = 'approved' THEN 0.4::double ELSE 0 END, 0.75) + least({words}, 0.35), 1.5), 6) + CASE WHEN lane = 2 THEN 0.02 ELSE 0 END, 6) AS relevance
+ FROM fl WHERE {'trust >= 2 OR r0 >= 0.3 OR (NOT any_kept AND best = 1)' if scored else 'true'}),
+rk AS (SELECT *, row_number() OVER (ORDER BY {lead}trust DESC, coalesce(review_status = 'approved', false) DESC, relevance DESC, document_id) AS place FROM bo)"""
+
+
+def _supplements(spark, d):
+    rules = supplement_rules(spark, d).select("document_id", "similarity").unionByName(graph_expand(spark, d).select("document_id", "similarity"))
+    return s.best_of_document(rules, "similarity")
+
+
+def _retrieved(spark, d, mode, scored):
+    docs = documents(spark, d)
+    scores = docs.select("document_id", ((F.col("document_id") * 37) % 100 / 100.0).alias("score")) if scored else None
+    words = s.best_of_document(s.keyword_lane(chunks(spark, d), docs, _QUERY), "rank")
+    return s.retrieve(_vector(spark, d), words, _supplements(spark, d), docs, list(_WORDS), mode, scores)
+
+
+@query(f"{_retrieve_sql('standard', False)} SELECT document_id, relevance, trust, lane, place FROM rk WHERE place <= 10")
+def retrieve_standard(spark, d):
+    """The whole retrieval without a reranker: expanded query, three lanes, governance, boosts and standard order."""
+    return _retrieved(spark, d, "standard", False)[0]
+
+
+@query(f"{_retrieve_sql('trusted_only', True)} SELECT document_id, relevance, trust, lane, place FROM rk WHERE place <= 10")
+def retrieve_trusted(spark, d):
+    """Trusted sources only, with a reranker's scores and a floor."""
+    return _retrieved(spark, d, "trusted_only", True)[0]
+
+
+@query(f"""{_retrieve_sql('trusted_only', True)} SELECT (SELECT count(*) FROM al WHERE lane = 0) AS vector_count, (SELECT count(*) FROM al WHERE lane = 1) AS keyword_count, (SELECT count(*) FROM al WHERE lane = 2) AS graph_count, (SELECT count(*) FROM po) AS pool_count,
+(SELECT count(*) FROM po WHERE lanes > 1) AS overlap_count, (SELECT count(*) FROM po WHERE trust < 2) AS grounding_filtered, count(*) AS returned, count(*) FILTER (coalesce(review_status IN ('pending', 'needs_review'), true)) AS unreviewed_used, false AS degraded, false AS model_used, 'trusted_only' AS grounding_mode FROM rk WHERE place <= 10""")
+def retrieve_diagnostics(spark, d):
+    return _retrieved(spark, d, "trusted_only", True)[1]
+
+
+@query(f"""{_retrieve_sql('standard', False)}, hh AS (SELECT document_id, chunk_id, content, round((chunk_id * 31) % 89 / 89.0::double, 6) AS score FROM rag_chunks), hr AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, chunk_id) AS r FROM hh),
+sn AS (SELECT document_id, string_agg(substr(trim(regexp_replace(content, '\s+', ' ', 'g')), 1, 420), chr(10) ORDER BY r) FILTER (r <= 5) AS snippets FROM hr GROUP BY document_id)
+SELECT document_id, title, round(least(greatest(relevance + coalesce(authority_score, 0) / 100 * 0.12::double + CASE WHEN review_status = 'approved' THEN 0.08::double WHEN review_status = 'needs_review' THEN -0.04::double ELSE 0 END, 0), 1.5), 6) AS smart_score, snippets FROM rk LEFT JOIN sn USING (document_id) WHERE place <= 10""")
+def smart_document_search(spark, d):
+    """Found documents with scores and snippets; the chunks' scores are made up."""
+    hits = chunks(spark, d).withColumn("score", F.round((F.col("chunk_id") * 31) % 89 / 89.0, 6))
+    return s.smart_results(_retrieved(spark, d, "standard", False)[0], documents(spark, d), hits)

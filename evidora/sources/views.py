@@ -98,13 +98,13 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed-length chunks of every document with metadata that diverges from the parent's on some rows."""
     n = F.greatest(F.ceil(F.length("text") / F.lit(float(CHUNK_CHARS))), F.lit(1))
     parts = (table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("chunk_index"))
-             .select("document_id", "chunk_index", (F.col("document_id") * 1000 + F.col("chunk_index")).alias("chunk_id"),
+             .select("document_id", "chunk_index", (F.col("document_id") * 1000000 + F.col("chunk_index")).alias("chunk_id"),
                      F.col("text").substr(F.col("chunk_index") * CHUNK_CHARS + 1, F.lit(CHUNK_CHARS)).alias("content")))
     return parts.select("document_id", "chunk_index", "chunk_id", "content", *_columns(CHUNK))
 
 
 CHUNKS_SQL = f"""rag_chunks AS (SELECT document_id, chunk_index, chunk_id, content, {_sql(CHUNK)} FROM (
- SELECT doc_id AS document_id, i AS chunk_index, doc_id * 1000 + i AS chunk_id, substr(text, i * {CHUNK_CHARS} + 1, {CHUNK_CHARS}) AS content
+ SELECT doc_id AS document_id, i AS chunk_index, doc_id * 1000000 + i AS chunk_id, substr(text, i * {CHUNK_CHARS} + 1, {CHUNK_CHARS}) AS content
  FROM (SELECT doc_id, text, unnest(range(cast(greatest(ceil(length(text) / {CHUNK_CHARS}.0), 1) AS bigint))) AS i FROM documents)))"""
 
 
