@@ -35,6 +35,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +45,8 @@ from evidora.llm.common import staged
 
 WINDOW = 50
 GRAM = 20             # 16 to 32; windows share a key for about WINDOW - GRAM positions
-PIECE = 1 << 21       # bytes whose keys are computed at once
+PIECE = 1 << 20       # bytes whose keys are computed at once
+BATCH_BYTES = 1 << 22 # bytes of text of a batch that are held as Python objects at once
 MAP_BITS = 1 << 28    # of the map that is broadcast, at most (32 MB)
 BUCKET_KEYS = 1 << 20
 BLOCK_ROWS = 30000    # rows that a task judges at once
@@ -112,13 +114,19 @@ def keyed_segments(texts: list[bytes]):
         yield found
 
 
-def _texts(b) -> list[bytes]:
-    return [(t or "").encode() for t in b.column("text").to_pylist()]
+def _parts(b):
+    """A batch in parts of about BATCH_BYTES of text, each with its first row and its texts."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(ends // BATCH_BYTES)) + 1
+    for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+        if z > a:
+            yield a, [(t or "").encode() for t in b.column("text").slice(a, z - a).to_pylist()]
 
 
 def segment_keys(b):
-    for key, row, _, _ in keyed_segments(_texts(b)):
-        yield key, row
+    for a, texts in _parts(b):
+        for key, row, _, _ in keyed_segments(texts):
+            yield key, row + a
 
 
 def coded(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -401,9 +409,8 @@ def removed_spans(docs: DataFrame, total: int, tag: Column) -> DataFrame:
     def send(of_hot_keys):
         def run(batches):
             bits, hot = shared.value
-            for b in batches:
-                texts = _texts(b)
-                doc, tag = b.column("doc").to_numpy(zero_copy_only=False), b.column("tag").to_numpy(zero_copy_only=False)
+            for first, texts, b in ((*part, b) for b in batches for part in _parts(b)):
+                doc, tag = (b.column(c).slice(first, len(texts)).to_numpy(zero_copy_only=False) for c in ("doc", "tag"))
                 for key, row, at, count in keyed_segments(texts):
                     code = coded(key, buckets)
                     seen = marked(bits, code, each)
