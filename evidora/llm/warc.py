@@ -13,13 +13,16 @@ Cases: null html is an empty payload; a null URL is written as ``-`` and white
 space or control characters in a URL are percent-encoded; payloads under 100
 bytes are never revisits; rows that repeat a page_id and payload are alike, so
 those with the smallest page_id are all responses; a null page_id is kept and
-revisits only what a row with an id holds.
+revisits only what a row with an id holds; a payload of any length is one record;
+extra columns are ignored, whatever their names; an empty table gives archives
+without records and an empty result.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
 import uuid
 
@@ -27,10 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidora.llm.common import shared_dir
+from evidora.llm.common import shared_dir, staged
 
 REVISIT_BYTES = 100
 RECORDS_PER_FILE = 2000
+FILE_BYTES = 1 << 29                # of a file's records before compression
+SIZE_CLASSES = (1 << 18, 1 << 24)   # pages up to each size share files; larger ones have a file each
+HOT_COPIES = 4096                   # copies of a payload above which it may be joined by broadcast
 ARCHIVE_DATE = "20240101000000"
 # Fixed values of the ARC formats: columns of a header line, by version.
 ARC_COLUMNS = {
@@ -111,29 +117,41 @@ def _record_id(page_id, digest: str) -> str:
     return f"<urn:uuid:{uuid.UUID(hashlib.sha256(f'{page_id} {digest}'.encode()).hexdigest()[:32], version=5)}>"
 
 
-def parse_warc(data: bytes):
-    """(fields, block) of each record of a WARC file, by declared lengths."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split(BREAK)
-        if end < 0 or not lines[0].startswith("WARC/"):
+def parse_warc(stream):
+    """(fields, block) of each record of a WARC file, read one after the other by declared lengths."""
+    while first := stream.readline():
+        if not first.startswith(b"WARC/"):
             raise ValueError("a WARC record does not begin where the last one ends")
-        fields = dict(x.split(": ", 1) for x in lines[1:])
+        fields = {}
+        while (line := stream.readline()) != b"\r\n":
+            if not line:
+                raise ValueError("a WARC record's header has no end")
+            key, _, value = line.decode("utf-8").removesuffix("\r\n").partition(": ")
+            fields[key] = value
         length = int(fields["Content-Length"])
-        block = data[end + 4:end + 4 + length]
-        if len(block) < length or data[end + 4 + length:end + 8 + length] != b"\r\n\r\n":
+        block = stream.read(length)
+        if len(block) < length or stream.read(4) != b"\r\n\r\n":
             raise ValueError("a WARC record is not as long as it declares")
         yield fields, block
-        at = end + 8 + length
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Write the pages as WARC files; equal payloads are stored once and revisited."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    leaders = (rows.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest")
-               .agg(F.min("page_id").alias("leader"), F.count("*").alias("copies")).where("copies > 1").drop("copies"))
-    marked = rows.join(leaders, "digest", "left").select("page_id", "url", "html", F.when(~F.col("leader").eqNullSafe(F.col("page_id")), F.col("leader")).alias("leader"))
+    """Write the pages as WARC files; equal payloads are stored once and revisited.
+
+    Pages of one class of size share files, so that no file holds more than about FILE_BYTES before compression, or one
+    record.  Payloads that very many pages share find their leader by broadcast, so that they do not meet in one task.
+    """
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("size", F.octet_length("html"))
+    of_digest = staged(rows.groupBy("digest").agg(F.min("page_id").alias("leader"), F.count("*").alias("copies"), F.max("size").alias("size")), "digests")
+    seen = of_digest.agg(F.sum("copies").alias("n"), F.max("size").alias("largest")).first()
+    leaders = of_digest.where((F.col("copies") > 1) & (F.col("size") >= REVISIT_BYTES)).select("digest", "leader", "copies")
+    hot = leaders.where(F.col("copies") > max(HOT_COPIES, (seen.n or 0) // 1000)).select("digest", "leader")  # fewer than a thousand
+    if hot.isEmpty():
+        joined = rows.join(leaders.select("digest", "leader"), "digest", "left")
+    else:
+        rest = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(leaders.select("digest", "leader"), "digest", "left")
+        joined = rows.join(F.broadcast(hot), "digest").unionByName(rest)
+    marked = joined.select("page_id", "url", "html", F.when(~F.col("leader").eqNullSafe(F.col("page_id")), F.col("leader")).alias("leader"), "size")
 
     def convert(batches):
         for b in batches:
@@ -146,7 +164,14 @@ def write_archives(pages: DataFrame, path: str) -> None:
                     made[i] = warc_record(header, content, cols[0][i], cols[3][i])
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["value"])
 
-    marked.mapInArrow(convert, "value string").write.option("lineSep", BREAK * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    least = -1
+    for most in (*SIZE_CLASSES, None):
+        part = marked.where(F.col("size") > least) if most is None else marked.where((F.col("size") > least) & (F.col("size") <= most))
+        if least < (seen.largest or 0):
+            records = 1 if most is None else max(1, FILE_BYTES // most)
+            (part.drop("size").mapInArrow(convert, "value string").write.mode("append").option("lineSep", BREAK * 2).option("compression", "gzip")
+             .option("maxRecordsPerFile", min(records, RECORDS_PER_FILE)).text(path))
+        least = most if most is not None else least
 
 
 def read_archives(spark, path: str) -> DataFrame:
@@ -156,7 +181,7 @@ def read_archives(spark, path: str) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 out: list[list] = [[] for _ in range(7)]
-                for fields, block in parse_warc(gzip.decompress(b.column("content")[i].as_py())):
+                for fields, block in parse_warc(gzip.GzipFile(fileobj=io.BytesIO(b.column("content")[i].as_py()))):
                     digest, n = fields["WARC-Payload-Digest"].removeprefix("sha256:"), int(fields["Payload-Length"])
                     if fields["WARC-Type"] == "response":
                         payload = block.partition(b"\r\n\r\n")[2]

@@ -205,13 +205,19 @@ def test_gram_ratios_against_the_formula(spark):
         assert math.isclose(got[g], math.log(p[0]) - math.log(p[1]), abs_tol=1e-9)
 
 
-def test_archives_round_trip(spark):
+def test_archives_round_trip(spark, monkeypatch):
     big = "<p>" + "é x\r\n\r\nWARC/1.1\r\n" * 20
     rows = [(5, "http://a b\n", big), (2, None, big), (9, "u", big), (7, "u", None), (8, "u", ""), (1, "u", "small"), (3, "u", "small"), (None, "u", big), (2, "v", big)]
     got = warc.archive_round_trip(spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string")).collect()
     sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
     want = sorted(((i, len((h or "").encode()), sha(h), "response" if i == 2 or len(h or "") < 100 else "revisit", None if i == 2 or len(h or "") < 100 else 2) for i, _, h in rows), key=repr)
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=repr) == want
+    assert warc.archive_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    monkeypatch.setattr(warc, "HOT_COPIES", 1)
+    monkeypatch.setattr(warc, "SIZE_CLASSES", (100, 400))
+    monkeypatch.setattr(warc, "FILE_BYTES", 800)
+    again = warc.archive_round_trip(spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string")).collect()
+    assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, got), key=repr)
     records = [("http://x/ y", b"abc\n\nURL 1"), ("z", b"")]
     for version in (1, 2):
         back = list(warc.parse_arc(warc.write_arc(records, version)))
