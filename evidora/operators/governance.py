@@ -19,6 +19,8 @@ TRUST = {"source_of_record": 3, "supporting": 2, "context": 1, "unverified": 0}
 FINAL_LIFECYCLES = ("executed", "signed", "filed", "audited")
 STICKY_TIERS = ("audited", "executed", "controller")
 HIGH_STAKES = ("funding", "board", "legal")
+# Columns that a chunk always has from its document, null or not.
+GOVERNED = ("review_status", "classification_source", "status", "lifecycle", "authority_score", "confidence", "source_channel", "current_version", "md_path", "storage_path")
 TITLE_TYPES = ((r"(?i)\bboard\b", "board"), (r"(?i)\b(loan|funding|facility)\b", "funding"), (r"(?i)\bcapex\b", "capex"), (r"(?i)\bcash ?flow\b", "cash_flow"),
                (r"(?i)\bbusiness plan\b", "bp_model"), (r"(?i)\bannual accounts\b", "financial_statements"), (r"(?i)\btax\b", "tax"), (r"(?i)\bdue diligence\b", "dd"), (r"(?i)\blegal\b", "legal"))
 
@@ -53,10 +55,10 @@ def trust(tier: Column) -> Column:
 
 def overlay(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """Chunks with their document's metadata: the document's project, type and period where it has them, its governance columns always."""
-    parent = docs.select("document_id", "project_id", "doc_type", "period", "review_status", "lifecycle", "authority_score")
+    parent = docs.select("document_id", "project_id", "doc_type", "period", *GOVERNED)
     return (chunks.join(parent, "document_id")
             .select("chunk_id", "document_id", F.coalesce("project_id", "chunk_project").alias("project_id"), F.coalesce("doc_type", "chunk_doc_type").alias("doc_type"),
-                    F.coalesce("period", "chunk_period").alias("period"), "review_status", "lifecycle", "authority_score"))
+                    F.coalesce("period", "chunk_period").alias("period"), *GOVERNED))
 
 
 def grounded(docs: DataFrame, mode: str) -> DataFrame:

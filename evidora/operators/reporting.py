@@ -61,10 +61,11 @@ def readiness(rows: DataFrame, key: str) -> DataFrame:
 
 
 def variance(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Budget, forecast and paid with their ratios and a colour by the forecast's excess."""
-    t = totals(rows, keys, budget=F.col("budget"), eac=F.col("eac"), paid=F.col("paid"))
+    """Budget, forecast, paid and committed with their ratios, what is left of the contingency, and a colour by the forecast's excess."""
+    t = totals(rows, keys, **{m: F.col(m) for m in ("budget", "eac", "paid", "committed", "invoiced", "contingency", "contingency_used")})
     over = ratio(F.col("eac") - F.col("budget"), F.col("budget"), 6)
     return (t.withColumn("variance_pct", over).withColumn("paid_pct", ratio(F.col("paid"), F.col("budget"), 6))
+            .withColumn("committed_pct", ratio(F.col("committed"), F.col("budget"), 6)).withColumn("contingency_left", F.round(F.col("contingency") - F.col("contingency_used"), 2))
             .withColumn("colour", F.when(F.col("variance_pct") > 0.05, "Red").when(F.col("variance_pct") > 0.02, "Amber").otherwise("Green")))
 
 

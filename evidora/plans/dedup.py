@@ -24,9 +24,9 @@ def exact_dedup(spark, d):
     return u.exact_duplicates(documents(spark, d))
 
 
-@query(f"{DOCS} SELECT document_id, {STEM} AS stem, {TIGHT} AS tight FROM rag_documents")
+@query(f"{DOCS} SELECT document_id, {STEM} AS stem, {TIGHT} AS tight, {LANGUAGE} AS language FROM rag_documents")
 def title_keys(spark, d):
-    return documents(spark, d).select("document_id", u.stem(F.col("title")).alias("stem"), u.tight_key(F.col("title")).alias("tight"))
+    return documents(spark, d).select("document_id", u.stem(F.col("title")).alias("stem"), u.tight_key(F.col("title")).alias("tight"), u.language_tag(F.col("title")).alias("language"))
 
 
 @query("""WITH t AS (SELECT text, min(doc_id) AS id FROM documents GROUP BY text), w AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM t),
@@ -70,6 +70,13 @@ def dup_cluster_report(spark, d):
     return clusters.join(F.broadcast(docs.agg(F.count_if(F.col("chunk_count") == 0).alias("empty_documents"))), how="inner")
 
 
+@query(f"{DOCS} SELECT title, project_id, doc_type, chunk_count, count(*) AS n, starts_with(title, '._') AS junk FROM rag_documents GROUP BY ALL HAVING count(*) > 1 ORDER BY n DESC, title, project_id NULLS FIRST, doc_type NULLS FIRST, chunk_count LIMIT 10")
+def dup_cluster_top(spark, d):
+    """The ten largest clusters."""
+    keys = ["title", "project_id", "doc_type", "chunk_count"]
+    return documents(spark, d).groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), *keys).limit(10).withColumn("junk", F.col("title").startswith("._"))
+
+
 @query(f"{DOCS} SELECT sha256(text) AS source_hash, project_id, count(*) AS n, count(DISTINCT doc_type) AS types FROM rag_documents GROUP BY ALL HAVING count(*) > 1")
 def hash_dup_probe(spark, d):
     return documents(spark, d).groupBy(F.sha2("text", 256).alias("source_hash"), "project_id").agg(F.count("*").alias("n"), F.countDistinct("doc_type").alias("types")).where("n > 1")

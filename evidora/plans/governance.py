@@ -23,7 +23,7 @@ def governed_docs(spark, d):
 
 
 @query(f"{BOTH} SELECT chunk_id, document_id, coalesce(project_id, chunk_project) AS project_id, coalesce(doc_type, chunk_doc_type) AS doc_type, coalesce(period, chunk_period) AS period, "
-       "review_status, lifecycle, authority_score FROM rag_chunks JOIN rag_documents USING (document_id)")
+       f"{', '.join(g.GOVERNED)} FROM rag_chunks JOIN rag_documents USING (document_id)")
 def parent_first_overlay(spark, d):
     return g.overlay(chunks(spark, d), documents(spark, d))
 
@@ -212,3 +212,20 @@ def _window(order):
     from pyspark.sql import Window
 
     return Window.orderBy(*order)  # over at most 50 rows
+
+
+@query(f"{DOCS}, q AS (SELECT count(*) FILTER (event_type = 'view') AS queued, count(*) FILTER (event_type = 'signup') AS processing, count(*) FILTER (event_type = 'error') AS failed FROM events) SELECT total, queued, processing, failed FROM (SELECT count(*) AS total FROM rag_documents), q")
+def corpus_queue(spark, d):
+    """The counts of the queue that stand beside the corpus's own."""
+    kind = F.col("event_type")
+    queue = table(spark, d, "events").agg(F.count_if(kind == "view").alias("queued"), F.count_if(kind == "signup").alias("processing"), F.count_if(kind == "error").alias("failed"))
+    return documents(spark, d).agg(F.count("*").alias("total")).join(F.broadcast(queue))
+
+
+_ORDER = "(SELECT document_id, arg_min(chunk_period, chunk_index) AS period, cast(count(DISTINCT chunk_period) AS bigint) AS n FROM rag_chunks WHERE chunk_period IS NOT NULL GROUP BY document_id)"
+
+
+@query(f"{_CHUNKS} SELECT document_id, period, n FROM {_ORDER}")
+def first_seen_period(spark, d):
+    """Of values that are equally frequent in a document the first seen counts; with one value that is all there is."""
+    return chunks(spark, d).where("chunk_period is not null").groupBy("document_id").agg(F.min_by("chunk_period", "chunk_index").alias("period"), F.countDistinct("chunk_period").alias("n"))

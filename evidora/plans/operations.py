@@ -89,3 +89,11 @@ def event_windows(spark, d):
 def event_sessions(spark, d):
     """Sessions that four hours of silence end."""
     return windows.sessions(table(spark, d, "events"), "4 hours").select("user_id", "start", "n")
+
+
+@query(f"{RESULTS}, t AS (SELECT query_id, place, (document_id * 7) % 50 AS ms FROM res) SELECT query_id, round(avg(ms), 6) AS mean, min(ms) AS low, max(ms) AS high, list_sort(list(ms))[count(*) // 2 + 1] AS upper_median, bool_or(ms > 45) AS failed FROM t GROUP BY query_id")
+def experiment_stats(spark, d):
+    """Mean, least, greatest and upper median of each query's ten results, and whether one took too long."""
+    t = _results(spark, d).withColumn("ms", (F.col("document_id") * 7) % 50)
+    at = (F.floor(F.count("*") / 2) + 1).cast("int")
+    return t.groupBy("query_id").agg(F.round(F.avg("ms"), 6).alias("mean"), F.min("ms").alias("low"), F.max("ms").alias("high"), F.element_at(F.array_sort(F.collect_list("ms")), at).alias("upper_median"), F.bool_or(F.col("ms") > 45).alias("failed"))

@@ -22,11 +22,11 @@ def cash(spark, d):
 _FLOW = "cast(coalesce(sum(amount) FILTER (amount > 0), 0) as double) AS inflow, cast(coalesce(sum(amount) FILTER (amount <= 0), 0) as double) AS outflow, cast(sum(amount) as double) AS net"
 
 
-@query(f"WITH {CASH} SELECT project_id, {_FLOW}, cast(coalesce(sum(amount) FILTER (amount > 0 AND confidence = 'Actual'), 0) as double) AS actual_inflow FROM cash GROUP BY project_id")
+@query(f"WITH {CASH} SELECT project_id, {_FLOW}, cast(coalesce(sum(amount) FILTER (amount > 0 AND confidence = 'Actual'), 0) as double) AS actual_inflow, cast(coalesce(sum(amount) FILTER (amount <= 0 AND confidence = 'Actual'), 0) as double) AS actual_outflow FROM cash GROUP BY project_id")
 def cash_summary(spark, d):
     c = cash(spark, d)
     m = money("amount")
-    return r.totals(c, ["project_id"], inflow=F.when(m > 0, m), outflow=F.when(m <= 0, m), net=m, actual_inflow=F.when((m > 0) & (F.col("confidence") == "Actual"), m))
+    return r.totals(c, ["project_id"], inflow=F.when(m > 0, m), outflow=F.when(m <= 0, m), net=m, actual_inflow=F.when((m > 0) & (F.col("confidence") == "Actual"), m), actual_outflow=F.when((m <= 0) & (F.col("confidence") == "Actual"), m))
 
 
 @query(f"WITH {CASH} SELECT concat(year(day), ' Q', quarter(day)) AS quarter, {_FLOW} FROM cash GROUP BY 1 ORDER BY 1")
@@ -49,26 +49,30 @@ def cash_categories(spark, d):
 
 
 CAPEX = ("capex AS (SELECT p_brand AS category, concat('P', cast(l_suppkey % 6 as varchar)) AS project_id, cast(l_extendedprice as decimal(18,2)) AS budget, cast(l_extendedprice as decimal(12,2)) * cast(1 + l_tax as decimal(5,2)) AS eac, "
-         "cast(l_extendedprice as decimal(12,2)) * cast(1 - l_discount as decimal(5,2)) AS paid, l_shipdate AS as_of FROM lineitem JOIN part ON l_partkey = p_partkey)")
+         "cast(l_extendedprice as decimal(12,2)) * cast(1 - l_discount as decimal(5,2)) AS paid, cast(l_extendedprice as decimal(12,2)) * cast(0.9 as decimal(5,2)) AS committed, cast(l_extendedprice as decimal(12,2)) * cast(0.7 as decimal(5,2)) AS invoiced, "
+         "cast(l_quantity as decimal(12,2)) AS contingency, CASE WHEN l_linestatus = 'F' THEN cast(l_quantity as decimal(12,2)) ELSE cast(0 as decimal(12,2)) END AS contingency_used, l_shipdate AS as_of FROM lineitem JOIN part ON l_partkey = p_partkey)")
 
 
 def capex(spark, d):
-    li = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_extendedprice", "l_tax", "l_discount", "l_shipdate")
-    price = F.col("l_extendedprice")
+    li = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_extendedprice", "l_tax", "l_discount", "l_shipdate", "l_quantity", "l_linestatus")
+    price, quantity = F.col("l_extendedprice"), F.col("l_quantity").cast("decimal(12,2)")
+    share = lambda x: price.cast("decimal(12,2)") * F.lit(x).cast("decimal(5,2)")
     return li.join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("p_brand").alias("category"), F.concat(F.lit("P"), F.col("l_suppkey") % 6).alias("project_id"), price.cast("decimal(18,2)").alias("budget"), (price.cast("decimal(12,2)") * (1 + F.col("l_tax")).cast("decimal(5,2)")).alias("eac"),
-        (price.cast("decimal(12,2)") * (1 - F.col("l_discount")).cast("decimal(5,2)")).alias("paid"), F.col("l_shipdate").alias("as_of"))
+        (price.cast("decimal(12,2)") * (1 - F.col("l_discount")).cast("decimal(5,2)")).alias("paid"), share(0.9).alias("committed"), share(0.7).alias("invoiced"), quantity.alias("contingency"),
+        F.when(F.col("l_linestatus") == "F", quantity).otherwise(F.lit(0).cast("decimal(12,2)")).alias("contingency_used"), F.col("l_shipdate").alias("as_of"))
 
 
-_SUMS = "cast(sum(budget) as double) AS budget, cast(sum(eac) as double) AS eac, cast(sum(paid) as double) AS paid"
+_MEASURES = ("budget", "eac", "paid", "committed", "invoiced", "contingency", "contingency_used")
+_SUMS = ", ".join(f"cast(sum({m}) as double) AS {m}" for m in _MEASURES)
 
 
 @query(f"WITH {CAPEX} SELECT project_id, {_SUMS} FROM capex GROUP BY project_id")
 def capex_summary(spark, d):
-    return r.totals(capex(spark, d), ["project_id"], budget=F.col("budget"), eac=F.col("eac"), paid=F.col("paid"))
+    return r.totals(capex(spark, d), ["project_id"], **{m: F.col(m) for m in _MEASURES})
 
 
-@query(f"WITH {CAPEX}, t AS (SELECT project_id, category, {_SUMS} FROM capex GROUP BY ALL), v AS (SELECT *, round((eac - budget) / nullif(budget, 0), 6) AS variance_pct, round(paid / nullif(budget, 0), 6) AS paid_pct FROM t) "
+@query(f"WITH {CAPEX}, t AS (SELECT project_id, category, {_SUMS} FROM capex GROUP BY ALL), v AS (SELECT *, round((eac - budget) / nullif(budget, 0), 6) AS variance_pct, round(paid / nullif(budget, 0), 6) AS paid_pct, round(committed / nullif(budget, 0), 6) AS committed_pct, round(contingency - contingency_used, 2) AS contingency_left FROM t) "
        "SELECT *, CASE WHEN variance_pct > 0.05 THEN 'Red' WHEN variance_pct > 0.02 THEN 'Amber' ELSE 'Green' END AS colour FROM v")
 def capex_variance(spark, d):
     return r.variance(capex(spark, d), ["project_id", "category"])
@@ -194,3 +198,41 @@ def event_props_extract(spark, d):
 @query(f"WITH {SNAP} SELECT project_id, workstream, status, count(*) AS n FROM snap GROUP BY ROLLUP (project_id, workstream, status)")
 def status_rollup(spark, d):
     return snapshots(spark, d).rollup("project_id", "workstream", "status").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {CAPEX}, w AS (SELECT project_id, sum(budget) FILTER (as_of >= timestamp '1998-01-01') AS approved, sum(budget) AS baseline FROM capex GROUP BY project_id) SELECT project_id, cast(coalesce(approved, baseline) as double) AS budget FROM w")
+def project_budget(spark, d):
+    """The approved budget where there is one, else the baseline."""
+    t = capex(spark, d).groupBy("project_id").agg(F.sum(F.when(F.col("as_of") >= "1998-01-01", F.col("budget"))).alias("approved"), F.sum("budget").alias("baseline"))
+    return t.select("project_id", F.coalesce("approved", "baseline").cast("double").alias("budget"))
+
+
+@query("WITH w AS (SELECT event_type AS channel, cast(date_trunc('week', ts) as date) AS week, count(*) AS leads, count(*) FILTER (user_id % 3 = 0) AS qualified, cast(sum(cast(value as decimal(18,2))) as double) AS revenue FROM events GROUP BY 1, 2) SELECT sum(leads)::bigint AS leads, sum(qualified)::bigint AS qualified, round(sum(revenue), 2) AS revenue, week FROM w WHERE week = (SELECT max(week) FROM w) GROUP BY week")
+def latest_week_kpis(spark, d):
+    """One row: the last week's leads, qualified leads and revenue over all channels."""
+    weekly = table(spark, d, "events").groupBy(F.to_date(F.date_trunc("week", "ts")).alias("week")).agg(F.count("*").alias("leads"), F.count_if(F.col("user_id") % 3 == 0).alias("qualified"), F.round(F.sum(money("value")).cast("double"), 2).alias("revenue"))
+    return weekly.orderBy(F.desc("week")).limit(1)
+
+
+@query("SELECT l_linenumber AS daypart, l_returnflag = 'R' AS peak, arg_min(l_extendedprice, struct_pack(a := l_orderkey, b := l_extendedprice)) AS price, cast(sum(l_quantity) as bigint) AS sold FROM lineitem GROUP BY 1, 2")
+def pricing_peak(spark, d):
+    """First price and units by daypart and peak."""
+    return table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("daypart"), (F.col("l_returnflag") == "R").alias("peak")).agg(F.min_by("l_extendedprice", F.struct("l_orderkey", "l_extendedprice")).alias("price"), F.sum("l_quantity").cast("long").alias("sold"))
+
+
+_SLIP = "date_diff('day', cast(o_orderdate as date), date '1998-06-01')"
+
+
+@query(f"SELECT o_orderkey, {_SLIP} AS days_left, {_SLIP} < 0 AND o_orderstatus <> 'F' AS future_open, cast(o_orderdate as date) BETWEEN date '1998-06-01' - 55 AND date '1998-06-01' AS recent FROM orders")
+def due_dates(spark, d):
+    """Days to a given day, what is open past it, and a look-back of 55 days."""
+    day, due = F.lit("1998-06-01").cast("date"), F.to_date("o_orderdate")
+    left = F.datediff(day, due).cast("long")
+    return table(spark, d, "orders").select("o_orderkey", left.alias("days_left"), ((left < 0) & (F.col("o_orderstatus") != "F")).alias("future_open"), due.between(F.date_sub(day, 55), day).alias("recent"))
+
+
+@query("SELECT event_id, json_exists(props, '$.k') AS has_key, json_extract_string(props, '$.k') IS NULL AS is_null, cast(json_array_length('[' || event_id % 4 || ',2,3]') as integer) AS n, cast(json_extract_string('[' || event_id % 4 || ',2,3]', '$[0]') as integer) AS first FROM events")
+def json_shapes(spark, d):
+    """A key that is there, a null value, an array's length and its first element."""
+    e = table(spark, d, "events").withColumn("a", F.from_json(F.concat(F.lit("["), F.col("event_id") % 4, F.lit(",2,3]")), "array<int>"))
+    return e.select("event_id", F.array_contains(F.json_object_keys("props"), "k").alias("has_key"), F.get_json_object("props", "$.k").isNull().alias("is_null"), F.size("a").alias("n"), F.element_at("a", 1).alias("first"))
