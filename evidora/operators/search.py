@@ -17,8 +17,15 @@ STOP_WORDS = ("the", "and", "that", "for", "was", "with", "les", "des", "que", "
 
 
 def vector_lane(vectors: DataFrame, docs: DataFrame, query: DataFrame, k: int = VECTOR_K, threshold: float = THRESHOLD) -> DataFrame:
-    """The k governed documents nearest to a one-row ``query`` (column ``q``), by cosine, then authority, date and id."""
-    near = (vectors.crossJoin(F.broadcast(query.limit(1))).select("vec_id", cosine(F.col("embedding"), F.col("q")).alias("similarity")).where(F.col("similarity") >= threshold))
+    """The k governed documents nearest to a one-row ``query`` (column ``q``), by cosine, then authority, date and id.
+
+    The query is one vector, which comes to the driver and stands in the plan as a literal, so that vectors are scanned and
+    scored where they lie and only those past the threshold are joined with their documents.
+    """
+    asked = query.select("q").first()
+    q = [] if asked is None or asked.q is None else [float(x) for x in asked.q]
+    literal = F.array(*map(F.lit, q)) if q else F.array().cast("array<double>")
+    near = vectors.select("vec_id", cosine(F.col("embedding"), literal).alias("similarity")).where(F.col("similarity") >= threshold)
     return (near.join(docs.where(retrievable()), near.vec_id == docs.document_id)
             .orderBy(F.desc("similarity"), F.desc_nulls_last("authority_score"), F.desc("created_at"), "document_id").limit(k)
             .select("document_id", "project_id", "similarity", "authority_score", "review_status", "classification_source"))
