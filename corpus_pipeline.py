@@ -4,6 +4,13 @@ Low-quality documents go, one of each group of near copies stays, repeated
 passages are cut out, documents that leak a benchmark item go, and what is left
 is mixed by source.  The first four stages return the columns of ``documents``;
 the last adds a document's weight, pass and place in the mixture.
+
+Cases: a null or empty text has the classifier's score of no bytes, is a near copy
+of every other empty text, loses and leaks nothing, and is in no mixture; rows
+without a doc_id are never near copies to be dropped and lose no passages; of rows
+that repeat one stays; texts of any length are worked on whole; extra columns are
+carried through, and ``mix_weight``, ``mix_epoch`` and ``mix_progress`` are
+replaced; an empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from evidora.llm import decontaminate, quality, registry, simhash, substring
@@ -38,6 +39,20 @@ def test_stages_take_effect(spark):
     assert sorted(map(tuple, whole.select("doc_id", "mix_epoch").collect())) == sorted(map(tuple, docs.select("doc_id", "mix_epoch").collect()))
 
 
+def test_stages_on_empty_and_awkward_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents").withColumn("extra", F.lit("x"))
+    passage = " ".join(f"shared{i}" for i in range(40))
+    odd = spark.createDataFrame([(9001, None, None, None, None, "a"), (9002, "", "en", "s", 0, "b"), (None, "some words " + passage, "en", "s", 1, "c"), (9003, passage * 4000, "en", "s", 2, None), (9003, passage * 4000, "en", "s", 2, None), (9004, passage, "en", None, 3, "d")],
+                                "doc_id long, text string, lang string, source string, n_chars long, extra string")
+    for rows, empty in ((docs.where("false"), True), (docs.unionByName(odd), False)):
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            rows = staged(stage(spark, rows, sf), "stage")
+            assert (rows.count() == 0) == empty and rows.columns[:6] == docs.columns
+            if i == 1:
+                assert rows.where("doc_id = 9003").count() <= 1 and rows.where("text is null or text = ''").count() <= 1
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql_gives_the_same_rows(spark, small, name):
     con = duckdb.connect()
