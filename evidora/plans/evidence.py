@@ -42,9 +42,11 @@ def candidate_status_pivot(spark, d):
     return candidates(spark, d).groupBy("metric_id").agg(*(F.count_if(F.col("status") == x).alias(x) for x in _STATES), F.count("*").alias("total"))
 
 
-@query(f"{CANDS} SELECT candidate_id, metric_id, confidence FROM metric_candidate WHERE (status = 'pending_review' AND is_latest) OR pack_id = 7")
+@query(f"{WITH_METRICS} SELECT candidate_id, metric_id, c.confidence, domain FROM metric_candidate c JOIN metric_definition USING (metric_id) WHERE ((status = 'pending_review' AND is_latest) OR pack_id = 7) AND domain IN ('BUILDING', 'MACHINERY') AND project_id <> 'P3'")
 def candidate_list(spark, d):
-    return candidates(spark, d).where("(status = 'pending_review' and is_latest) or pack_id = 7").select("candidate_id", "metric_id", "confidence")
+    """Candidates that wait, or all of one pack, of some domains and projects."""
+    dims = metrics(spark, d).where(F.col("domain").isin("BUILDING", "MACHINERY") & (F.col("project_id") != "P3")).select("metric_id", "domain")
+    return candidates(spark, d).where("(status = 'pending_review' and is_latest) or pack_id = 7").select("candidate_id", "metric_id", "confidence").join(dims, "metric_id")
 
 
 @query(f"{CANDS} SELECT metric_id, count(DISTINCT document_id) AS documents, count(*) AS links, count(*) FILTER (status = 'accepted') AS accepted, round(cast(sum(cast(confidence as decimal(9,4))) as double) / count(*), 4) AS avg_confidence, round(cast(sum(authority_score) as double) / count(authority_score), 4) AS avg_authority FROM metric_candidate GROUP BY metric_id")
@@ -61,11 +63,14 @@ def fact_evidence(spark, d):
             .join(documents(spark, d).select("document_id", "title", "authority_score"), "document_id").select("candidate_id", "document_id", "chunk_id", "title", F.coalesce("authority_score", "own").alias("authority_score"), "digest"))
 
 
-@query(f"{WITH_DOCS} SELECT metric_id, candidate_id, title, coalesce(d.authority_score, c.authority_score) AS authority_score, c.confidence FROM metric_candidate c JOIN rag_documents d USING (document_id) WHERE c.metric_id = 'M7' ORDER BY 4 DESC NULLS LAST, c.confidence DESC, candidate_id")
+@query(f"{WITH_DOCS}, o AS (SELECT document_id, 99 AS named FROM rag_documents WHERE document_id % 3 = 0) SELECT metric_id, candidate_id, title, coalesce(named, d.authority_score, c.authority_score) AS authority_score, c.confidence FROM metric_candidate c JOIN rag_documents d USING (document_id) LEFT JOIN o USING (document_id) WHERE c.metric_id = 'M7' ORDER BY 4 DESC NULLS LAST, c.confidence DESC, candidate_id")
 def metric_candidates(spark, d):
+    """One metric's candidates with their document and the authority that a list names for it, the document's own, or the candidate's."""
     c = candidates(spark, d).where("metric_id = 'M7'").withColumnRenamed("authority_score", "own")
-    return (c.join(documents(spark, d).select("document_id", "title", "authority_score"), "document_id").select("metric_id", "candidate_id", "title", F.coalesce("authority_score", "own").alias("authority_score"), "confidence")
-            .orderBy(F.desc_nulls_last("authority_score"), F.desc("confidence"), "candidate_id"))
+    docs = documents(spark, d)
+    named = docs.where("document_id % 3 = 0").select("document_id", F.lit(99).alias("named"))
+    return (c.join(docs.select("document_id", "title", "authority_score"), "document_id").join(named, "document_id", "left")
+            .select("metric_id", "candidate_id", "title", F.coalesce("named", "authority_score", "own").alias("authority_score"), "confidence").orderBy(F.desc_nulls_last("authority_score"), F.desc("confidence"), "candidate_id"))
 
 
 @query(f"{WITH_METRICS} SELECT metric_id, domain FROM metric_definition WHERE metric_id NOT IN (SELECT metric_id FROM metric_candidate WHERE status = 'accepted')")
@@ -107,12 +112,16 @@ def review_queue(spark, d):
 _NEW = "n AS (SELECT * FROM metric_candidate WHERE status = 'accepted' AND is_latest AND candidate_id % 10 <> 3)"
 
 
-@query(f"{CANDS}, {_NEW}, r AS (SELECT *, row_number() OVER (PARTITION BY metric_id, period_label ORDER BY authority_score DESC, confidence DESC, candidate_id) AS r, count(*) OVER (PARTITION BY metric_id, period_label) AS offered FROM n) "
-       "SELECT metric_id, period_label, candidate_id, round(value, 2) AS published_value, offered FROM r WHERE r = 1")
+_OVERRIDE = "case when candidate_id % 7 = 0 then round(value * 1.1, 2) end"
+
+
+@query(f"{CANDS}, {_NEW}, r AS (SELECT *, row_number() OVER (PARTITION BY metric_id, period_label ORDER BY authority_score DESC, confidence DESC, candidate_id) AS r, count(*) OVER (PARTITION BY metric_id, period_label) AS offered FROM n), "
+       "p AS (SELECT metric_id, period_label, arg_max(value, candidate_id) AS previous FROM metric_candidate WHERE candidate_id % 10 = 3 GROUP BY ALL) "
+       f"SELECT r.metric_id, r.period_label, candidate_id, round(coalesce({_OVERRIDE}, value), 2) AS published_value, round(previous, 2) AS previous_value, offered, {_OVERRIDE} IS NOT NULL AS overridden FROM r LEFT JOIN p ON r.metric_id = p.metric_id AND r.period_label IS NOT DISTINCT FROM p.period_label WHERE r = 1")
 def publish_facts(spark, d):
-    """Candidates whose id ends in 3 are the ones already published."""
+    """Candidates whose id ends in 3 are the ones already published; a reviewer overrides some values."""
     c = candidates(spark, d)
-    return e.publish(c, c.where("candidate_id % 10 = 3").select("candidate_id"))
+    return e.publish(c, c.where("candidate_id % 10 = 3").select("candidate_id", "metric_id", "period_label", "value"), c.select("candidate_id", F.expr(_OVERRIDE).alias("override")).where("override is not null"))
 
 
 @query(f"{CANDS}, {_NEW} SELECT candidate_id, metric_id FROM n")
@@ -142,3 +151,16 @@ def prefilter_relax(spark, d):
     hits = documents(spark, d).select((F.col("document_id") % 20).alias("query_id"), "document_id", F.round((F.col("document_id") * 53) % 97 / 97.0, 6).alias("similarity"),
                                       (F.coalesce(F.col("doc_type").isin("board", "funding"), F.lit(False)) & (F.col("document_id") % 4 == 0)).alias("priority"))
     return e.prefilter(hits)
+
+
+@query(f"{WITH_METRICS}, {PAIRS}, k AS (SELECT pack_id, count(*) AS contradictions FROM x JOIN metric_candidate c ON c.candidate_id = a_id GROUP BY pack_id), u AS (SELECT pack_id, count(*) FILTER (status = 'accepted' AND candidate_id % 10 = 3) AS publications, count(DISTINCT metric_id) FILTER (status = 'accepted') AS metrics FROM metric_candidate GROUP BY pack_id) "
+       "SELECT pack_id, coalesce(contradictions, 0) AS contradictions, publications, (SELECT count(*) FROM metric_definition) - metrics AS missing FROM u LEFT JOIN k USING (pack_id)")
+def pack_open_items(spark, d):
+    """What a pack still has open: contradictions of its candidates, what is published, and metrics without an accepted value."""
+    c = candidates(spark, d)
+    pack = c.select(F.col("candidate_id").alias("a_id"), "pack_id")
+    found = e.contradictions(c).select("a_id").join(pack, "a_id").groupBy("pack_id").agg(F.count("*").alias("contradictions"))
+    done = F.col("status") == "accepted"
+    known = c.groupBy("pack_id").agg(F.count_if(done & (F.col("candidate_id") % 10 == 3)).alias("publications"), F.countDistinct(F.when(done, F.col("metric_id"))).alias("metrics"))
+    total = metrics(spark, d).agg(F.count("*").alias("all"))
+    return known.join(found, "pack_id", "left").join(F.broadcast(total)).select("pack_id", F.coalesce("contradictions", F.lit(0)).alias("contradictions"), "publications", (F.col("all") - F.col("metrics")).alias("missing"))
