@@ -354,6 +354,6 @@ def keep_one(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame
     root = components(links(of_fp.select("fp"), bits)).withColumnRenamed("node", "fp")
     first = of_fp.join(root, "fp", "left").groupBy(F.coalesce("root", "fp").alias("group")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__doc"), F.col("first.mark").alias("__mark"))
     same = (F.col("doc_id") == F.col("__doc")) & (mark == F.col("__mark"))
-    kept = named.join(first.distinct(), same).select(*docs.columns, "__mark")
-    one = kept.dropDuplicates(["doc_id", "__mark"]).select(docs.columns)  # rows that are alike in all columns
+    # Rows that are alike in all columns: by the join's own keys, so that they are not shuffled again.
+    one = named.join(first, same).select(*docs.columns, "__doc", "__mark").dropDuplicates(["__doc", "__mark"]).select(docs.columns)
     return one.unionByName(docs.where("doc_id is null"))
