@@ -101,12 +101,12 @@ _HASHED = "case when document_id % 4 = 2 then null else text end"  # documents o
 _JOB = "case event_type when 'view' then 'queued' when 'click' then 'processing' when 'signup' then 'canceled' else 'done' end"
 
 
-@query(f"""{DOCS}, f AS (SELECT {', '.join(f"{e} AS {n}" for n, e in _FILE.items()).replace('as string)', 'as varchar)')} FROM rag_documents), g AS (SELECT *, coalesce(project_id, '') AS p, sha256(hashed) AS source_hash, lower(trim(regexp_replace(name, '\.[A-Za-z0-9]{{1,5}}$', ''))) AS key, lower(regexp_extract(name, '\.([A-Za-z0-9]{{1,5}})$', 1)) AS ext FROM f),
+@query(f"""{DOCS}, f AS (SELECT {', '.join(f"{e} AS {n}" for n, e in _FILE.items()).replace('as string)', 'as varchar)')} FROM rag_documents), g AS (SELECT *, coalesce(project_id, '') AS p, sha256(hashed) AS source_hash, lower(trim(regexp_replace(name, '\\.[A-Za-z0-9]{{1,5}}$', ''))) AS key, lower(regexp_extract(name, '\\.([A-Za-z0-9]{{1,5}})$', 1)) AS ext FROM f),
 k AS (SELECT *, coalesce(project_id, '') AS p, CASE WHEN {_HASHED} IS NOT NULL THEN sha256(text) END AS source_hash_of FROM rag_documents),
 bh AS (SELECT p, source_hash_of AS source_hash, count(*) FILTER (status = 'indexed' AND lifecycle IS DISTINCT FROM 'superseded' AND chunk_count > 0) AS usable, count(*) FILTER (status = 'indexed' AND lifecycle = 'superseded' AND chunk_count > 0) AS replaced, count(*) FILTER (status = 'error') AS failed FROM k WHERE source_hash_of IS NOT NULL GROUP BY ALL),
-bt AS (SELECT p, lower(trim(regexp_replace(title, '\.[A-Za-z0-9]{{1,5}}$', ''))) AS key, count(source_hash_of) AS hashed_docs FROM k WHERE lifecycle IS DISTINCT FROM 'superseded' GROUP BY ALL),
+bt AS (SELECT p, lower(trim(regexp_replace(title, '\\.[A-Za-z0-9]{{1,5}}$', ''))) AS key, count(source_hash_of) AS hashed_docs FROM k WHERE lifecycle IS DISTINCT FROM 'superseded' GROUP BY ALL),
 j AS (SELECT 'uploads/' || event_id AS storage_path, {_JOB} AS job_status FROM events),
-a AS (SELECT file_id, g.project_id, g.source_hash, CASE WHEN regexp_matches(name, '(?i)_error\.txt$') OR ext NOT IN ('pdf','docx','xlsx','pptx','txt','md','csv') THEN 'unsupported' WHEN unavailable THEN 'unavailable' WHEN g.project_id IS NULL THEN 'unmapped' WHEN usable > 0 THEN 'already_indexed_hash'
+a AS (SELECT file_id, g.project_id, g.source_hash, CASE WHEN regexp_matches(name, '(?i)_error\\.txt$') OR ext NOT IN ('pdf','docx','xlsx','pptx','txt','md','csv') THEN 'unsupported' WHEN unavailable THEN 'unavailable' WHEN g.project_id IS NULL THEN 'unmapped' WHEN usable > 0 THEN 'already_indexed_hash'
  WHEN replaced > 0 THEN 'duplicate_content_superseded' WHEN failed > 0 THEN 'failed_unextractable' WHEN usable IS NOT NULL THEN 'reingest_same_hash' WHEN size > 20000000 THEN 'too_large' WHEN job_status IN ('queued','processing','done') THEN 'job_exists' WHEN hashed_docs > 0 THEN 'changed' WHEN hashed_docs = 0 THEN 'legacy_title_match' ELSE 'missing' END AS action
  FROM g LEFT JOIN bh USING (p, source_hash) LEFT JOIN bt USING (p, key) LEFT JOIN j USING (storage_path)),
 m AS (SELECT project_id, source_hash, min(file_id) AS first FROM a WHERE project_id IS NOT NULL AND action NOT IN {u.KEPT_ACTIONS} GROUP BY ALL)

@@ -267,7 +267,7 @@ def retrieve_diagnostics(spark, d):
 
 
 @query(f"""{_retrieve_sql('standard', False)}, hh AS (SELECT document_id, chunk_id, content, round((chunk_id * 31) % 89 / 89.0::double, 6) AS score FROM rag_chunks), hr AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, chunk_id) AS r FROM hh),
-sn AS (SELECT document_id, string_agg(substr(trim(regexp_replace(content, '\s+', ' ', 'g')), 1, 420), chr(10) ORDER BY r) FILTER (r <= 5) AS snippets FROM hr GROUP BY document_id)
+sn AS (SELECT document_id, string_agg(substr(trim(regexp_replace(content, '\\s+', ' ', 'g')), 1, 420), chr(10) ORDER BY r) FILTER (r <= 5) AS snippets FROM hr GROUP BY document_id)
 SELECT document_id, title, round(least(greatest(relevance + coalesce(authority_score, 0) / 100 * 0.12::double + CASE WHEN review_status = 'approved' THEN 0.08::double WHEN review_status = 'needs_review' THEN -0.04::double ELSE 0 END, 0), 1.5), 6) AS smart_score, snippets FROM rk LEFT JOIN sn USING (document_id) WHERE place <= 10""")
 def smart_document_search(spark, d):
     """Found documents with scores and snippets; the chunks' scores are made up."""
