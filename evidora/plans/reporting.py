@@ -173,8 +173,8 @@ def weekly_trend(spark, d):
 def star_join_tasks(spark, d):
     """Facts are summed by key before the dimensions are joined."""
     facts = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "O").alias("open"))
-    dims = (table(spark, d, "customer").select("c_custkey", "c_nationkey").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-            .join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"), "left"))
+    dims = (table(spark, d, "customer").select("c_custkey", "c_nationkey").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+            .join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left"))
     return facts.join(dims, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("n_name").alias("owner"), F.col("r_name").alias("region")).agg(F.sum("n").alias("tasks"), F.sum("open").alias("open_tasks"))
 
 
