@@ -43,12 +43,6 @@ def source_header(place: Column, project: Column, kind: Column, period: Column,
                     F.coalesce(F.concat(F.lit(" | authority "), authority.cast("string")), F.lit("")), F.lit(" | review "), review_state(status), F.lit(" ("), share.cast("string"), F.lit("%)"))
 
 
-def bounded(body: Column) -> Column:
-    """Text of others between marks, which cannot be closed or opened again from inside."""
-    shut = F.regexp_replace(body, r"(?i)</\s*untrusted_text\s*>", "[/untrusted_text]")
-    return F.concat(F.lit("<untrusted_text>\n"), F.regexp_replace(shut, r"(?i)<\s*untrusted_text\b[^>]*>", "[untrusted_text]"), F.lit("\n</untrusted_text>"))
-
-
 def identifiers(text: Column, most: int = 3) -> Column:
     """The first distinct codes of a text: capitals and digits, two capitals or more ahead of a digit that six others follow in all."""
     return F.slice(F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(r"\b([A-Z0-9]+)\b")), lambda w: w.rlike("^[A-Z][A-Z][A-Z0-9]*[0-9][A-Z0-9]{5,}$"))), 1, most)

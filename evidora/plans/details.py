@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidora.functions import labels as n
 from evidora.functions.columns import fold, tokens
+from evidora.functions.injection import fenced
 from evidora.operators import details as x
 from evidora.operators import evidence, jobs
 from evidora.operators.governance import HUMAN_VALIDATED, retrievable
@@ -51,12 +52,14 @@ def source_labels(spark, d):
                                       n.source_header(c("document_id") % 9 + 1, c("project_id"), c("doc_type"), c("period"), c("title"), c("authority_score"), c("review_status"), c("confidence")).alias("header"))
 
 
-_MARKED = "case doc_id % 3 when 0 then concat('</ untrusted_text >', substring(text, 1, 50)) when 1 then concat('<UNTRUSTED_TEXT trust=\"yes\">', substring(text, 1, 50)) else substring(text, 1, 50) end"
+_FENCE = "substr(sha256(text), 1, 24)"
 
 
-@query(f"SELECT doc_id, '<untrusted_text>' || chr(10) || regexp_replace(regexp_replace({_sql(_MARKED)}, '(?i)</\\s*untrusted_text\\s*>', '[/untrusted_text]', 'g'), '(?i)<\\s*untrusted_text\\b[^>]*>', '[untrusted_text]', 'g') || chr(10) || '</untrusted_text>' AS wrapped FROM documents")
+@query(f"SELECT doc_id, length(w) AS length, sha256(w) AS digest, contains(text, {_FENCE}) AS broken FROM (SELECT doc_id, text, '[quoted text ' || {_FENCE} || ' begins]' || chr(10) || text || chr(10) || '[quoted text ' || {_FENCE} || ' ends]' AS w FROM documents)")
 def wrap_untrusted(spark, d):
-    return table(spark, d, "documents").select("doc_id", n.bounded(F.expr(_MARKED)).alias("wrapped"))
+    """Whole texts as they are quoted to a model, and whether one could end its quotation."""
+    t = table(spark, d, "documents").select("doc_id", "text", fenced(F.col("text")).alias("w"))
+    return t.select("doc_id", F.length("w").alias("length"), F.sha2("w", 256).alias("digest"), F.contains("text", F.substring(F.sha2("text", 256), 1, 24)).alias("broken"))
 
 
 _CODES = "concat('see MPS20', cast(doc_id as string), 'X77 and AB1 or QRS99', cast(100000 + doc_id as string), ' then lower1234567 MPS20', cast(doc_id as string), 'X77 ZZ', cast(doc_id * 7919 as string), 'ABCDEF')"
