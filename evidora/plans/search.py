@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidora.operators import search as s
+from evidora.operators import vector_index as vi
 from evidora.operators.governance import retrievable, trust, verification_tier
 from evidora.plans.governance import BOTH, DOCS, RETRIEVABLE, TIER
 from evidora.plans.registry import query
+from evidora.sources.versions import kept_folder
 from evidora.sources.views import CHUNKS_SQL, as_sql, chunks, documents, table
 
 COS = "round(list_dot_product(a::double[], b::double[]) / nullif(sqrt(list_dot_product(a::double[], a::double[])) * sqrt(list_dot_product(b::double[], b::double[])), 0), 6)"
@@ -26,6 +28,34 @@ def vector_topk(spark, d):
     return _vector(spark, d)
 
 
+def vector_index(spark, d):
+    """The index of all embeddings, built once for the files it comes from."""
+    return vi.load(spark, kept_folder(spark, "vectors", d, ("embeddings",), lambda path: vi.build(table(spark, d, "embeddings"), path)))
+
+
+_MANY = f"""{DOCS}, q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0), c AS (SELECT vec_id, embedding, project_id, doc_type, authority_score, created_at FROM embeddings JOIN rag_documents ON vec_id = document_id WHERE {RETRIEVABLE}),
+s AS (SELECT query_id, vec_id, {COS.replace('a::', 'q::').replace('b::', 'embedding::')} AS similarity, authority_score, created_at FROM q, c WHERE {{0}})
+SELECT query_id, vec_id AS document_id, similarity, cast(place AS integer) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, authority_score DESC NULLS LAST, created_at DESC, vec_id) AS place FROM s WHERE similarity >= 0.18) WHERE place <= 10"""
+
+
+def _many(spark, d, **filters):
+    asked = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).withColumns({k: F.expr(v) for k, v in filters.items()})
+    found = vi.search(vector_index(spark, d), asked, vi.allowed(documents(spark, d)), 10, s.THRESHOLD, exact=True)
+    return found.withColumnRenamed("vec_id", "document_id")
+
+
+@query(_MANY.format("true"))
+def vector_topk_many(spark, d):
+    """The governed nearest neighbours of every twentieth vector, through the index, to the last cell that could matter."""
+    return _many(spark, d)
+
+
+@query(_MANY.format("project_id = 'P' || cast(query_id // 20 % 6 AS varchar) AND (query_id % 40 = 0 OR doc_type = 'board')"))
+def vector_topk_filtered(spark, d):
+    """The same, each question within a project of its own and every other one within a type."""
+    return _many(spark, d, project="concat('P', cast(query_id div 20 % 6 as string))", doc_type="case when query_id % 40 <> 0 then 'board' end")
+
+
 FOLD = "lower(strip_accents({}))"
 _TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower(translate({}, '" + "áàâäãåāéèêëēíìîïīóòôöõōúùûüūñçýÿÁÀÂÄÃÅĀÉÈÊËĒÍÌÎÏĪÓÒÔÖÕŌÚÙÛÜŪÑÇÝ', 'aaaaaaaeeeeeiiiiioooooouuuuuncyyAAAAAAAEEEEEIIIIIOOOOOOUUUUUNCY" + "')), '[^a-z0-9]+'), lambda t: length(t) >= 3))"
 _CHUNKS = as_sql(CHUNKS_SQL)
