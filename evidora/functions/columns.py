@@ -25,8 +25,8 @@ def ratio(top: Column, bottom: Column, digits: int = 4) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without marks."""
-    return F.lower(F.translate(text, MARKED, PLAIN))
+    """Lower case without marks; a text that is plain ASCII, which its length in bytes tells, is not searched for them."""
+    return F.lower(F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(text, MARKED, PLAIN)))
 
 
 def tokens(text: Column, least: int = 3) -> Column:

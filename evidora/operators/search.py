@@ -1,19 +1,16 @@
-"""Retrieval: vector and keyword lanes, fusion, graph expansion, boosts, floors and trust ordering."""
+"""Retrieval: the vector lane, fusion, graph expansion, boosts, floors and trust ordering."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidora.functions.columns import MARKED, PLAIN, cosine, fold, tokens
+from evidora.functions.columns import MARKED, PLAIN, cosine, fold
 from evidora.operators.governance import retrievable, trust, verification_tier
 
-THRESHOLD, VECTOR_K, KEYWORD_K, FINAL_K = 0.18, 25, 15, 10
+THRESHOLD, VECTOR_K, FINAL_K = 0.18, 25, 10
 RRF_K = 60
 HIGH_RELEVANCE = 0.5
-STOP_WORDS = ("the", "and", "that", "for", "was", "with", "les", "des", "que", "der", "die", "und", "los", "las")
 
 
 def vector_lane(vectors: DataFrame, docs: DataFrame, query: DataFrame, k: int = VECTOR_K, threshold: float = THRESHOLD) -> DataFrame:
@@ -31,55 +28,6 @@ def vector_lane(vectors: DataFrame, docs: DataFrame, query: DataFrame, k: int =
             .select("document_id", "project_id", "similarity", "authority_score", "review_status", "classification_source"))
 
 
-def document_frequency(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """lexeme and the number of chunks of governed documents that hold it: a table to keep, from which the keyword lane reads."""
-    live = chunks.join(docs.where(retrievable()).select("document_id"), "document_id", "left_semi")
-    return live.select(F.explode(tokens(F.col("content"))).alias("lexeme")).groupBy("lexeme").agg(F.count("*").alias("df"))
-
-
-def query_terms(query: str) -> list[str]:
-    """Distinct words of a query, folded as texts are, without stop words."""
-    folded = query.translate(str.maketrans(MARKED, PLAIN)).lower()
-    return sorted({t for t in re.split(r"[^a-z0-9]+", folded) if len(t) >= 3} - set(STOP_WORDS))
-
-
-def governed_chunks(chunks: DataFrame, docs: DataFrame, project: str | None = None, doc_type: str | None = None) -> DataFrame:
-    """Chunks of documents that may be retrieved; a filter holds for the document's own value, or the chunk's where it has none."""
-    live = chunks.join(docs.where(retrievable()).select("document_id", "project_id", "doc_type"), "document_id")
-    for value, own, chunk in ((project, "project_id", "chunk_project"), (doc_type, "doc_type", "chunk_doc_type")):
-        if value is not None:
-            live = live.where(F.coalesce(own, chunk, F.lit("")) == value)
-    return live
-
-
-def keyword_lane(chunks: DataFrame, docs: DataFrame, query: str, k: int = KEYWORD_K, ceiling: int = 1500, any_of: int = 6, all_of: int = 3, term_df: DataFrame | None = None,
-                 project: str | None = None, doc_type: str | None = None) -> DataFrame:
-    """Governed chunks that hold any of the query's rarest selective words (or, if none is selective, all of its rarest), ranked by occurrences.
-
-    How often a word occurs is read from ``term_df`` where that table is given, else counted in one pass without a shuffle of
-    words; either way one number for each of the query's words comes to the driver, and chunks are searched for these words only.
-    """
-    asked = query_terms(query)
-    live = governed_chunks(chunks, docs, project, doc_type)
-    empty = live.where("false").select("chunk_id", "document_id", F.lit(0.0).alias("rank"))
-    if not asked:
-        return empty
-    words = F.filter(F.split(fold(F.col("content")), "[^a-z0-9]+"), lambda t: t.isin(*asked))
-    if term_df is None:
-        held = governed_chunks(chunks, docs).select(words.alias("words"))
-        found = held.agg(*(F.count_if(F.array_contains("words", w)).alias(w) for w in asked)).first()
-        df = {w: found[w] for w in asked}
-    else:
-        df = dict.fromkeys(asked, 0) | {r.lexeme: r.df for r in term_df.where(F.col("lexeme").isin(*asked)).collect()}
-    rarest = sorted(asked, key=lambda w: (df[w], w))
-    selective = [w for w in rarest if df[w] <= ceiling]
-    chosen = selective[:any_of] or rarest[:all_of]
-    hits = live.select("chunk_id", "document_id", F.filter(words, lambda t: t.isin(*chosen)).alias("words")).where(F.size("words") > 0)
-    if not selective:
-        hits = hits.where(F.size(F.array_distinct("words")) == len(chosen))
-    return hits.select("chunk_id", "document_id", F.round(F.size("words") * 0.1, 4).alias("rank")).orderBy(F.desc("rank"), "chunk_id").limit(k)
-
-
 def over_fetched(k: int, strict: bool = True) -> tuple[int, int]:
     """Rows that the vector and the keyword lane are asked for; strict grounding drops many, so it asks for more."""
     return (min(4 * k, 100), min(4 * k, 80)) if strict else (k, k)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evidora.functions import stemming
 from evidora.operators import search as s
+from evidora.operators import text_index as ti
 from evidora.operators import vector_index as vi
 from evidora.operators.governance import retrievable, trust, verification_tier
 from evidora.plans.governance import BOTH, DOCS, RETRIEVABLE, TIER
 from evidora.plans.registry import query
-from evidora.sources.versions import kept_folder
+from evidora.sources.versions import kept, kept_folder
 from evidora.sources.views import CHUNKS_SQL, as_sql, chunks, documents, table
 
 COS = "round(list_dot_product(a::double[], b::double[]) / nullif(sqrt(list_dot_product(a::double[], a::double[])) * sqrt(list_dot_product(b::double[], b::double[])), 0), 6)"
@@ -61,51 +63,106 @@ _TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower(translate({}, '
 _CHUNKS = as_sql(CHUNKS_SQL)
 
 
-@query(f"{BOTH} SELECT lexeme, count(*) AS df FROM (SELECT unnest({_TOKENS.format('content')}) AS lexeme FROM rag_chunks JOIN rag_documents USING (document_id) WHERE {RETRIEVABLE}) GROUP BY lexeme")
+def postings(spark, d):
+    """The inverted index of all chunks, built once for the files it comes from."""
+    return kept(spark, "postings", d, ("documents",), lambda: ti.postings(chunks(spark, d)), ti.by_lexeme)
+
+
+_LEX = f"""lex AS (SELECT chunk_id, document_id, p, pos, unnest({stemming.LEXEMES_SQL}) AS lexeme FROM (SELECT chunk_id, document_id, p, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM
+ (SELECT chunk_id, document_id, coalesce(project_id, chunk_project, '') AS p, {stemming.FOLDED_SQL.format('content')} AS ws FROM rag_chunks JOIN rag_documents USING (document_id) WHERE {RETRIEVABLE})) WHERE {stemming.COUNTS_SQL})"""
+
+
+@query(f"{BOTH}, {_LEX} SELECT lexeme, count(DISTINCT chunk_id) AS df FROM lex GROUP BY lexeme")
 def term_df(spark, d):
-    return s.document_frequency(chunks(spark, d), documents(spark, d))
+    return ti.document_frequency(postings(spark, d), documents(spark, d))
 
 
+ONE_PROJECT = "WHERE p = 'P1'"
 QUERY = "the thereal nation heation stan of ertion"
-_ALL = _TOKENS.replace("list_distinct(", "(", 1)
-KEYWORD_SQL = f"""asked AS (SELECT lexeme FROM (SELECT unnest({_TOKENS.format("'" + QUERY + "'")}) AS lexeme) WHERE lexeme NOT IN {s.STOP_WORDS}),
-hits AS (SELECT chunk_id, document_id, lexeme, count(*) AS tf FROM (SELECT chunk_id, document_id, unnest({_ALL.format('content')}) AS lexeme FROM rag_chunks JOIN rag_documents USING (document_id) WHERE {RETRIEVABLE}) JOIN asked USING (lexeme) GROUP BY ALL),
+_ASKED = f"SELECT DISTINCT query_id, unnest({stemming.LEXEMES_SQL}) AS lexeme FROM (SELECT query_id, unnest({stemming.FOLDED_SQL.format('text')}) AS w FROM @TEXTS) WHERE {stemming.COUNTS_SQL}"
+# Any of the selective lexemes, or all of the rarest: one question, named by its text.
+KEYWORD_SQL = f"""{_LEX}, asked AS ({_ASKED.replace("@TEXTS", "(SELECT 0 AS query_id, '" + QUERY + "' AS text)")}),
+occ AS (SELECT * FROM lex JOIN asked USING (lexeme)), hits AS (SELECT chunk_id, document_id, p, lexeme, count(*) AS tf FROM occ GROUP BY ALL),
 dfs AS (SELECT lexeme, count(chunk_id) AS df FROM asked LEFT JOIN hits USING (lexeme) GROUP BY lexeme),
-sel AS (SELECT *, (SELECT bool_or(df <= {{0}}) FROM dfs) AS has_selective FROM dfs),
-chosen AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY df, lexeme) AS r FROM sel WHERE df <= {{0}} OR NOT has_selective) WHERE r <= CASE WHEN has_selective THEN 6 ELSE 3 END),
-k AS (SELECT chunk_id, document_id, round(sum(tf) * 0.1, 4) AS rank FROM hits JOIN chosen USING (lexeme) GROUP BY ALL HAVING bool_or(has_selective) OR count(*) = (SELECT count(*) FROM chosen) ORDER BY rank DESC, chunk_id LIMIT 15)"""
+sel AS (SELECT *, (SELECT bool_or(df <= @MOST) FROM dfs) AS has_selective FROM dfs),
+chosen AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY df, lexeme) AS r FROM sel WHERE df <= @MOST OR NOT has_selective) WHERE r <= CASE WHEN has_selective THEN 6 ELSE 3 END),
+k AS (SELECT chunk_id, document_id, round(sum(tf) * 0.1, 6) AS rank FROM hits JOIN chosen USING (lexeme) WHERE true GROUP BY ALL ORDER BY rank DESC, chunk_id LIMIT 15)"""
 
 
-@query(f"{BOTH}, {KEYWORD_SQL.format(1500)} SELECT * FROM k")
+@query(f"{BOTH}, {KEYWORD_SQL.replace('@MOST', '1500')} SELECT * FROM k")
 def keyword_search(spark, d):
-    return s.keyword_lane(chunks(spark, d), documents(spark, d), QUERY)
-
+    return ti.search_one(postings(spark, d), documents(spark, d), QUERY)
 
-_ONE_PROJECT = KEYWORD_SQL.replace("chunk_id, document_id, lexeme, count(*) AS tf FROM (SELECT chunk_id, document_id,", "chunk_id, document_id, lexeme, p, count(*) AS tf FROM (SELECT chunk_id, document_id, coalesce(project_id, chunk_project, '') AS p,").replace("FROM hits JOIN chosen USING (lexeme) GROUP BY ALL", "FROM hits JOIN chosen USING (lexeme) WHERE p = 'P1' GROUP BY ALL")
 
-
-@query(f"{BOTH}, {_ONE_PROJECT.format(1500)} SELECT * FROM k")
+@query(f"{BOTH}, {KEYWORD_SQL.replace('@MOST', '1500').replace('WHERE true', ONE_PROJECT)} SELECT * FROM k")
 def keyword_search_filtered(spark, d):
     """Within one project, which a chunk has from its document first; word counts are the whole corpus's, from the kept table."""
-    return s.keyword_lane(chunks(spark, d), documents(spark, d), QUERY, term_df=term_df(spark, d), project="P1")
+    return ti.search_one(postings(spark, d), documents(spark, d), QUERY, "P1", term_df=term_df(spark, d))
 
 
-COMMON = "this from are"
+COMMON = "erin thon ther"
+_COVERS = f"""{KEYWORD_SQL.replace('@MOST', '0').replace(QUERY, COMMON)}, spot AS (SELECT chunk_id, document_id, pos, r FROM occ JOIN chosen USING (lexeme) WHERE NOT has_selective),
+la AS (SELECT *, {', '.join(f"max(CASE WHEN r = {i} OR {i} > (SELECT count(*) FROM chosen) THEN pos END) OVER w AS a{i}" for i in (1, 2, 3))}, {', '.join(f"(SELECT count(*) FROM chosen) < {i} AS free{i}" for i in (1, 2, 3))} FROM spot WINDOW w AS (PARTITION BY chunk_id ORDER BY pos)),
+be AS (SELECT *, CASE WHEN a1 IS NOT NULL AND a2 IS NOT NULL AND a3 IS NOT NULL THEN least(a1, CASE WHEN free2 THEN a1 ELSE a2 END, CASE WHEN free3 THEN a1 ELSE a3 END) ELSE -1 END AS b FROM la),
+co AS (SELECT * FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY chunk_id ORDER BY pos, r), -1) AS pb FROM be) WHERE b > pb),
+ins AS (SELECT co.chunk_id, co.document_id, co.pos, co.r, co.b, count(*) - 1 AS n FROM co JOIN spot o ON o.chunk_id = co.chunk_id AND o.pos BETWEEN co.b AND co.pos GROUP BY ALL)
+SELECT chunk_id, document_id, round(sum(0.1::double / (1 + CASE WHEN pos - b - n < 0 THEN n // 2 ELSE pos - b - n END)), 6) AS rank FROM ins GROUP BY chunk_id, document_id ORDER BY rank DESC, chunk_id LIMIT 15"""
 
 
-@query(f"{BOTH}, {KEYWORD_SQL.format(0).replace(QUERY, COMMON)} SELECT * FROM k")
+@query(f"{BOTH}, {_COVERS}")
 def keyword_topk(spark, d):
-    """With no selective word the rarest three must all be there."""
-    return s.keyword_lane(chunks(spark, d), documents(spark, d), COMMON, ceiling=0)
+    """With no selective word the rarest three must all be there; the nearer they stand the better."""
+    return ti.search_one(postings(spark, d), documents(spark, d), COMMON, ceiling=0)
+
+
+_QUESTIONS = "(SELECT conv_id * 1000 + turn AS query_id, coalesce(text, '') AS text FROM conversations WHERE role = 'user')"
+_EACH = f"""{_LEX}, asked AS ({_ASKED.replace('@TEXTS', _QUESTIONS)}), hits AS (SELECT chunk_id, document_id, lexeme, count(*) AS tf FROM lex GROUP BY ALL), dfs AS (SELECT lexeme, count(*) AS df FROM hits GROUP BY lexeme),
+sel AS (SELECT query_id, lexeme, coalesce(df, 0) AS df, bool_or(coalesce(df, 0) <= 40) OVER (PARTITION BY query_id) AS has_selective FROM asked LEFT JOIN dfs USING (lexeme)),
+chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY df, lexeme) AS r FROM sel WHERE df <= 40 AND has_selective) WHERE r <= 6),
+f AS (SELECT query_id, chunk_id, document_id, round(sum(tf) * 0.1, 6) AS rank FROM hits JOIN chosen USING (lexeme) GROUP BY ALL),
+km AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, chunk_id) AS place FROM f)"""
+
+
+def questions(spark, d):
+    """All that users say, as questions; each has a vector of the table, as there is no model to make one."""
+    said = table(spark, d, "conversations").where("role = 'user'")
+    return said.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.coalesce("text", F.lit("")).alias("text"), (F.col("conv_id") * 20 % 500).alias("vec_id"))
+
+
+def _keyword_many(spark, d):
+    """Selective lexemes are in at most 40 chunks here, and no lexeme of a question need be found together with another."""
+    return ti.search(postings(spark, d), documents(spark, d), questions(spark, d), ceiling=40, all_of=0, term_df=term_df(spark, d))
+
+
+@query(f"{BOTH}, {_EACH} SELECT query_id, chunk_id, document_id, rank, cast(place AS integer) AS place FROM km WHERE place <= 15")
+def keyword_many(spark, d):
+    """Every user turn of all conversations as a question, in one plan."""
+    return _keyword_many(spark, d)
+
+
+_EACH_VECTOR = f"""qv AS (SELECT conv_id * 1000 + turn AS query_id, q.embedding AS q FROM conversations JOIN embeddings q ON q.vec_id = conv_id * 20 % 500 WHERE role = 'user'),
+vs AS (SELECT query_id, e.vec_id AS document_id, {COS.replace('a::', 'q::').replace('b::', 'e.embedding::')} AS similarity FROM qv, embeddings e),
+vm AS (SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, authority_score DESC NULLS LAST, created_at DESC, document_id) AS place FROM vs JOIN rag_documents USING (document_id) WHERE similarity >= 0.18 AND {RETRIEVABLE})"""
+
+
+@query(f"""{BOTH}, {_EACH}, {_EACH_VECTOR}, fu AS (SELECT query_id, document_id, min(place) AS place FROM km WHERE place <= 15 GROUP BY ALL UNION ALL SELECT query_id, document_id, place FROM vm WHERE place <= 10),
+fs AS (SELECT query_id, document_id, round(sum(1.0::double / (60 + place)), 8) AS score, count(*) AS lanes FROM fu GROUP BY ALL)
+SELECT query_id, document_id, score, lanes, cast(place AS integer) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS place FROM fs) WHERE place <= 10""")
+def hybrid_many(spark, d):
+    """Both lanes of every user turn, fused, ten documents each."""
+    asked = questions(spark, d)
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("q"))
+    near = vi.search(vector_index(spark, d), asked.join(vectors, "vec_id"), vi.allowed(documents(spark, d)), 10, s.THRESHOLD, exact=True).withColumnRenamed("vec_id", "document_id")
+    return ti.fused([_keyword_many(spark, d), near]).where(F.col("place") <= s.FINAL_K)
 
 
 def _lanes(spark, d):
     vector = s.ranked(_vector(spark, d), F.desc("similarity"), F.desc_nulls_last("authority_score"), "document_id").select("document_id", "place", "similarity")
-    words = s.keyword_lane(chunks(spark, d), documents(spark, d), QUERY).groupBy("document_id").agg(F.max("rank").alias("rank"))
+    words = ti.search_one(postings(spark, d), documents(spark, d), QUERY).groupBy("document_id").agg(F.max("rank").alias("rank"))
     return vector, s.ranked(words, F.desc("rank"), "document_id").select("document_id", "place")
 
 
-_LANES = (f"{BOTH}, {VECTOR_SQL}, {KEYWORD_SQL.format(1500)}, lv AS (SELECT document_id, row_number() OVER (ORDER BY similarity DESC, authority_score DESC NULLS LAST, document_id) AS place, similarity FROM v), "
+_LANES = (f"{BOTH}, {VECTOR_SQL}, {KEYWORD_SQL.replace('@MOST', '1500')}, lv AS (SELECT document_id, row_number() OVER (ORDER BY similarity DESC, authority_score DESC NULLS LAST, document_id) AS place, similarity FROM v), "
           "lk AS (SELECT document_id, row_number() OVER (ORDER BY max(rank) DESC, document_id) AS place FROM k GROUP BY document_id)")
 
 
@@ -243,7 +300,6 @@ def hybrid_retrieve(spark, d):
 
 
 _QUERY = s.expanded_query(QUERY, (("nation", "heation"), ("loan", "facility")))
-_TERMS = s.query_terms(_QUERY)
 _WORDS = tuple(t for t in ("report", "board", "capex"))
 _SUPPLEMENT_SQL = ("sup AS (SELECT document_id, max(similarity) AS similarity FROM (SELECT document_id, similarity FROM gr UNION ALL " + " UNION ALL ".join(f"SELECT * FROM (SELECT document_id, {sim}::double AS similarity FROM rag_documents WHERE regexp_matches(title, '{p}') AND {RETRIEVABLE} ORDER BY authority_score DESC NULLS LAST, document_id LIMIT {k})" for n, p, k, sim in SUPPLEMENTS)
                    + ") GROUP BY document_id)")
@@ -254,7 +310,7 @@ def _retrieve_sql(mode: str, scored: bool) -> str:
     relevance = ("coalesce((document_id * 37) % 100 / 100.0::double, 0)" if scored else "round(CASE WHEN max(similarity) OVER () - min(similarity) OVER () < 1e-9 THEN 0.5 ELSE (similarity - min(similarity) OVER ()) / (max(similarity) OVER () - min(similarity) OVER ()) END, 6)")
     lead = "relevance >= 0.5 DESC, CASE WHEN relevance >= 0.5 THEN relevance ELSE -1 END DESC, " if mode == "standard" else ""
     words = " + ".join(f"CASE WHEN contains(lower(title), '{w}') THEN 0.2::double ELSE 0 END" for w in _WORDS)
-    return f"""{BOTH}, {VECTOR_SQL}, {KEYWORD_SQL.format(1500).replace(QUERY, _QUERY)}, {GRAPH_SQL}, {_SUPPLEMENT_SQL},
+    return f"""{BOTH}, {VECTOR_SQL}, {KEYWORD_SQL.replace('@MOST', '1500').replace(QUERY, _QUERY)}, {GRAPH_SQL}, {_SUPPLEMENT_SQL},
 al AS (SELECT document_id, 0 AS lane, similarity FROM v UNION ALL SELECT document_id, 1, max(rank) FROM k GROUP BY document_id UNION ALL SELECT document_id, 2, similarity FROM sup),
 fu AS (SELECT document_id, min(lane) AS lane, arg_min(similarity, lane) AS similarity, count(DISTINCT lane) AS lanes FROM al GROUP BY document_id),
 po AS (SELECT fu.*, title, review_status, classification_source, lifecycle, authority_score, CASE {TIER} WHEN 'source_of_record' THEN 3 WHEN 'supporting' THEN 2 WHEN 'context' THEN 1 ELSE 0 END AS trust FROM fu JOIN rag_documents USING (document_id)),
@@ -274,7 +330,7 @@ def _supplements(spark, d):
 def _retrieved(spark, d, mode, scored):
     docs = documents(spark, d)
     scores = docs.select("document_id", ((F.col("document_id") * 37) % 100 / 100.0).alias("score")) if scored else None
-    words = s.best_of_document(s.keyword_lane(chunks(spark, d), docs, _QUERY), "rank")
+    words = s.best_of_document(ti.search_one(postings(spark, d), docs, _QUERY), "rank")
     return s.retrieve(_vector(spark, d), words, _supplements(spark, d), docs, list(_WORDS), mode, scores)
 
 
