@@ -1,4 +1,4 @@
-"""Retrieval: the vector lane, fusion, graph expansion, boosts, floors and trust ordering."""
+"""Retrieval: the vector lane, fusion, boosts, floors and trust ordering."""
 
 from __future__ import annotations
 
@@ -83,22 +83,6 @@ def trust_order(rows: DataFrame, mode: str = "trust") -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*by, "document_id")))
 
 
-def graph_expand(chunks: DataFrame, docs: DataFrame, rules: DataFrame, least_doc: float = 3, least_chunk: float = 7, top: int = 28) -> DataFrame:
-    """Chunks of the documents that rules (alias, kind, weight) point to, scored by the rules that they hold.
-
-    The rules are a short list, so each text is searched for all of them where it is scanned.
-    """
-    rules = F.broadcast(rules)
-    of_doc = (docs.crossJoin(rules).where(F.instr(fold(F.col("title")), F.col("alias")) > 0).groupBy("document_id").agg(F.sum("weight").alias("w")))
-    bonus = F.when(F.col("review_status") == "approved", 3).otherwise(0) + F.when(F.col("authority_score") >= 90, 3).when(F.col("authority_score") >= 75, 1).otherwise(0)
-    scored = docs.join(of_doc, "document_id").withColumn("doc_score", F.col("w") + bonus).where(F.col("doc_score") >= least_doc).select("document_id", "doc_score")
-    found = (chunks.join(scored, "document_id").crossJoin(rules).where(F.instr(fold(F.col("content")), F.col("alias")) > 0)
-             .groupBy("chunk_id", "document_id", "doc_score").agg(F.sum("weight").alias("w"), F.countDistinct("kind").alias("kinds")))
-    score = 0.45 * F.col("doc_score") + F.col("w") + F.when(F.col("kinds") >= 3, 8).when(F.col("kinds") >= 2, 4).otherwise(0)
-    return (found.withColumn("score", F.round(score, 4)).where(F.col("score") >= least_chunk).orderBy(F.desc("score"), "chunk_id").limit(top)
-            .select("chunk_id", "document_id", "score", F.round(F.least(F.greatest(0.52 + F.col("score") / 42, F.lit(0.52)), F.lit(0.98)), 6).alias("similarity")))
-
-
 def boosted(relevance: Column, metadata: Column, content: Column) -> Column:
     """Relevance with rule boosts, each kind and the whole within its limit."""
     return F.round(F.least(relevance + F.least(metadata, F.lit(0.75)) + F.least(content, F.lit(0.35)), F.lit(1.5)), 6)
@@ -161,8 +145,7 @@ def retrieve(vector: DataFrame, keyword: DataFrame, supplements: DataFrame, docs
         rows = minmax(allowed, "similarity", "query_id").withColumnRenamed("scaled", "relevance")
     else:
         rows = allowed.join(scores, "document_id", "left").withColumn("relevance", F.coalesce("score", F.lit(0.0)))
-    excluded = (F.col("review_status").eqNullSafe(F.lit("rejected")) | F.col("classification_source").eqNullSafe(F.lit("agent_rejected")) | F.col("lifecycle").eqNullSafe(F.lit("superseded")))
-    rows = rows.where(~excluded)
+    rows = rows.where(retrievable())
     if scores is not None:
         rows = relevance_floor(rows.withColumn("protected", F.col("trust") >= 2), floor)
     metadata = F.when(F.col("authority_score") >= 60, 0.5).otherwise(0.0) + F.when(F.col("review_status") == "approved", 0.4).otherwise(0.0)

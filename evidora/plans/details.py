@@ -10,12 +10,13 @@ from evidora.functions.columns import fold, tokens
 from evidora.functions.injection import fenced
 from evidora.operators import details as x
 from evidora.operators import evidence, jobs
+from evidora.operators.alias_graph import named
 from evidora.operators.governance import HUMAN_VALIDATED, retrievable
 from evidora.plans.evidence import PAIRS, WITH_METRICS
 from evidora.plans.governance import DOCS, RETRIEVABLE
 from evidora.plans.operations import JOBS, NOW
 from evidora.plans.registry import query
-from evidora.plans.search import _TOKENS, COS
+from evidora.plans.search import _ENTITIES_SQL, _FOLD, _NAMES, _TOKENS, COS, entities, questions
 from evidora.sources.views import CHUNKS_SQL, DOCUMENTS_SQL, as_sql, candidates, chunks, documents, metrics, table
 from evidora.sources.views import jobs as ledger
 
@@ -129,15 +130,12 @@ def model_routing(spark, d):
     return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.when(hit, "reasoning").otherwise("fast").alias("model"))
 
 
-_ENTITIES = (("nation", "place"), ("heation", "place"), ("stan", "person"), ("the", "article"))
-
-
-@query(f"WITH e(alias, kind) AS (VALUES {', '.join(f'{p}' for p in _ENTITIES)}) SELECT conv_id, turn, kind, string_agg(alias, ' ' ORDER BY alias) AS aliases FROM conversations, e WHERE role = 'user' AND contains(lower(translate(text, '" + _TOKENS.split("translate({}, '")[1].split("')")[0].replace("', '", "', '") + f"')), alias) GROUP BY ALL")
+@query(f"WITH {_ENTITIES_SQL} SELECT conv_id, turn, kind, string_agg(DISTINCT entity, ' ' ORDER BY entity) AS entities FROM (SELECT conv_id, turn, {_FOLD.format('text')} AS t FROM conversations WHERE role = 'user') q, al_ JOIN ent USING (entity) WHERE {_NAMES.format('t')} GROUP BY ALL")
 def query_entities(spark, d):
-    """Entities that a question names, by a short list of aliases."""
-    found = F.filter(F.array(*(F.when(fold(F.col("text")).contains(a), F.struct(F.lit(k).alias("kind"), F.lit(a).alias("alias"))) for a, k in _ENTITIES)), lambda e: e.isNotNull())
-    rows = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.explode(found).alias("e"))
-    return rows.groupBy("conv_id", "turn", "e.kind").agg(F.array_join(F.array_sort(F.collect_list("e.alias")), " ").alias("aliases"))
+    """The entities that each question names, by kind."""
+    found = named(questions(spark, d), entities(spark), "query_id").select("query_id", F.explode("entities").alias("entity")).join(entities(spark).select("entity", "kind"), "entity")
+    each = found.groupBy("query_id", "kind").agg(F.array_join(F.array_sort(F.collect_list("entity")), " ").alias("entities"))
+    return each.select(F.expr("query_id div 1000").alias("conv_id"), (F.col("query_id") % 1000).alias("turn"), "kind", "entities")
 
 
 _ALIASES = {"informe": "report", "capex report": "capex", "loan": "funding", "minutes": "board", "opinion": "legal"}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidora.functions import stemming
+from evidora.operators import alias_graph as ag
 from evidora.operators import search as s
 from evidora.operators import text_index as ti
 from evidora.operators import vector_index as vi
@@ -223,20 +224,67 @@ def standard_rank(spark, d):
     return s.trust_order(_relevant(spark, d), "standard").select("query_id", "document_id", "place")
 
 
-RULES = (("loan", "finance", 5), ("capex", "finance", 4), ("board", "role", 6), ("er", "project", 2), ("the", "project", 3), ("tion", "legal", 8), ("nation", "amount", 4))
-_RULES_SQL = "rules(alias, kind, weight) AS (VALUES " + ", ".join(f"('{a}', '{k}', {w})" for a, k, w in RULES) + ")"
+# What a question can name here: entity, kind, weight, aliases, scope, types, the project it belongs to, projects it adds and for which.
+ENTITIES = (
+    ("north", "project", 7, ["ertion", "northern site"], "P1", None, None, None, None),
+    ("south", "project", 6, ["nation", "ontion"], "P2", None, None, None, None),
+    ("lender", "bank", 8, ["loan", "thing", "erinth"], None, ["funding"], None, None, None),
+    ("minutes", "document_role", 5, ["board", "thon", "board minutes"], None, ["board"], None, None, None),
+    ("covenant", "legal_term", 8, ["heation", "erin", "legal opinion"], None, ["legal", "general"], None, ["P3", "P4"], "P1"),
+    ("cost", "finance_term", 7, ["capex", "ther", "cash flow"], None, ["capex", "cash_flow"], None, None, None),
+    ("station", "asset", 4, ["stan", "esti"], None, None, "P2", None, None),
+)
+_LIST = lambda x: "NULL" if x is None else "[" + ", ".join(f"'{v}'" for v in x) + "]"
+_TEXT = lambda x: "NULL" if x is None else f"'{x}'"
+_ENTITIES_SQL = "ent(entity, kind, weight, aliases, scope, doc_types, only_project, adds, adds_for) AS (VALUES " + ", ".join(
+    f"('{e}', '{k}', {w}, {_LIST(a)}, {_TEXT(s_)}, {_LIST(t)}::varchar[], {_TEXT(o)}::varchar, {_LIST(ad)}::varchar[], {_TEXT(af)}::varchar)" for e, k, w, a, s_, t, o, ad, af in ENTITIES) + "), al_ AS (SELECT entity, unnest(aliases) AS alias FROM ent)"
+_FOLD = stemming.FOLDED_SQL[stemming.FOLDED_SQL.index("lower("):stemming.FOLDED_SQL.index(", '[^a-z0-9]+')")]
+_NAMES = "regexp_matches({}, '(^|[^a-z0-9])' || alias || '([^a-z0-9]|$)')"
+_GRAPH = f"""{_ENTITIES_SQL}, gq AS (SELECT query_id, text, {_FOLD.format('text')} AS ft FROM @TEXTS),
+qe AS (SELECT DISTINCT query_id, entity FROM gq, al_ WHERE {_NAMES.format('ft')}),
+qs AS (SELECT query_id, list_distinct(list(scope) FILTER (scope IS NOT NULL)) AS own, list_distinct(flatten(list(doc_types) FILTER (doc_types IS NOT NULL))) AS types FROM qe JOIN ent USING (entity) GROUP BY query_id),
+qd AS (SELECT query_id, coalesce(own, []) AS own, coalesce(types, []) AS types, (SELECT flatten(list(adds)) FROM qe e JOIN ent USING (entity) WHERE e.query_id = qs.query_id AND adds IS NOT NULL AND (len(coalesce(own, [])) = 0 OR list_contains(own, adds_for))) AS more FROM qs),
+un AS (SELECT query_id, types, list_distinct(own || coalesce(more, [])) AS scopes FROM qd WHERE len(own) + len(types) + len(coalesce(more, [])) > 0),
+gd AS (SELECT *, {_FOLD.format("concat_ws(' ', title, project_id, doc_type)")} AS about FROM rag_documents WHERE {RETRIEVABLE}),
+de AS (SELECT DISTINCT document_id, entity FROM gd, al_ WHERE {_NAMES.format('about')}),
+pd AS (SELECT query_id, types, document_id, CASE WHEN review_status = 'approved' THEN 3 ELSE 0 END + CASE WHEN authority_score >= 90 THEN 3 WHEN authority_score >= 75 THEN 1 ELSE 0 END AS bonus FROM un, gd
+ WHERE (len(scopes) = 0 OR list_contains(scopes, project_id)) AND (len(types) = 0 OR list_contains(types, doc_type))),
+wd AS (SELECT query_id, document_id, sum(weight) AS w FROM qe JOIN de USING (entity) JOIN ent USING (entity) GROUP BY ALL),
+sd AS (SELECT query_id, document_id, bonus + coalesce(w, 0) AS doc_score FROM pd LEFT JOIN wd USING (query_id, document_id) WHERE bonus + coalesce(w, 0) >= 3 OR len(types) > 0),
+td AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_score DESC, document_id) AS r FROM sd) WHERE r <= 32),
+gc AS (SELECT chunk_id, document_id, {_FOLD.format("concat_ws(' ', title, content)")} AS body FROM rag_chunks JOIN rag_documents USING (document_id) WHERE document_id IN (SELECT document_id FROM td)),
+ce AS (SELECT DISTINCT chunk_id, entity FROM gc, al_ WHERE {_NAMES.format('body')}),
+wc AS (SELECT query_id, chunk_id, sum(weight) AS w, count(*) AS kinds FROM qe JOIN ce USING (entity) JOIN ent USING (entity) GROUP BY ALL),
+tw AS (SELECT query_id, list_distinct(list_filter(regexp_split_to_array(ft, '[^a-z0-9]+'), lambda x: length(x) >= 4)) AS words FROM gq),
+gs AS (SELECT query_id, chunk_id, document_id, round(cast(0.45 * doc_score + coalesce(w, 0) + least(8, len(list_filter(words, lambda x: contains(body, x)))) + CASE WHEN kinds >= 3 THEN 8 WHEN kinds >= 2 THEN 4 ELSE 0 END AS double), 4) AS score
+ FROM td JOIN gc USING (document_id) JOIN tw USING (query_id) LEFT JOIN wc USING (query_id, chunk_id)),
+ge AS (SELECT query_id, chunk_id, document_id, score, round(least(greatest(0.52 + score / 42, 0.52), 0.98), 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM gs WHERE score >= 7),
+gr AS (SELECT query_id, chunk_id, document_id, score, similarity, place FROM ge WHERE place <= 28)"""
+GRAPH_SQL = _GRAPH.replace("@TEXTS", f"(SELECT 0 AS query_id, '{QUERY}' AS text)")
+
+
+def entities(spark):
+    return spark.createDataFrame([tuple(e) for e in ENTITIES], ag.ENTITY)
+
+
+@query(f"{BOTH}, {GRAPH_SQL} SELECT chunk_id, document_id, score, similarity FROM gr")
+def graph_expand(spark, d):
+    """Governed chunks that name what one question names."""
+    asked = spark.range(1).select(F.col("id").alias("query_id"), F.lit(QUERY).alias("text"))
+    return ag.expand(chunks(spark, d), documents(spark, d), asked, entities(spark)).select("chunk_id", "document_id", "score", "similarity")
 
 
-GRAPH_SQL = f"""{_RULES_SQL}, od AS (SELECT document_id, sum(weight) AS w FROM rag_documents, rules WHERE contains(lower(title), alias) GROUP BY document_id),
-sd AS (SELECT document_id, w + CASE WHEN review_status = 'approved' THEN 3 ELSE 0 END + CASE WHEN authority_score >= 90 THEN 3 WHEN authority_score >= 75 THEN 1 ELSE 0 END AS doc_score FROM rag_documents JOIN od USING (document_id)),
-f AS (SELECT chunk_id, document_id, doc_score, sum(weight) AS w, count(DISTINCT kind) AS kinds FROM rag_chunks JOIN sd USING (document_id), rules WHERE doc_score >= 3 AND contains({_TOKENS[_TOKENS.index('lower('):_TOKENS.index(", '[^a-z")].format('content')}, alias) GROUP BY ALL),
-c AS (SELECT chunk_id, document_id, round(cast(0.45 * doc_score + w + CASE WHEN kinds >= 3 THEN 8 WHEN kinds >= 2 THEN 4 ELSE 0 END AS double), 4) AS score FROM f),
-gr AS (SELECT chunk_id, document_id, score, round(least(greatest(0.52 + score / 42, 0.52), 0.98), 6) AS similarity FROM c WHERE score >= 7 ORDER BY score DESC, chunk_id LIMIT 28)"""
+@query(f"{BOTH}, {_GRAPH.replace('@TEXTS', _QUESTIONS)} SELECT query_id, chunk_id, document_id, score, similarity, cast(place AS integer) AS place FROM gr")
+def graph_many(spark, d):
+    """The same for every user turn of all conversations."""
+    return ag.expand(chunks(spark, d), documents(spark, d), questions(spark, d), entities(spark))
 
 
-@query(f"{BOTH}, {GRAPH_SQL} SELECT * FROM gr")
-def graph_expand(spark, d):
-    return s.graph_expand(chunks(spark, d), documents(spark, d), spark.createDataFrame(list(RULES), "alias string, kind string, weight int"))
+@query(f"WITH {_GRAPH.replace('@TEXTS', _QUESTIONS).split('gd AS (')[0].rstrip().rstrip(',')} SELECT query_id, array_to_string(list_sort(scopes), ' ') AS scopes, array_to_string(list_sort(types), ' ') AS types, (SELECT string_agg(entity, ' ' ORDER BY entity) FROM qe WHERE qe.query_id = un.query_id) AS entities FROM un")
+def query_scope(spark, d):
+    """What each user turn names, and the projects and types to look into."""
+    u = ag.understood(questions(spark, d), entities(spark))
+    return u.select("query_id", F.array_join("scopes", " ").alias("scopes"), F.array_join("types", " ").alias("types"), F.array_join(F.transform("entities", lambda e: e.entity), " ").alias("entities"))
 
 
 @query(f"{_REL} SELECT query_id, document_id, round(least(relevance + least(CASE WHEN authority_score >= 60 THEN 0.5 ELSE 0 END + CASE WHEN review_status = 'approved' THEN 0.4 ELSE 0 END, 0.75) + least(CASE WHEN document_id % 3 = 0 THEN 0.3 ELSE 0 END + CASE WHEN document_id % 2 = 0 THEN 0.2 ELSE 0 END, 0.35), 1.5), 6) AS boosted FROM rel")
@@ -313,9 +361,9 @@ def _retrieve_sql(mode: str, scored: bool) -> str:
     return f"""{BOTH}, {VECTOR_SQL}, {KEYWORD_SQL.replace('@MOST', '1500').replace(QUERY, _QUERY)}, {GRAPH_SQL}, {_SUPPLEMENT_SQL},
 al AS (SELECT document_id, 0 AS lane, similarity FROM v UNION ALL SELECT document_id, 1, max(rank) FROM k GROUP BY document_id UNION ALL SELECT document_id, 2, similarity FROM sup),
 fu AS (SELECT document_id, min(lane) AS lane, arg_min(similarity, lane) AS similarity, count(DISTINCT lane) AS lanes FROM al GROUP BY document_id),
-po AS (SELECT fu.*, title, review_status, classification_source, lifecycle, authority_score, CASE {TIER} WHEN 'source_of_record' THEN 3 WHEN 'supporting' THEN 2 WHEN 'context' THEN 1 ELSE 0 END AS trust FROM fu JOIN rag_documents USING (document_id)),
+po AS (SELECT fu.*, title, review_status, classification_source, lifecycle, status, authority_score, CASE {TIER} WHEN 'source_of_record' THEN 3 WHEN 'supporting' THEN 2 WHEN 'context' THEN 1 ELSE 0 END AS trust FROM fu JOIN rag_documents USING (document_id)),
 re AS (SELECT *, {relevance} AS r0 FROM po WHERE trust >= {least}),
-ex AS (SELECT * FROM re WHERE review_status IS DISTINCT FROM 'rejected' AND classification_source IS DISTINCT FROM 'agent_rejected' AND lifecycle IS DISTINCT FROM 'superseded'),
+ex AS (SELECT * FROM re WHERE {RETRIEVABLE}),
 fl AS (SELECT *, bool_or(trust >= 2 OR r0 >= 0.3) OVER () AS any_kept, row_number() OVER (ORDER BY r0 DESC, document_id) AS best FROM ex),
 bo AS (SELECT *, round(round(least(r0 + least(CASE WHEN authority_score >= 60 THEN 0.5::double ELSE 0 END + CASE WHEN review_status = 'approved' THEN 0.4::double ELSE 0 END, 0.75) + least({words}, 0.35), 1.5), 6) + CASE WHEN lane = 2 THEN 0.02 ELSE 0 END, 6) AS relevance
  FROM fl WHERE {'trust >= 2 OR r0 >= 0.3 OR (NOT any_kept AND best = 1)' if scored else 'true'}),
