@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 
-PAGES = 600
+PAGES = 900
 _WORDS = ("the river wall was built by hand and it holds when rain comes over the hill so people in town walk there every day "
           "to look at boats that bring stone from far away while children count gulls").split()
 
@@ -84,14 +84,35 @@ def _other(c: _Choice, where: str) -> str:
     return c.of(kinds[where])()
 
 
+def _few(c: _Choice) -> str:
+    """Two to six words, with or without a full stop."""
+    at = c.below(len(_WORDS))
+    return " ".join(_WORDS[(at + i * 5) % len(_WORDS)] for i in range(1 + c.below(6))).capitalize() + c.of(("", "", "."))
+
+
+def _list(c: _Choice) -> str:
+    """A list of an article: ingredients, steps, terms, works with links; its items may be as short as those of a menu."""
+    n = 1 + c.below(8)
+    item = c.of((lambda: _few(c), lambda: _few(c), lambda: c.sentence(), lambda: f"{1 + c.below(900)} {_few(c)}", lambda: f'<a href="/{c.below(99)}">{_few(c)}</a>', lambda: f'<a href="/{c.below(99)}">{_few(c)}</a> {c.of(("", "-", ","))} {_few(c)}', lambda: f"<b>{_few(c)}</b> {c.text()}", lambda: f"<p>{_few(c)}</p>"))
+    kind = c.of(("ul", "ul", "ol", "ol", "dl", "table"))
+    if kind == "dl":
+        return "<dl>" + "".join(f"<dt>{_few(c)}</dt><dd>{item()}</dd>" for _ in range(n)) + "</dl>"
+    if kind == "table":
+        return "<table>" + c.of(("", f"<tr><th>{_few(c)}</th><th>{_few(c)}</th></tr>")) + "".join(f"<tr><td>{_few(c)}</td><td>{c.below(5000)}</td></tr>" for _ in range(n)) + "</table>"
+    close = c.of(("</li>", "</li>", ""))
+    return f"<{kind}>" + "".join(f"<li>{item()}{close}" for _ in range(n)) + f"</{kind}>"
+
+
 def _body(c: _Choice) -> str:
     """Blocks of main text, at times with something else between."""
-    out = [c.of(("", f"<h1>{c.sentence()}</h1>", f"<h1>{c.sentence()}</h1>", f"<header><h1>{c.sentence()}</h1></header>"))]
+    out = [c.of(("", "", f"<h1>{c.sentence()}</h1>", f"<h1>{c.sentence()}</h1>", f"<header><h1>{c.sentence()}</h1></header>"))]
     for _ in range(1 + c.below(7)):
         out.append(c.of((f"<p>{c.text()}</p>", f"<p>{c.text()}</p>", f"<p>{c.text()}</p>", f"<p>{c.sentence()} <a href='/x'>{c.sentence()}</a> {c.text()}</p>", f"<p><b>{c.text()}<br><p>{c.text()}</p>",
                          f"<h2>{c.sentence()}</h2><p>{c.text()}</p>", f"<ul><li>{c.text()}</li><li>{c.text()}</li></ul>", f"<blockquote>{c.of((c.text(), _paragraphs(c, 2)))}</blockquote>",
                          f"<table><tr><td>{c.sentence()}</td><td>{c.sentence()}</td></tr></table>", f"<pre>{c.text()}</pre>", f"<figure><figcaption>{c.sentence()}</figcaption></figure>", f"<div>{c.text()}</div>",
                          f"<section><h2>{c.sentence()}</h2>{_paragraphs(c)}</section>", f"<dl><dt>{c.sentence()}</dt><dd>{c.text()}</dd></dl>", f"<div>{_paragraphs(c)}</div>")))
+        if c.below(3) == 0:
+            out.append(c.of((_list(c), _list(c), f"<h{2 + c.below(2)}>{_few(c)}</h2>{_list(c)}", f"<p>{_few(c)}:</p>{_list(c)}")))
         if c.below(5) == 0:
             out.append(_other(c, c.of(("within", "within", "notice"))))
     return "".join(out)

@@ -4,7 +4,7 @@ The nodes of the model are a page's block elements that hold text and, below
 them, its text blocks.  A node is main (all of its text is main text), other (none
 of it is) or mixed.  A node's own potential is log-linear in its features: tag,
 class and id tokens, length, share of the page and of linked text, how often it is
-repeated among its siblings, and where in the page it stands.  A potential between
+repeated among its siblings, what stands before it and around it, and where in the page it is.  A potential between
 parent and child says which states go together.  Both are learnt from labelled
 pages; no list of words is written down.  The model is a tree, so one pass of
 sum-product messages up and one down give exact marginals, and the blocks that are
@@ -39,7 +39,6 @@ from evidora.llm.html_pages import labelled_pages
 
 MAIN, OTHER, MIXED = range(3)
 AT_ONCE = 20000       # nodes of pages that are judged together, about
-NAMELESS = 0.8        # power of the potentials of nodes without names: what their shape says, their neighbours' says in part again
 EPOCHS, RATE, RIDGE = 400, 0.05, 2e-6
 
 NAME = re.compile(r"/?([a-zA-Z][\w:-]*+)")
@@ -53,6 +52,7 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
                    "ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - frozenset(("html", "body", "caption", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "legend", "figcaption"))
+LANDMARKS = frozenset("article main nav aside header footer form dialog section".split())
 # Elements that end when one of the others begins, and the elements that they are looked for in.
 ENDED_BY = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dd": (("dd", "dt"), ("dl",)), "dt": (("dd", "dt"), ("dl",)), "option": (("option",), ("select",)),
             "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("table",)), "th": (("td", "th"), ("table",)),
@@ -60,11 +60,12 @@ ENDED_BY = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dd": (("dd", "dt"), (
 
 
 class Node:
-    __slots__ = ("tag", "parent", "words", "label", "text", "linked", "length", "start", "long", "children", "like")
+    __slots__ = ("tag", "parent", "words", "label", "text", "linked", "length", "start", "long", "children", "like", "within", "after", "next", "last")
 
     def __init__(self, tag, parent, words="", label=None, start=0):
         self.tag, self.parent, self.words, self.label, self.start = tag, parent, words, label, start
         self.text, self.linked, self.length, self.long, self.children, self.like = None, 0, 0, 0, 0, 1
+        self.within, self.after, self.next, self.last = "", "", "", None  # nearest landmark around, tags of the siblings before and after, last child
 
 
 class _Scanner:
@@ -237,6 +238,10 @@ def parse(page: str) -> list[Node]:
         alike[id(n.parent), n.tag, n.words] += 1
     for n in nodes[1:]:
         n.like = alike[id(n.parent), n.tag, n.words]
+        n.within = n.parent.tag if n.parent.tag in LANDMARKS else n.parent.within
+        if n.parent.last is not None:
+            n.after, n.parent.last.next = n.parent.last.tag, n.tag
+        n.parent.last = n
     return nodes
 
 
@@ -270,11 +275,11 @@ def features(node: Node, total: int) -> list[str]:
     if node.text is not None:
         size = _grade(node.length, 12, 25, 50, 100, 200, 400)
         stop = node.text[-1] in ".!?:;\"'»”…"
-        return [f"# {up}", f"# size {size} {stop}", f"# links {links}", f"# place {place} {node.parent.children > 1}", f"# mark {'©' in node.text}", f"# only {up} {size} {links > 1}"]
+        return [f"# {up}", f"# size {size} {stop}", f"# links {links}", f"# place {place} {node.parent.children > 1}", f"# mark {'©' in node.text}", f"# only {up} {size} {links > 1}", f"# within {node.within} {up}", f"# within {node.within} {links > 1}"]
     size = _grade(node.length, 25, 100, 300, 1000, 3000)
     whole = int(4 * node.length / (total + 1))
     out = [f"tag {node.tag}", f"tag {node.tag} {whole > 1} {links > 1}", f"size {size}", f"whole {whole} {links > 1}", f"links {links}", f"long {_grade(node.long, 1, 2, 4, 8)} {whole}",
-           f"like {_grade(node.like, 2, 3, 5)} {links > 1}", f"place {place}", f"in {up} {node.tag}"]
+           f"like {_grade(node.like, 2, 3, 5)} {links > 1}", f"place {place}", f"in {up} {node.tag}", f"within {node.within} {node.tag} {links > 1}", f"within {node.within} {node.tag} after {node.after}", f"{node.tag} between {node.after} {node.next}"]
     words = {t.lower() for t in TOKENS.findall(node.words)}
     for w in words:
         out += [f"word {w}", f"word {w} {node.tag} {whole > 1}", f"word {w} {len(words) > 2}"]
@@ -402,7 +407,6 @@ class TreeModel:
             p = np.exp(z - z.max(1, keepdims=True))
             return (p / p.sum(1, keepdims=True))[:, MAIN]
         own = z - self.share  # log P(features | state), but for a constant
-        own[[not n.words for nodes in pages for n in nodes]] *= NAMELESS
         return forest.marginals(own, self.pair, self.prior)[:, MAIN]
 
     def extract_all(self, pages: list[str | None]) -> list[str]:

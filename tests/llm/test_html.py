@@ -26,6 +26,31 @@ PAGES = [
     (f'<body><article><h1>Harbour</h1><p>{A}</p><div class="ad">Buy boats.</div><p>{B}</p><div class="newsletter"><p>Get our letter.</p></div><p>{C}</p></article></body>', f"Harbour\n{A}\n{B}\n{C}"),
 ]
 
+NAV = "<nav><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li><li><a href=c>About us</a></li></ul></nav>"
+FOOT = "<footer><p>&copy; 2024 The Harbour Post</p></footer>"
+LISTS = [
+    (f"<main><h1>Recipe</h1><p>{A}</p><ul><li>2 eggs</li><li>100 g flour</li><li>salt</li></ul><h2>Steps</h2><ol><li>Mix all.</li><li>Bake it.</li></ol></main>", f"Recipe\n{A}\n2 eggs\n100 g flour\nsalt\nSteps\nMix all.\nBake it."),
+    ("<article><h1>Recipe</h1><ul><li>2 eggs</li><li>flour</li></ul><ol><li>Mix all.</li><li>Bake it.</li></ol></article>", "Recipe\n2 eggs\nflour\nMix all.\nBake it."),
+    (f"<article><h1>Books</h1><p>{A}</p><ul><li><a href=1>The old wall</a></li><li><a href=2>Stone and sea</a></li></ul><p>{B}</p></article>", f"Books\n{A}\nThe old wall\nStone and sea\n{B}"),
+    (f"{NAV}<article><h1>Terms</h1><dl><dt>Quay</dt><dd>where boats land</dd><dt>Mole</dt><dd>a wall in the sea</dd></dl><p>{A}</p></article>{FOOT}", f"Terms\nQuay\nwhere boats land\nMole\na wall in the sea\n{A}"),
+    (f"{NAV}<main><h1>Results</h1><p>{A}</p><table><tr><th>Team</th><th>Points</th></tr><tr><td>North</td><td>12</td></tr><tr><td>South</td><td>9</td></tr></table></main>{FOOT}", f"Results\n{A}\nTeam\nPoints\nNorth\n12\nSouth\n9"),
+    (f"{NAV}<main><article><h1>Plan</h1><p>{A}</p><h2>We need</h2><ul><li>time<li>money<li>stone</ul><p>{B}</p></article></main><aside><h3>Popular</h3><ul><li><a href=z>Storm</a></li><li><a href=y>Fair</a></li></ul></aside>{FOOT}", f"Plan\n{A}\nWe need\ntime\nmoney\nstone\n{B}"),
+    (f"{NAV}<article><h1>Works</h1><p>{B}</p><ol><li><a href=1>First</a>, 1990</li><li><a href=2>Second</a>, 1994</li><li><a href=3>Third</a>, 2001</li></ol></article>{FOOT}", f"Works\n{B}\nFirst, 1990\nSecond, 1994\nThird, 2001"),
+    (f'{NAV}<div class="content"><h1>Rules</h1><p>{A}</p><ol><li>Do not run.</li><li>Do not dive.</li></ol><p>{C}</p></div><div class="footer">Contact</div>', f"Rules\n{A}\nDo not run.\nDo not dive.\n{C}"),
+    (f"{NAV}<article><h1>Walk</h1><ul><li><b>Start</b>: the mill</li><li><b>End</b>: the quay</li></ul><p>{A}</p><p>{C}</p></article>{FOOT}", f"Walk\nStart: the mill\nEnd: the quay\n{A}\n{C}"),
+    (f'{NAV}<article><h1>Boats</h1><p>{A}</p><ul><li><p>Red</p></li><li><p>Blue</p></li></ul><div class="share"><a href=1>Mail</a> <a href=2>Post</a></div><p>{B}</p></article>{FOOT}', f"Boats\n{A}\nRed\nBlue\n{B}"),
+    (f"{NAV}<main><h1>Shops</h1><p>{A}</p><h3>Open</h3><ul><li>Monday</li><li>Friday</li></ul><h3>Shut</h3><ul><li>Sunday</li></ul><p>{C}</p></main>{FOOT}", f"Shops\n{A}\nOpen\nMonday\nFriday\nShut\nSunday\n{C}"),
+    (f"<header><a href=/>Post</a></header><article><h1>Steps</h1><p>{C}</p><ol><li>{A}</li><li>{B}</li></ol></article>{FOOT}", f"Steps\n{C}\n{A}\n{B}"),
+    (f'{NAV}<article><h1>Links</h1><p>{A}</p><p>See also:</p><ul><li><a href=1>The mayor</a></li><li><a href=2>The council</a></li><li><a href=3>The harbour</a></li></ul><p>{B}</p></article><section class="comments"><ul><li>Nice.</li><li>No.</li></ul></section>', f"Links\n{A}\nSee also:\nThe mayor\nThe council\nThe harbour\n{B}"),
+    (f'<ul class="menu"><li><a href=1>One</a><li><a href=2>Two</a></ul><div class="post"><h1>Tools</h1><p>{A}</p><ul><li>spade</li><li>rope</li></ul></div><ul class="menu"><li><a href=8>Imprint</a><li><a href=9>Privacy</a></ul>', f"Tools\n{A}\nspade\nrope"),
+]
+
+
+def test_lists_of_articles_are_kept_and_menus_are_not(model):
+    """Of the blocks of these pages none of an article is lost, and none of a menu comes in."""
+    for page, want in LISTS:
+        assert model.extract(page) == want, page
+
 
 @pytest.fixture(scope="module")
 def model():
