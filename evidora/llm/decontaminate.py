@@ -14,8 +14,9 @@ broadcast at a time and released before the next, and every further block is
 another pass over the documents.
 
 Cases: a null or empty document leaks nothing; a text of any length is searched
-whole; of an item's regions that need equally many edits the first to end counts; items that are null or under
-``Q`` characters are too short to be evidence and are not searched; for short
+whole; of an item's regions that need equally many edits the first to end counts; items that are null or empty
+are not searched; items under ``Q`` characters, which have no q-gram, are found where they stand
+as they are, with no letter or digit on either side, by one automaton over all of them; for short
 items e is lowered to where the bound is one q-gram or more; items and rows that
 repeat each give their rows; null ids are carried along; extra columns are
 ignored; without documents or items the result is empty.
@@ -23,6 +24,7 @@ ignored; without documents or items the result is empty.
 
 from __future__ import annotations
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -63,18 +65,20 @@ class Index:
     """Places of the q-grams of some items."""
 
     def __init__(self, items: list[tuple]):
+        self.short = self._automaton([(i, t) for i, t in items if len(t) < Q])
+        items = [(i, t) for i, t in items if len(t) >= Q]
         self.ids = [i for i, _ in items]
         self.texts = [t for _, t in items]
         self.m = np.array([len(t) for t in self.texts])
         self.e = np.minimum(np.floor(self.m * EDITS_PER_CHAR).astype(int), (self.m - Q) // Q)
         self.least = self.m - Q + 1 - Q * self.e
-        hashes = [gram_hashes(_codes(t)) for t in self.texts]
+        hashes = [gram_hashes(_codes(t)) for t in self.texts] or [np.zeros(0, np.uint64)]
         gram = np.concatenate(hashes)
-        item = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
+        item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
         place = np.concatenate([np.arange(len(h)) for h in hashes])
         order = np.argsort(gram, kind="stable")
         gram, self.item, self.place = gram[order], item[order], place[order]
-        self.first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+        self.first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
         self.count = np.diff(np.r_[self.first, len(gram)])
         self.gram = gram[self.first]
         self.some = np.zeros(1 << PREFILTER_BITS, bool)
@@ -84,7 +88,7 @@ class Index:
         """(text, item, first diagonal) of bands with enough shared q-grams."""
         lengths = np.array([len(t) + 1 for t in texts])
         codes = _codes(GAP.join(texts))
-        if len(codes) < Q:
+        if len(codes) < Q or not len(self.gram):
             return []
         start = np.cumsum(lengths) - lengths
         h = gram_hashes(codes)
@@ -112,6 +116,29 @@ class Index:
         key, item = keys[enough], item[enough]
         return list(zip((key // radix // len(self.m)).tolist(), item.tolist(), ((key % radix - CHUNK_CHARS) * (self.e[item] + 1)).tolist(), strict=True))
 
+    @staticmethod
+    def _automaton(items: list[tuple]):
+        """All items without a q-gram, each text with the ids that have it."""
+        if not items:
+            return None
+        a = ahocorasick.Automaton()
+        for i, t in items:
+            a.add_word(t, (len(t), [*(a.get(t)[1] if t in a else []), i]))
+        a.make_automaton()
+        return a
+
+    def found(self, texts: list[str]) -> list[tuple]:
+        """(text, id, edits, stop) of all items that leak, those without a q-gram as they stand."""
+        out = [(t, self.ids[i], e, s) for t, i, e, s in self.leaks(texts)]
+        for n, text in enumerate(texts) if self.short else ():
+            first: dict[str, tuple] = {}
+            for end, (length, ids) in self.short.iter(text):
+                start = end - length + 1
+                if not text[max(start - 1, 0):start].isalnum() and not text[end + 1:end + 2].isalnum():
+                    first.setdefault(text[start:end + 1], (ids, end + 1))
+            out += [(n, i, 0, stop) for ids, stop in first.values() for i in ids]
+        return out
+
     def leaks(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
         """(text, item, edits, stop) of the best region of each item in each text that leaks it."""
         best: dict = {}
@@ -155,7 +182,7 @@ def _blocks(benchmark: DataFrame):
     held, size = [], 0
     for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
         text = normalise(r.text)
-        if len(text) < Q:
+        if not text:
             continue
         held.append((r.item_id, text))
         size += len(text)
@@ -211,10 +238,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             index = shared.value
             for b in batches:
                 texts = [normalise(t) for t in b.column("text").to_pylist()]
-                found = [(a + t, i, e, s) for a, part in _chunks(texts) for t, i, e, s in index.leaks(part)]
+                found = [(a + t, i, e, s) for a, part in _chunks(texts) for t, i, e, s in index.found(part)]
                 if found:
                     row, item, edits, stop = map(list, zip(*found, strict=True))
-                    ids = pa.array([index.ids[i] for i in item], kind)
+                    ids = pa.array(item, kind)
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), ids, pa.array(edits, pa.int32()), pa.array(stop, pa.int64())], ["doc_id", "item_id", "edits", "stop"])
 
         return docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -239,7 +266,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches):
             for b in batches:
                 texts = [normalise(t) for t in b.column("text").to_pylist()]
-                found = {a + t for a, part in _chunks(texts) for t, *_ in shared.value.leaks(part)}
+                found = {a + t for a, part in _chunks(texts) for t, *_ in shared.value.found(part)}
                 yield b.filter(pa.array([i not in found for i in range(b.num_rows)])) if found else b
 
         return left[0].mapInArrow(run, docs.schema)

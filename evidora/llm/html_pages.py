@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 
-PAGES = 900
+PAGES = 1500
 _WORDS = ("the river wall was built by hand and it holds when rain comes over the hill so people in town walk there every day "
           "to look at boats that bring stone from far away while children count gulls").split()
 

@@ -299,7 +299,7 @@ def test_no_task_holds_a_hot_key(spark, corpus, monkeypatch):
 
 def test_leaks_against_plain_alignment(spark):
     rng = random.Random(8)
-    items = [(i, sentence(rng, 12)) for i in range(12)] + [(90, "short"), (91, None), (92, "")]
+    items = [(i, sentence(rng, 12)) for i in range(12)] + [(90, "short"), (91, None), (92, ""), (94, "7 / 3"), (95, "Yes"), (96, "yes"), (97, "s")]
     items += [(93, items[0][1].upper())]
 
     def edited(text, n):
@@ -309,13 +309,17 @@ def test_leaks_against_plain_alignment(spark):
             s[p:p + 1] = rng.choice(([], ["#"], [s[p], "q"]))
         return "".join(s)
 
-    rows = [(i, f"{sentence(rng, 15)} {edited(items[i % 12][1], i % 11)} {sentence(rng, 5)}") for i in range(48)] + [(60, None), (61, ""), (None, items[1][1]), (62, sentence(rng, 40))]
+    rows = [(i, f"{sentence(rng, 15)} {edited(items[i % 12][1], i % 11)} {sentence(rng, 5)}") for i in range(48)] + [(60, None), (61, ""), (None, items[1][1]), (62, sentence(rng, 40)), (63, "yes"), (64, "eyes and yesterday 17 / 3 shorts"), (65, "it is 7  /\n3, Yes! yes."), (66, "a short one " + "word " * 250_000 + "yes")]
     got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.leaks(documents(spark, rows), spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, edits int")).collect()}
     want = {}
     for i, t in rows:
         for j, u in items:
             a, b = decontaminate.normalise(u), decontaminate.normalise(t)
+            if i == 66 and len(a) >= 8:
+                continue  # over a million characters: too many for the plain alignment, and it holds none of these
             if len(a) < 8 or not b:
+                if a and b and re.search(rf"(?<![^\W_]){re.escape(a)}(?![^\W_])", b):
+                    want[i, j] = 0
                 continue
             row = [0] * (len(b) + 1)
             for x in range(1, len(a) + 1):
@@ -325,7 +329,7 @@ def test_leaks_against_plain_alignment(spark):
                 row = new
             if min(row) <= min(len(a) // 10, (len(a) - 8) // 8):
                 want[i, j] = min(row)
-    assert got == want and len(want) > 20
+    assert got == want and len(want) > 20 and {(63, 95), (63, 96), (65, 94), (66, 90), (66, 96)} <= set(want)
     kept = decontaminate.remove_leaks(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(i) for i, _ in rows if i not in {k for k, _ in want})
     assert decontaminate.leaks(documents(spark, rows), spark.createDataFrame([], "item_id long, text string")).count() == 0
