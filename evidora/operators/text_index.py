@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from evidora.functions import stemming
 from evidora.operators.governance import retrievable
+from evidora.sources.versions import VersionedTable, staged
 
 CEILING, ANY_OF, ALL_OF, K = 1500, 6, 3, 15
 FEW = 1000               # lexemes that are named in the scan itself
@@ -45,6 +46,25 @@ def document_frequency(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.join(docs.where(retrievable()).select("document_id"), "document_id", "left_semi").groupBy("lexeme").agg(F.count("*").alias("df"))
 
 
+def refresh_frequency(kept: VersionedTable, changed: DataFrame, before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame], txn: str | None = None) -> int:
+    """Bring a kept table of document frequencies (lexeme, df) up to date with documents that came, went or changed.
+
+    ``changed`` has their document_id; ``before`` and ``after`` are the chunks and documents as they were and as they are.
+    Only the changed documents' chunks are read: what they counted is taken away and what they count now is added, in the
+    buckets of their lexemes.  ``txn`` makes a repeated call do nothing.
+    """
+    ids = changed.select("document_id").distinct()
+    delta = None
+    for sign, (chunks, docs) in ((-1, before), (1, after)):
+        own = chunks.join(ids, "document_id", "left_semi")
+        part = document_frequency(postings(own), docs).select("lexeme", (sign * F.col("df")).alias("df"))
+        delta = part if delta is None else delta.unionByName(part)
+    delta = staged(delta.groupBy("lexeme").agg(F.sum("df").alias("more")).where("more <> 0"), "frequency-changes")
+    now = kept.read().join(delta.select("lexeme"), "lexeme", "left_semi") if kept.version() else delta.select("lexeme", F.lit(0).cast("long").alias("df"))
+    rows = delta.join(now, "lexeme", "left").select("lexeme", (F.coalesce("df", F.lit(0)) + F.col("more")).alias("df"))
+    return kept.upsert(rows, txn=txn, gone="df = 0")
+
+
 def asked_lexemes(questions: DataFrame) -> DataFrame:
     """query_id and lexeme of the distinct lexemes of each question's text."""
     word = questions.select("query_id", F.explode(F.array_distinct(stemming.words(F.col("text")))).alias("word")).where(stemming.counts(F.col("word")))

@@ -11,12 +11,14 @@ from evidora.functions.injection import fenced
 from evidora.operators import details as x
 from evidora.operators import evidence, jobs
 from evidora.operators.alias_graph import named
-from evidora.operators.governance import HUMAN_VALIDATED, retrievable
+from evidora.operators import vector_index as vi
+from evidora.operators.governance import HUMAN_VALIDATED, retrievable, trust, verification_tier
+from evidora.operators.search import over_fetched
 from evidora.plans.evidence import PAIRS, WITH_METRICS
-from evidora.plans.governance import DOCS, RETRIEVABLE
+from evidora.plans.governance import DOCS, RETRIEVABLE, TIER
 from evidora.plans.operations import JOBS, NOW
 from evidora.plans.registry import query
-from evidora.plans.search import _ENTITIES_SQL, _FOLD, _NAMES, _TOKENS, COS, entities, questions
+from evidora.plans.search import _ENTITIES_SQL, _FOLD, _MANY, _NAMES, _TOKENS, _TRUST, COS, entities, questions, vector_index
 from evidora.sources.views import CHUNKS_SQL, DOCUMENTS_SQL, as_sql, candidates, chunks, documents, metrics, table
 from evidora.sources.views import jobs as ledger
 
@@ -400,9 +402,17 @@ def pipeline_dashboard(spark, d):
     return latest.join(F.broadcast(shown)).join(F.broadcast(c.agg(F.count_if(F.col("status") == "pending_review").alias("pending"))))
 
 
-@query(f"{WITH_METRICS} SELECT k, least(4 * k, 100) AS vectors, least(4 * k, 80) AS words FROM (VALUES (5), (10), (25), (40)) t(k)")
+_OVER = _MANY.format("true").replace("WHERE place <= 10", "WHERE place <= 40").replace(")\nSELECT query_id, vec_id AS document_id", "),\nn AS (SELECT query_id, vec_id AS document_id", 1)
+
+
+@query(f"""{_OVER}), t AS (SELECT query_id, place, {_TRUST} >= 2 AS trusted FROM n JOIN (SELECT *, {TIER} AS tier FROM rag_documents) USING (document_id))
+SELECT query_id, count(*) AS fetched, count(*) FILTER (trusted) AS trusted, count(*) FILTER (trusted AND place <= 10) AS without, least(10, count(*) FILTER (trusted)) AS returned FROM t GROUP BY query_id""")
 def over_fetch(spark, d):
-    """How many rows each lane is asked for under strict grounding."""
-    from evidora.operators.search import over_fetched
+    """Strict grounding drops many rows, so four times as many are fetched: how many of ten are left with and without."""
+    vectors, _ = over_fetched(10)
+    asked = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = vi.search(vector_index(spark, d), asked, vi.allowed(documents(spark, d)), vectors, exact=True)
+    trusted = documents(spark, d).select(F.col("document_id").alias("vec_id"), (trust(verification_tier()) >= 2).alias("trusted"))
+    rows = found.join(trusted, "vec_id").groupBy("query_id").agg(F.count("*").alias("fetched"), F.count_if("trusted").alias("trusted"), F.count_if(F.col("trusted") & (F.col("place") <= 10)).alias("without"))
+    return rows.withColumn("returned", F.least(F.lit(10), "trusted"))
 
-    return spark.createDataFrame([(k, *over_fetched(k)) for k in (5, 10, 25, 40)], "k int, vectors int, words int")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evidora.functions import stemming
@@ -12,7 +14,7 @@ from evidora.operators import vector_index as vi
 from evidora.operators.governance import retrievable, trust, verification_tier
 from evidora.plans.governance import BOTH, DOCS, RETRIEVABLE, TIER
 from evidora.plans.registry import query
-from evidora.sources.versions import kept, kept_folder
+from evidora.sources.versions import VersionedTable, kept, kept_folder, shared_dir
 from evidora.sources.views import CHUNKS_SQL, as_sql, chunks, documents, table
 
 COS = "round(list_dot_product(a::double[], b::double[]) / nullif(sqrt(list_dot_product(a::double[], a::double[])) * sqrt(list_dot_product(b::double[], b::double[])), 0), 6)"
@@ -78,6 +80,22 @@ def term_df(spark, d):
     return ti.document_frequency(postings(spark, d), documents(spark, d))
 
 
+_LATER = "CASE WHEN document_id % 7 = 1 THEN 'retired' ELSE status END"
+
+
+@query(f"{BOTH}, {_LEX.replace('FROM rag_chunks JOIN rag_documents', 'FROM rag_chunks JOIN (SELECT * REPLACE (' + _LATER + ' AS status) FROM rag_documents)')} SELECT lexeme, count(DISTINCT chunk_id) AS df FROM lex GROUP BY lexeme")
+def term_df_refreshed(spark, d):
+    """Counts that were kept while every tenth document came later and every seventh was retired: those of the present state."""
+    docs, parts = documents(spark, d), chunks(spark, d)
+    early, late, retired = docs.where("document_id % 10 <> 0"), docs.where("document_id % 10 = 0"), docs.where("document_id % 7 = 1")
+    present = docs.withColumn("status", F.expr(_LATER))
+    kept_counts = VersionedTable(spark, f"{shared_dir(spark)}/term-df-{uuid.uuid4().hex}", ["lexeme"], buckets=8)
+    kept_counts.replace(ti.document_frequency(postings(spark, d), early), txn="base")
+    ti.refresh_frequency(kept_counts, late, (parts, early), (parts, docs), txn="late documents")
+    ti.refresh_frequency(kept_counts, retired, (parts, docs), (parts, present), txn="retired documents")
+    return kept_counts.read()
+
+
 ONE_PROJECT = "WHERE p = 'P1'"
 QUERY = "the thereal nation heation stan of ertion"
 _ASKED = f"SELECT DISTINCT query_id, unnest({stemming.LEXEMES_SQL}) AS lexeme FROM (SELECT query_id, unnest({stemming.FOLDED_SQL.format('text')}) AS w FROM @TEXTS) WHERE {stemming.COUNTS_SQL}"

@@ -137,3 +137,25 @@ def test_many_questions_are_as_single_ones(spark, small):
 def test_a_scan_for_few_lexemes_names_them(spark, small):
     plan = ti.search_one(plans.postings(spark, small), documents(spark, small), "erin thon")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(lexeme" in plan or "PushedFilters: [IsNotNull(lexeme), In(lexeme" in plan or "In(lexeme, [" in plan
+
+
+def test_kept_counts_follow_a_series_of_changes(spark, corpus):
+    """Documents come, change their text, are retired and go: the kept counts are always those of a full count."""
+    import tempfile
+
+    from evidora.sources.versions import VersionedTable
+
+    chunks, docs, _, _ = corpus
+    kept = VersionedTable(spark, "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/df", ["lexeme"], buckets=16)
+    full = lambda state: sorted(map(tuple, ti.document_frequency(ti.postings(state[0]), state[1]).collect()))
+    empty = chunks.where("false"), docs.where("false")
+    some = chunks.where("document_id < 20"), docs.where("document_id < 20")
+    edited = some[0].withColumn("content", F.when(F.col("document_id") % 3 == 1, "quay loan quay").otherwise(F.col("content"))), some[1]
+    retired = edited[0], edited[1].withColumn("status", F.when(F.col("document_id") % 4 == 0, "retired").otherwise(F.col("status")))
+    smaller = retired[0].where("document_id > 5"), retired[1].where("document_id > 5")
+    steps = [(empty, some, "document_id < 20"), (some, (chunks, docs), "document_id >= 20"), ((chunks, docs), some, "document_id >= 20"), (some, edited, "document_id % 3 = 1"), (edited, retired, "document_id % 4 = 0"), (retired, smaller, "document_id <= 5")]
+    for i, (before, after, which) in enumerate(steps):
+        changed = before[1].unionByName(after[1]).where(which)
+        version = ti.refresh_frequency(kept, changed, before, after, txn=f"step {i}")
+        assert sorted(map(tuple, kept.read().select("lexeme", "df").collect())) == full(after)
+        assert ti.refresh_frequency(kept, changed, before, after, txn=f"step {i}") == version  # a retry adds nothing
