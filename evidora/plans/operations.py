@@ -25,6 +25,27 @@ def job_claim_transition(spark, d):
     return j.claim(jobs(spark, d), NOW)
 
 
+_WORKERS = "SELECT s_suppkey AS worker_id, cast(s_suppkey % 4 AS integer) AS slots, CASE WHEN s_suppkey % 3 = 0 THEN 30 WHEN s_suppkey % 3 = 1 THEN 600 END AS lease_seconds FROM supplier"
+
+
+@query(f"""{JOBS}, s AS (SELECT *, CASE WHEN status = 'processing' AND lease_expires_at < timestamp '{NOW}' THEN CASE WHEN attempts >= max_attempts THEN 'error' ELSE 'queued' END WHEN status = 'queued' AND attempts >= max_attempts THEN 'error' ELSE status END AS st FROM ingest_job),
+w AS (SELECT worker_id, unnest(range(1, slots + 1)) AS slot, greatest(coalesce(lease_seconds, 1200), 60) AS lease FROM ({_WORKERS})), n AS (SELECT *, row_number() OVER (ORDER BY slot, worker_id) AS place FROM w),
+t AS (SELECT *, row_number() OVER (ORDER BY queued_at, job_id) AS place FROM s WHERE st = 'queued' AND queued_at <= timestamp '{NOW}'), c AS (SELECT * FROM t JOIN n USING (place))
+SELECT s.job_id, CASE WHEN worker_id IS NOT NULL THEN 'processing' ELSE s.st END AS status, s.attempts + CASE WHEN worker_id IS NOT NULL THEN 1 ELSE 0 END AS attempts,
+CASE WHEN worker_id IS NOT NULL THEN timestamp '{NOW}' + to_seconds(lease) WHEN s.st = 'processing' THEN s.lease_expires_at END AS lease_expires_at, worker_id FROM s LEFT JOIN c ON c.job_id = s.job_id""")
+def job_claims_of_many(spark, d):
+    """The ledger after all workers with free slots have claimed at once."""
+    workers = table(spark, d, "supplier").select(F.col("s_suppkey").alias("worker_id"), (F.col("s_suppkey") % 4).cast("int").alias("slots"), F.when(F.col("s_suppkey") % 3 == 0, 30).when(F.col("s_suppkey") % 3 == 1, 600).alias("lease_seconds"))
+    ledger = jobs(spark, d)
+    return j.after_claims(ledger, j.claim_many(ledger, workers, NOW), NOW)
+
+
+@query("SELECT user_id, arg_max(event_type, ts) AS status, max(ts) AS ts FROM (SELECT user_id, ts, max(event_type) AS event_type FROM events GROUP BY user_id, ts) GROUP BY user_id")
+def newest_status(spark, d):
+    """The newest state of each key of a log of changes, of changes at the same time the last by name; the same for a stream."""
+    return windows.ledger(table(spark, d, "events").select(F.col("user_id").alias("job_id"), "ts", F.col("event_type").alias("status"))).withColumnRenamed("job_id", "user_id")
+
+
 @query(f"{JOBS} SELECT job_id, queued_at FROM ingest_job WHERE status = 'processing' AND queued_at < timestamp '{NOW}' - INTERVAL 30 MINUTE")
 def stranded_docs(spark, d):
     return j.stranded(jobs(spark, d), NOW).select("job_id", "queued_at")

@@ -26,5 +26,6 @@ def sessions(events: DataFrame, gap: str, delay: str = "1 hour") -> DataFrame:
 
 
 def ledger(changes: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """The newest status of each job from a stream of its changes (job_id, ts, status)."""
-    return _late(changes, delay).groupBy("job_id").agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts"))
+    """The newest status of each job from its changes (job_id, ts, status); of changes at the same time the last by name."""
+    newest = F.max(F.struct("ts", "status")).alias("newest")
+    return _late(changes, delay).groupBy("job_id").agg(newest).select("job_id", "newest.status", "newest.ts")
