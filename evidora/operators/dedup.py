@@ -95,10 +95,11 @@ def near_duplicate_decisions(docs: DataFrame, least: float = 0.95, length_ratio:
     (FINANCIAL), or with one that is no contract, is reviewed whole.  The others are grouped by tight key; a group in several
     languages is reviewed, and in the rest a member is superseded if it shares ``least`` of its word trigrams with the
     group's canonical document and their lengths are within ``length_ratio``, else reviewed.  Only keys, hashes and lengths
-    are grouped; texts join for the pairs of a member and its canonical document.
+    are grouped; trigrams, as hashes, are made for those documents only whose length fits, and join for the pairs of a member
+    and its canonical document.
     """
     keyed = docs.select("document_id", "project_id", "doc_type", "title", "lifecycle", "chunk_count", content_hash(F.col("text")).alias("hash"), stem(F.col("title")).alias("stem"),
-                        tight_key(F.col("title")).alias("tight"), language_tag(F.col("title")).alias("language")).where(F.length("stem") >= 8).withColumn("project", F.coalesce("project_id", F.lit("")))
+                        tight_key(F.col("title")).alias("tight"), language_tag(F.col("title")).alias("language"), F.length("text").alias("length")).where(F.length("stem") >= 8).withColumn("project", F.coalesce("project_id", F.lit("")))
     kind = F.coalesce("doc_type", F.lit(""))
     clusters = (keyed.groupBy("stem", "project").agg(F.count("*").alias("n"), (F.min("hash") != F.max("hash")).alias("differ"), F.max(kind.isin(*FINANCIAL)).alias("financial"), F.min(kind.isin(*CONTRACTS)).alias("contracts"))
                 .where("n > 1 and differ"))
@@ -106,19 +107,22 @@ def near_duplicate_decisions(docs: DataFrame, least: float = 0.95, length_ratio:
     members = keyed.join(clusters.select("stem", "project", whole.alias("whole")), ["stem", "project"])
     reviewed = members.where("whole is not null").select("document_id", F.lit(None).cast("long").alias("canonical"), F.lit("review").alias("decision"), F.col("whole").alias("reason"))
     single = members.where("whole is null")
-    best = F.min(F.struct((-lifecycle_rank(F.col("lifecycle"))).alias("a"), F.when(F.col("title").rlike("(?i)signed"), 0).otherwise(1).alias("b"), F.when(F.col("title").rlike(r"(?i)\.pdf$"), 0).otherwise(1).alias("c"), (-F.coalesce("chunk_count", F.lit(0))).alias("d"), "document_id"))
+    best = F.min(F.struct((-lifecycle_rank(F.col("lifecycle"))).alias("a"), F.when(F.col("title").rlike("(?i)signed"), 0).otherwise(1).alias("b"), F.when(F.col("title").rlike(r"(?i)\.pdf$"), 0).otherwise(1).alias("c"), (-F.coalesce("chunk_count", F.lit(0))).alias("d"), "document_id", "length"))
     groups = (single.groupBy("stem", "project", "tight").agg(F.count("*").alias("n"), (F.min("hash") != F.max("hash")).alias("differ"), (F.min("language") != F.max("language")).alias("languages"), best.alias("best"))
-              .where("n > 1 and differ").select("stem", "project", "tight", F.coalesce("languages", F.lit(False)).alias("languages"), F.col("best.document_id").alias("canonical")))
+              .where("n > 1 and differ").select("stem", "project", "tight", F.coalesce("languages", F.lit(False)).alias("languages"), F.col("best.document_id").alias("canonical"), F.col("best.length").alias("canonical_length")))
     grouped = single.join(groups, ["stem", "project", "tight"])
     translated = grouped.where("languages").select("document_id", F.lit(None).cast("long").alias("canonical"), F.lit("review").alias("decision"), F.lit("translations").alias("reason"))
-    texts = docs.select("document_id", F.length("text").alias("length"), shingles(F.col("text")).alias("grams"))
-    other = texts.select(F.col("document_id").alias("canonical"), F.col("length").alias("canonical_length"), F.col("grams").alias("canonical_grams"))
-    pairs = grouped.where("not languages and document_id <> canonical").select("document_id", "canonical").join(texts, "document_id").join(other, "canonical")
+    ratio = F.least("length", "canonical_length") / F.greatest("length", "canonical_length", F.lit(1))
+    pairs = grouped.where("not languages and document_id <> canonical").select("document_id", "canonical", F.coalesce(ratio >= length_ratio, F.lit(False)).alias("fits"))
+    fitting = pairs.where("fits")
+    wanted = fitting.select("document_id").unionByName(fitting.select(F.col("canonical").alias("document_id"))).distinct()
+    texts = docs.join(wanted, "document_id", "left_semi").select("document_id", F.transform(shingles(F.col("text")), lambda g: F.xxhash64(g)).alias("grams"))
+    other = texts.select(F.col("document_id").alias("canonical"), F.col("grams").alias("canonical_grams"))
     shared = F.size(F.array_intersect("grams", "canonical_grams"))
     similarity = F.coalesce(F.try_divide(shared, F.size("grams") + F.size("canonical_grams") - shared), F.lit(0.0))
-    ratio = F.least("length", "canonical_length") / F.greatest("length", "canonical_length", F.lit(1))
-    alike = (similarity >= least) & (ratio >= length_ratio)
-    compared = pairs.select("document_id", "canonical", F.when(alike, "supersede").otherwise("review").alias("decision"), F.when(alike, "near-duplicate").otherwise("differs").alias("reason"))
+    close = fitting.join(texts, "document_id").join(other, "canonical").select("document_id", "canonical", (similarity >= least).alias("alike"))
+    judged = close.unionByName(pairs.where("not fits").select("document_id", "canonical", F.lit(False).alias("alike")))
+    compared = judged.select("document_id", "canonical", F.when(F.col("alike"), "supersede").otherwise("review").alias("decision"), F.when(F.col("alike"), "near-duplicate").otherwise("differs").alias("reason"))
     return reviewed.unionByName(translated).unionByName(compared)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,3 +28,21 @@ def spearman(pairs: DataFrame, by: str, a: str, b: str) -> DataFrame:
     """Rank correlation of two rankings without ties in each group; null for a single member."""
     n = F.count("*")
     return pairs.groupBy(by).agg(F.round(1 - F.try_divide(6 * F.sum(F.pow(F.col(a) - F.col(b), 2)), n * (n * n - 1)), 6).alias("spearman"), n.alias("n"))
+
+
+def searched(golden: DataFrame, found: DataFrame) -> DataFrame:
+    """query_id, first and returned: at which document of its results (query_id, document_id, place; chunks of a document count once) each question has the expected one, 0 if it has not.
+
+    A question without results counts as well.
+    """
+    best = found.groupBy("query_id", "document_id").agg(F.min("place").alias("best"))
+    places = best.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("best", "document_id")))
+    rows = golden.join(places, "query_id", "left").groupBy("query_id")
+    return rows.agg(F.coalesce(F.min(F.when(F.col("document_id") == F.col("expected"), F.col("n"))), F.lit(0)).alias("first"), F.count("document_id").alias("returned"))
+
+
+def run_scores(run: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """One row: queries, recall at each k, mrr, and how many questions came back empty."""
+    n = F.count("*")
+    return run.agg(n.alias("queries"), *(F.round(F.count_if((F.col("first") >= 1) & (F.col("first") <= k)) / n, 6).alias(f"recall_{k}") for k in ks),
+                   F.round(F.avg(F.when(F.col("first") > 0, 1.0 / F.col("first")).otherwise(0.0)), 6).alias("mrr"), F.count_if(F.col("returned") == 0).alias("empty"))

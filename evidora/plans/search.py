@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from evidora.functions import stemming
 from evidora.operators import alias_graph as ag
+from evidora.operators import evaluation as v
 from evidora.operators import search as s
 from evidora.operators import text_index as ti
 from evidora.operators import vector_index as vi
@@ -159,6 +160,39 @@ def keyword_many(spark, d):
     return _keyword_many(spark, d)
 
 
+# Every twentieth document is looked for by some words from its own text.
+_GOLD = f"(SELECT document_id AS query_id, array_to_string(regexp_split_to_array(text, '\\s+')[3:14], ' ') AS text FROM rag_documents WHERE document_id % 20 = 0 AND {RETRIEVABLE})"
+
+
+def golden(spark, d):
+    """query_id (the document that is to be found) and text."""
+    docs = documents(spark, d).where(retrievable() & (F.col("document_id") % 20 == 0))
+    return docs.select(F.col("document_id").alias("query_id"), F.array_join(F.slice(F.split("text", r"\s+"), 3, 12), " ").alias("text"))
+
+
+_RUN = f"""{BOTH}, gold AS (SELECT * FROM {_GOLD}), {_EACH.replace(_QUESTIONS, "gold")}, rd AS (SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY min(place)) AS place FROM km WHERE place <= 15 GROUP BY query_id, document_id),
+fi AS (SELECT gold.query_id, coalesce(place, 0) AS first, (SELECT count(*) FROM rd r WHERE r.query_id = gold.query_id) AS returned FROM gold LEFT JOIN rd ON rd.query_id = gold.query_id AND rd.document_id = gold.query_id)"""
+
+
+def _run(spark, d):
+    """first (0: not found) and returned for each golden question, by a search of all."""
+    gold = golden(spark, d)
+    found = ti.search(postings(spark, d), documents(spark, d), gold, ceiling=40, all_of=0, term_df=term_df(spark, d))
+    return v.searched(gold.select("query_id", F.col("query_id").alias("expected")), found)
+
+
+@query(f"{_RUN} SELECT query_id, cast(first AS integer) AS first, returned FROM fi")
+def retrieval_run(spark, d):
+    """Where a keyword search of all golden questions finds the expected document."""
+    return _run(spark, d)
+
+
+@query(f"{_RUN} SELECT count(*) AS queries, " + ", ".join(f"round(count(*) FILTER (first BETWEEN 1 AND {k}) / count(*), 6) AS recall_{k}" for k in (1, 3, 5, 10)) + ", round(avg(CASE WHEN first > 0 THEN 1.0::double / first ELSE 0 END), 6) AS mrr, count(*) FILTER (returned = 0) AS empty FROM fi")
+def retrieval_run_scores(spark, d):
+    """Recall and mean reciprocal rank of that search."""
+    return v.run_scores(_run(spark, d))
+
+
 _EACH_VECTOR = f"""qv AS (SELECT conv_id * 1000 + turn AS query_id, q.embedding AS q FROM conversations JOIN embeddings q ON q.vec_id = conv_id * 20 % 500 WHERE role = 'user'),
 vs AS (SELECT query_id, e.vec_id AS document_id, {COS.replace('a::', 'q::').replace('b::', 'e.embedding::')} AS similarity FROM qv, embeddings e),
 vm AS (SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, authority_score DESC NULLS LAST, created_at DESC, document_id) AS place FROM vs JOIN rag_documents USING (document_id) WHERE similarity >= 0.18 AND {RETRIEVABLE})"""
