@@ -56,7 +56,7 @@ def test_stages_on_empty_and_awkward_tables(spark):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql_gives_the_same_rows(spark, small, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "labels", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{small}/{t}.parquet')")
     want = con.sql(registry.oracle_sql()[name])
     got = registry.queries()[name](spark, small)
