@@ -9,6 +9,8 @@ share theirs and form one segment.  The steps:
    key; a bucket returns a bit map of the keys that came more than once.  The
    map has at most ``MAP_BITS`` bits.  It only spares sending segments that
    cannot match; when it fills up more segments are sent and nothing is lost.
+   A bucket also counts each key's segments: the entries sent to it, and what
+   a task adds for a key that came more often than it was sent.
 2. Segments meet by 40 bits of their key.  Equal ones are collapsed.  Each distinct segment is a
    shard with a transform of its own; all shards of a block are merged by
    refining their interleave: a pass puts the order of all rotations right for
@@ -51,7 +53,6 @@ MAP_BITS = 1 << 28    # of the map that is broadcast, at most (32 MB)
 BUCKET_KEYS = 1 << 20
 BLOCK_ROWS = 30000    # rows that a task judges at once
 HOT_ROWS = 8192       # of one key; above, its rows are spread
-COUNTED = 8           # a task reports how often a key came if more often than this, so a count lacks at most this for each task
 MERGE_BYTES = 1 << 17
 END = 0xFF            # a byte that UTF-8 never has ends a segment
 
@@ -169,14 +170,14 @@ def repeated_keys(rows: DataFrame, keys_of, expected: float) -> tuple[np.ndarray
         key, row = key[order], row[order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         many = np.maximum.reduceat(row, first) != np.minimum.reduceat(row, first)
-        sent = coded(np.repeat(key[first], 1 + many), buckets)  # twice: it has come more than once already
+        times, copies = np.diff(np.r_[first, len(key)]), 1 + many  # twice: it has come in more than one row already
+        sent = coded(np.repeat(key[first], copies), buckets)
         bucket, packed = by_bucket(sent, sent.astype(np.uint32))
         yield pa.RecordBatch.from_arrays([bucket, packed, pa.nulls(len(bucket), pa.binary())], ["bucket", "keys", "counts"])
-        times = np.diff(np.r_[first, len(key)])
-        often = times > COUNTED
-        if often.any():
-            sent = coded(key[first][often], buckets)
-            bucket, packed = by_bucket(sent, np.c_[sent.astype(np.uint32), times[often].astype(np.uint32)])
+        more = times > copies
+        if more.any():
+            sent = coded(key[first][more], buckets)
+            bucket, packed = by_bucket(sent, np.c_[sent.astype(np.uint32), (times - copies)[more].astype(np.uint32)])
             yield pa.RecordBatch.from_arrays([bucket, pa.nulls(len(bucket), pa.binary()), packed], ["bucket", "keys", "counts"])
 
     def meet(table):
@@ -184,10 +185,11 @@ def repeated_keys(rows: DataFrame, keys_of, expected: float) -> tuple[np.ndarray
         again = low[1:][low[1:] == low[:-1]]
         bitmap = np.zeros(1 << each, bool)
         bitmap[again >> np.uint32(32 - each)] = True
-        counts = np.frombuffer(b"".join(x for x in table.column("counts").to_pylist() if x), np.uint32).reshape(-1, 2)
-        counts = counts[np.argsort(counts[:, 0], kind="stable")].astype(np.int64)
-        first = np.flatnonzero(np.diff(counts[:, 0], prepend=-1))
-        hot = counts[first, 0][np.add.reduceat(counts[:, 1], first) > HOT_ROWS] if len(first) else counts[:0, 0]
+        first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+        name, times = low[first], np.diff(np.r_[first, len(low)]).astype(np.int64)
+        more = np.frombuffer(b"".join(x for x in table.column("counts").to_pylist() if x), np.uint32).reshape(-1, 2)
+        np.add.at(times, np.searchsorted(name, more[:, 0]), more[:, 1])
+        hot = name[times > HOT_ROWS]
         return pa.table({"bucket": table.column("bucket")[:1], "bits": pa.array([np.packbits(bitmap).tobytes()], pa.binary()), "hot": pa.array([hot.astype(np.uint32).tobytes()], pa.binary())})
 
     sent = rows.mapInArrow(send, "bucket int, keys binary, counts binary")

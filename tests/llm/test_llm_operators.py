@@ -289,12 +289,12 @@ def test_no_task_holds_a_hot_key(spark, corpus, monkeypatch):
 
     passage = "shared words of the passage 0123"
     rows = [(i, t) for i, t in corpus if t != "word " * 3000] + [(1000 + i, f"{i * i} own start {i % 3} {passage} {i % 5} {i * 7} own end of this row, {'-' * (i % 50 + 60)}") for i in range(60)]
-    digest = lambda: sorted(map(tuple, substring.dedup_digest(documents(spark, rows)).collect()), key=repr)
-    want = digest()
+    digest = lambda parts: sorted(map(tuple, substring.dedup_digest(documents(spark, rows).repartition(parts)).collect()), key=repr)
+    want = digest(2)
     monkeypatch.setattr(substring, "HOT_ROWS", 6, raising=False)
-    monkeypatch.setattr(substring, "COUNTED", 0, raising=False)
     monkeypatch.setattr(substring, "removed_windows", bounded)
-    assert digest() == want
+    assert digest(2) == want
+    assert digest(48) == want  # a task has about one row of the passage
 
 
 def test_leaks_against_plain_alignment(spark):
