@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from evidora.operators.governance import retrievable
 from evidora.plans.governance import DOCS, RETRIEVABLE
 from evidora.plans.registry import query
-from evidora.sources import files
+from evidora.sources import archives, files
+from evidora.sources.versions import kept_folder
 from evidora.sources.views import documents, table
 
 _EXT = "lower(nullif(regexp_extract(path, '\\.([A-Za-z0-9]{1,5})$', 1), ''))"
@@ -29,6 +30,15 @@ def markdown_artifacts(spark, d):
     return documents(spark, d).select("document_id", F.sha2(files.markdown_artifact(F.col("text"), title=F.col("title"), project=F.col("project_id"), period=F.col("period")), 256).alias("digest"))
 
 
+@query("SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS size, sha256(coalesce(text, '')) AS digest, CAST(NULL AS VARCHAR) AS error FROM documents")
+def archive_members(spark, d):
+    """All documents, packed in archives and read from them member by member."""
+    rows = table(spark, d, "documents").select(F.concat("lang", F.lit("/"), "doc_id", F.lit(".txt")).alias("member"), F.col("text").alias("content"))
+    folder = kept_folder(spark, "archives", d, ("documents",), lambda f: archives.write_archives(rows, f).agg(F.sum("members")).collect())
+    found = archives.read_members(archives.members(archives.archives_in(spark, folder)))
+    return found.select(F.regexp_extract("path", r"(-?\d+)\.txt$", 1).cast("long").alias("doc_id"), "size", F.sha2("content", 256).alias("digest"), "error")
+
+
 _HITS = f"{DOCS}, h AS (SELECT document_id, row_number() OVER (ORDER BY (document_id * 53) % 97 DESC, document_id) AS place FROM rag_documents WHERE {RETRIEVABLE}), c AS (SELECT * FROM h WHERE place <= 40)"
 
 
