@@ -11,7 +11,7 @@ from evidora.operators.governance import retrievable
 from evidora.plans.governance import DOCS, RETRIEVABLE
 from evidora.plans.registry import query
 from evidora.sources.views import JOBS_SQL, as_sql, documents, jobs, table
-from evidora.streaming import windows
+from evidora.streaming import leases, windows
 
 JOBS = as_sql(JOBS_SQL)
 NOW = "2024-01-20 12:00:00"
@@ -46,6 +46,17 @@ def newest_status(spark, d):
     return windows.ledger(table(spark, d, "events").select(F.col("user_id").alias("job_id"), "ts", F.col("event_type").alias("status"))).withColumnRenamed("job_id", "user_id")
 
 
+_CHANGES = "user_id AS job_id, event_id AS seq, ts, CASE event_type WHEN 'signup' THEN 'processing' WHEN 'view' THEN 'processing' WHEN 'click' THEN 'done' ELSE 'queued' END AS status, cast(event_id % 5 AS int) AS attempts, cast(3 AS int) AS max_attempts"
+
+
+@query(f"""WITH c AS (SELECT {_CHANGES}, ts + to_seconds(3600 + 600 * (event_id % 400)) AS lease_expires_at FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL), l AS (SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, seq) AS following FROM c)
+SELECT job_id, seq, lease_expires_at AS expired_at, CASE WHEN attempts >= max_attempts THEN 'error' ELSE 'queued' END AS status FROM l WHERE status = 'processing' AND lease_expires_at <= timestamp '{NOW}' AND (following IS NULL OR following > lease_expires_at)""")
+def lease_expiries(spark, d):
+    """Each user's events as the changes of a job: leases that ran out before the next change; the same for a stream."""
+    changes = table(spark, d, "events").selectExpr(*_CHANGES.split(", "), "ts + make_interval(0, 0, 0, 0, 0, 0, 3600 + 600 * (event_id % 400)) AS lease_expires_at")
+    return leases.expiries(changes, NOW)
+
+
 @query(f"{JOBS} SELECT job_id, queued_at FROM ingest_job WHERE status = 'processing' AND queued_at < timestamp '{NOW}' - INTERVAL 30 MINUTE")
 def stranded_docs(spark, d):
     return j.stranded(jobs(spark, d), NOW).select("job_id", "queued_at")

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from evidora.operators import jobs
-from evidora.streaming import windows
+from evidora.streaming import leases, windows
 
 NOW = datetime(2024, 1, 20, 12)
 SCHEMA = "job_id long, status string, attempts int, max_attempts int, queued_at timestamp_ntz, lease_expires_at timestamp_ntz"
@@ -66,3 +66,39 @@ def test_a_stream_of_changes_ends_in_the_table_s_ledger(spark, tmp_path):
     for found in (spark.table("newest_jobs"), whole):
         assert {r.job_id: (r.ts, r.status) for r in found.collect()} == want
     assert whole.where(F.col("status").isNull()).count() == 0
+
+
+CHANGES = "job_id long, seq long, ts timestamp, status string, attempts int, max_attempts int, lease_expires_at timestamp"
+
+
+def run_out(rows, now):
+    """Each job's changes read in order."""
+    out = set()
+    for job in {r[0] for r in rows} - {None}:
+        own = sorted((r for r in rows if r[0] == job and r[2] is not None), key=lambda r: r[2:0:-1])
+        for i, (_, seq, _, status, attempts, most, until) in enumerate(own):
+            if status == "processing" and until is not None and until <= now and (i + 1 == len(own) or own[i + 1][2] > until):
+                out.add((job, seq, until, "error" if attempts is not None and attempts >= most else "queued"))
+    return out
+
+
+def test_timers_of_a_stream_expire_the_leases_of_the_table(spark, tmp_path):
+    rng = random.Random(11)
+    rows = []
+    for seq in range(600):
+        at = NOW + timedelta(seconds=seq * 20 + rng.randrange(600))
+        lease = rng.choice((None, at + timedelta(seconds=rng.randrange(1, 900), microseconds=rng.randrange(3) * 333_333)))
+        rows.append((rng.choice((0, 0, 0, *range(1, 25))), seq, at, rng.choice(("processing", "processing", "done", None)), rng.choice((None, 1, 3, 4)), 3, lease))
+    rows += [(5, 700, rows[9][2], "processing", 1, 3, rows[9][2]), (None, 701, NOW, "processing", 1, 3, NOW), (6, 702, None, "processing", 1, 3, NOW)]
+    last = NOW + timedelta(days=2)
+    parts = [rows[-3:] + rows[:100], rows[100:200], rows[200:420], rows[420:-3], [(99, 800, last, "done", 1, 3, None)], [(99, 801, last + timedelta(seconds=1), "done", 1, 3, None)]]
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, CHANGES).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    source = spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/in/*")
+    stream = leases.expiry_stream(source, "15 minutes").writeStream.format("memory").queryName("expired").outputMode("append").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+    stream.awaitTermination(240)
+    want = run_out([r for part in parts for r in part], last)
+    assert len(want) > 50
+    for found in (spark.table("expired"), leases.expiries(spark.createDataFrame([r for part in parts for r in part], CHANGES), str(last))):
+        got = [(r.job_id, r.seq, r.expired_at, r.status) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
