@@ -10,7 +10,7 @@ from evidora.plans.governance import DOCS, RETRIEVABLE
 from evidora.plans.registry import query
 from evidora.sources import archives, files
 from evidora.sources.versions import kept_folder
-from evidora.sources.views import documents, table
+from evidora.sources.views import DOCUMENTS_SQL, METRICS_SQL, as_sql, documents, metrics, table
 
 _EXT = "lower(nullif(regexp_extract(path, '\\.([A-Za-z0-9]{1,5})$', 1), ''))"
 _PATH = "concat('uploads/', cast(doc_id as varchar), case doc_id % 5 when 0 then '.pdf' when 1 then '.TXT' when 2 then '/../x.md' when 3 then '.exe' else '' end)"
@@ -24,6 +24,22 @@ def upload_validation(spark, d):
     return p.select("doc_id", files.mime_type(F.col("path")).alias("mime"), files.accepted(F.col("path"), F.col("size")).alias("accepted"))
 
 
+_UPLOAD = ("document_id",
+           "concat(CASE WHEN document_id % 11 = 0 THEN 'up' ELSE 'uploads' END, '/', substr(md5(coalesce(text, '')), 1, 18), CASE WHEN document_id % 7 = 0 THEN '-' ELSE substr(md5(title), 1, 18) END, CASE WHEN document_id % 13 = 0 THEN '/a' ELSE '' END, '/f') AS storage_path",
+           "concat(title, CASE document_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.DOCX ' WHEN 2 THEN '.exe' WHEN 3 THEN '.csv' ELSE '' END) AS file_name",
+           "CASE WHEN document_id % 6 = 0 THEN NULL ELSE (document_id % 9) * 10000000 END AS size")
+_JOB_PROJECTS = "SELECT DISTINCT project_id FROM metric_definition WHERE project_id <> 'P3'"
+
+
+@query(f"""{as_sql(DOCUMENTS_SQL, METRICS_SQL)}, u AS (SELECT {', '.join(_UPLOAD)}, project_id AS asked FROM rag_documents), e AS (SELECT *, coalesce(lower(nullif(regexp_extract(trim(file_name), '\\.([A-Za-z0-9]{{1,5}})$', 1), '')), '') AS ext FROM u)
+SELECT storage_path, file_name, CASE WHEN NOT regexp_full_match(storage_path, 'uploads/[0-9a-fA-F-]{{36}}/[^/]+') THEN 'path' WHEN trim(coalesce(file_name, '')) = '' THEN 'no name' WHEN ext NOT IN {files.JOB_TYPES} THEN 'type' WHEN size <= 0 THEN 'empty' WHEN size > 52428800 THEN 'too large' END AS issue,
+nullif(ext, '') AS file_type, p.project_id FROM e LEFT JOIN ({_JOB_PROJECTS}) p ON p.project_id = asked""")
+def upload_jobs(spark, d):
+    """All documents as uploads, with what is wrong with each and the projects that are known."""
+    uploads = documents(spark, d).selectExpr(*_UPLOAD, "project_id")
+    return files.job_inputs(uploads, metrics(spark, d).where("project_id <> 'P3'").select("project_id"))
+
+
 @query(f"{DOCS} SELECT document_id, sha256(concat_ws(chr(10), '---', 'title: \"' || title || '\"', CASE WHEN project_id IS NOT NULL THEN 'project: \"' || project_id || '\"' END, CASE WHEN period IS NOT NULL THEN 'period: \"' || period || '\"' END, '---', '', text)) AS digest FROM rag_documents")
 def markdown_artifacts(spark, d):
     """Digests of the artifacts of all documents."""
