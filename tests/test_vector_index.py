@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -95,3 +96,23 @@ def test_no_vectors_and_odd_questions(spark, data):
     path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/index"
     empty = vi.build(spark.createDataFrame([], "vec_id long, embedding array<float>"), path)
     assert vi.search(empty, asked(spark, x, [1]), about).count() == 0
+
+
+def test_centroids_are_fitted_in_little_memory():
+    """The scores of all sampled vectors against all cells never stand in memory at once (they would be 268 MB here)."""
+    x = unit(np.random.default_rng(4).normal(size=(65536, 4))).astype(np.float32)
+    tracemalloc.start()
+    c = vi.centroids_of(x, 512)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert c.shape == (512, 4) and np.allclose(np.linalg.norm(c, axis=1), 1)
+    assert peak < 40e6
+
+
+def test_the_sample_is_bounded_and_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(vi, "SAMPLE", 500)
+    v = spark.range(5000).select(F.col("id").alias("vec_id"), F.array(*(F.rand(i).cast("float") + 0.1 for i in range(3))).alias("embedding"))
+    v = spark.createDataFrame(v.collect(), v.schema)
+    some = vi._sample(v, 5000)
+    assert 400 < len(some) < 600 and np.allclose(np.linalg.norm(some, axis=1), 1, atol=1e-6)
+    assert np.array_equal(some, vi._sample(v.repartition(7), 5000))
