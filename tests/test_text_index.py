@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from evidora.functions import stemming
 from evidora.operators import text_index as ti
 from evidora.plans import search as plans
-from evidora.sources.views import documents
+from evidora.sources.views import chunks, documents
 
 # Words of one stem in a row (a folded word stands for itself).
 FAMILIES_EN = ("loan loans", "company companies", "rate rates", "box boxes", "class classes", "value valued values valuing valuation valuations", "finance financed financing finances", "sign signed signing signs", "plan planned planning plans", "lend lending lends",
@@ -159,3 +159,34 @@ def test_kept_counts_follow_a_series_of_changes(spark, corpus):
         version = ti.refresh_frequency(kept, changed, before, after, txn=f"step {i}")
         assert sorted(map(tuple, kept.read().select("lexeme", "df").collect())) == full(after)
         assert ti.refresh_frequency(kept, changed, before, after, txn=f"step {i}") == version  # a retry adds nothing
+
+
+def test_postings_are_made_without_a_shuffle(spark):
+    texts = [(10, 1, "P1", None, "The loan, the loans: financiación firmada. Loan!"), (20, 2, None, "tax", ""), (30, 3, None, None, None), (40, 4, None, None, "¡Contratos y cuentas, the and x")]
+    parts = spark.createDataFrame(texts, "chunk_id long, document_id long, chunk_project string, chunk_doc_type string, content string")
+    rows = ti.postings(parts)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = {(r.lexeme, r.chunk_id): (r.document_id, r.chunk_project, r.chunk_doc_type, r.positions) for r in rows.collect()}
+    # The definition, by the column functions.
+    word = parts.select("chunk_id", F.posexplode(stemming.words(F.col("content"))).alias("position", "word")).where(stemming.counts(F.col("word")))
+    want = {(r.lexeme, r.chunk_id): r.positions for r in word.select("chunk_id", "position", F.explode(stemming.lexemes(F.col("word"))).alias("lexeme")).groupBy("lexeme", "chunk_id").agg(F.sort_array(F.collect_list("position")).alias("positions")).collect()}
+    assert {k: v[3] for k, v in got.items()} == want and got[("loan", 10)][:3] == (1, "P1", None)
+
+
+def test_counts_of_chunks_are_those_of_their_postings(spark, small, monkeypatch):
+    monkeypatch.setattr(ti, "MOST", 50)
+    parts, docs = chunks(spark, small), documents(spark, small)
+    want = {r.lexeme: r.df for r in ti.document_frequency(ti.postings(parts), docs).collect()}
+    assert {r.lexeme: r.df for r in ti.chunk_frequency(parts, docs).collect()} == want
+
+
+def test_a_search_of_many_lexemes_is_the_same(spark, small, monkeypatch):
+    """Past ``FEW`` lexemes only the postings of those that were chosen are read."""
+    docs, rows = documents(spark, small), ti.postings(chunks(spark, small)).persist()
+    asked = docs.where("document_id % 9 = 0").select(F.col("document_id").alias("query_id"), F.substring("text", 1, 300).alias("text"))
+    for limits in ({}, {"ceiling": 40, "all_of": 0}, {"ceiling": 0}, {"ceiling": 40, "term_df": ti.document_frequency(rows, docs)}):
+        monkeypatch.setattr(ti, "FEW", 1 << 20)
+        want = sorted(map(tuple, ti.search(rows, docs, asked, **limits).collect()))
+        monkeypatch.setattr(ti, "FEW", 3)
+        assert sorted(map(tuple, ti.search(rows, docs, asked, **limits).collect())) == want and want
+    rows.unpersist()
