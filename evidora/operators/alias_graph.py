@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from evidora.functions.columns import fold
 from evidora.operators.governance import retrievable
+from evidora.sources.versions import staged
 
 AT_ONCE = 50_000         # aliases of an automaton: a few MB in each task
 LEAST_DOC, LEAST_CHUNK = 3, 7
 TOP_DOCS, TOP_CHUNKS = 32, 28
+WORDS = 8                # points that a chunk can have for a question's words
 ENTITY = "entity string, kind string, weight int, aliases array<string>, scope string, doc_types array<string>, only_project string, adds array<string>, adds_for string"
 
 
@@ -126,23 +128,76 @@ def documents_for(understood_questions: DataFrame, docs: DataFrame, entities: Da
     return rows.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top).select("query_id", "document_id", "doc_score")
 
 
+def _profiles(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct entities, scopes and types of understood questions, numbered by ``query_id`` (the least of their questions), and each question's profile."""
+    same = ["entities", "scopes", "types"]
+    profiles = asked.groupBy(*same).agg(F.min("query_id").alias("profile"))
+    return profiles.withColumnRenamed("profile", "query_id"), asked.join(profiles, same).select(F.col("query_id"), "text", "profile")
+
+
 def expand(chunks: DataFrame, docs: DataFrame, questions: DataFrame, entities: DataFrame, top: int = TOP_CHUNKS) -> DataFrame:
     """query_id, chunk_id, document_id, score, similarity and place of the chunks that name what a question names.
 
     A chunk has 0.45 of its document's score, the weights of the question's entities that its title and text hold, a point for
     each of up to eight of the question's longer words, and four more from two and again from three entities on.
     """
-    asked = understood(questions, entities)
-    found = documents_for(asked, docs, entities)
-    titled = chunks.join(found.select("document_id").distinct(), "document_id", "left_semi").join(docs.select("document_id", "title"), "document_id")
-    titled = titled.select("chunk_id", "document_id", fold(F.concat_ws(" ", "title", "content")).alias("text"))
+    profiles, asked = _profiles(staged(understood(questions, entities), "understood"))
+    profiles = staged(profiles, "profiles")
+    # What a document or a chunk has by a question's entities, scopes and types is the same for all questions of a profile.
+    found = staged(documents_for(profiles, docs, entities), "graph-documents").withColumnRenamed("query_id", "profile")
+    some = staged(found.select("document_id").distinct(), "graph-ids")  # a profile has ``TOP_DOCS`` documents at most
+    titled = chunks.join(some, "document_id", "left_semi").join(docs.join(some, "document_id", "left_semi").select("document_id", "title"), "document_id")
+    titled = staged(titled.select("chunk_id", "document_id", fold(F.concat_ws(" ", "title", "content")).alias("text")), "graph-chunks")
     rows = titled.join(named(titled, entities, "chunk_id"), "chunk_id", "left").withColumn("held", F.coalesce("entities", F.array().cast("array<string>"))).drop("entities")
-    words = F.array_distinct(F.filter(F.split(fold(F.col("asked")), "[^a-z0-9]+"), lambda w: F.length(w) >= 4))
-    own = asked.select("query_id", "entities", F.col("text").alias("asked")).withColumn("words", words)
-    both = found.join(own, "query_id").join(rows, "document_id")
+    of = profiles.select(F.col("query_id").alias("profile"), "entities")
     weight, kinds = _weight("entities", "held")
-    score = 0.45 * F.col("doc_score") + weight + F.least(F.lit(8), F.size(F.filter("words", lambda w: F.contains(F.col("text"), w)))) + F.when(kinds >= 3, 8).when(kinds >= 2, 4).otherwise(0)
-    scored = both.withColumn("score", F.round(score.cast("double"), 4)).where(F.col("score") >= LEAST_CHUNK)
+    base = 0.45 * F.col("doc_score") + weight + F.when(kinds >= 3, 8).when(kinds >= 2, 4).otherwise(0)
+    offered = staged(found.join(of, "profile").join(rows, "document_id").select("profile", "document_id", "chunk_id", base.cast("double").alias("base")), "graph-offered")
+    # A chunk gains ``WORDS`` at most, so one that is further behind the last that is wanted can't come in.
+    order = Window.partitionBy("profile").orderBy(F.desc("base"), "chunk_id")
+    last = offered.withColumn("r", F.row_number().over(order)).where(F.col("r") == top).select("profile", F.col("base").alias("last"))
+    offered = staged(offered.join(last, "profile", "left").where((F.coalesce("last", F.lit(float("-inf"))) <= F.col("base") + WORDS + 1e-3) & (F.col("base") + WORDS + 1e-3 >= LEAST_CHUNK)).drop("last"), "graph-offered")
+    words = F.array_distinct(F.filter(F.split(fold(F.col("text")), "[^a-z0-9]+"), lambda w: F.length(w) >= 4))
+    said = staged(asked.select("query_id", "profile", F.explode(words).alias("word")), "graph-words")
+    wanted = offered.select("chunk_id").distinct()
+    held = _held_words(titled.join(wanted, "chunk_id", "left_semi"), said.select("word").distinct())
+    hits = said.join(held.join(offered.select("profile", "chunk_id"), "chunk_id"), ["profile", "word"]).groupBy("query_id", "chunk_id").agg(F.count("*").alias("hits"))
+    both = asked.select("query_id", "profile").join(offered, "profile").join(hits, ["query_id", "chunk_id"], "left")
+    score = F.col("base") + F.least(F.lit(WORDS), F.coalesce("hits", F.lit(0)))
+    scored = both.withColumn("score", F.round(score, 4)).where(F.col("score") >= LEAST_CHUNK)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     similarity = F.round(F.least(F.greatest(0.52 + F.col("score") / 42, F.lit(0.52)), F.lit(0.98)), 6)
     return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top).select("query_id", "chunk_id", "document_id", "score", similarity.alias("similarity"), "place")
+
+
+def _held_words(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """chunk_id and word for each of the distinct ``words`` that a text (chunk_id, text) holds anywhere, by one automaton for ``AT_ONCE`` words."""
+    out = None
+    part: list[str] = []
+
+    def scan(part):
+        shared = texts.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches):
+            automaton = ahocorasick.Automaton()
+            for word in shared.value:
+                automaton.add_word(word, word)
+            automaton.make_automaton()
+            for b in batches:
+                keys, found = [], []
+                for k, t in zip(b.column("chunk_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                    hit = {w for _, w in automaton.iter(t or "")}
+                    keys += [k] * len(hit)
+                    found += hit
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.string())], ["chunk_id", "word"])
+
+        return texts.select(F.col("chunk_id").cast("long").alias("chunk_id"), "text").mapInArrow(run, "chunk_id long, word string")
+
+    for r in words.toLocalIterator():
+        part.append(r.word)
+        if len(part) == AT_ONCE:
+            out = scan(part) if out is None else out.unionByName(scan(part))
+            part = []
+    if part or out is None:
+        out = (scan(part) if out is None else out.unionByName(scan(part))) if part else texts.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.lit("").alias("word")).where("false")
+    return out

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from evidora.operators import alias_graph as ag
 from evidora.operators.governance import retrievable
+from evidora.plans import search as plans
 from evidora.plans.catalogue import QUERIES
-from evidora.sources.views import documents
+from evidora.sources.views import chunks, documents
 
 
 def table(spark, rows):
@@ -73,3 +74,11 @@ def test_no_lane_returns_an_excluded_document(spark, small, name):
     found = QUERIES[name](spark, small).select("document_id").distinct()
     allowed = documents(spark, small).where(retrievable()).select("document_id", F.lit(True).alias("allowed"))
     assert found.join(allowed, "document_id", "left").where("allowed is null").count() == 0
+
+
+def test_documents_are_ranked_once_for_questions_that_name_the_same(spark, small, monkeypatch):
+    asked = spark.range(300).selectExpr("id as query_id", "concat(case when id % 2 = 0 then 'the board minutes of loan ' else 'capex and cash flow ' end, cast(id as string)) as text")
+    ranked, whole = [], ag.documents_for
+    monkeypatch.setattr(ag, "documents_for", lambda q, *rest: ranked.append(q.count()) or whole(q, *rest))
+    got = ag.expand(chunks(spark, small), documents(spark, small), asked, plans.entities(spark))
+    assert got.select("query_id").distinct().count() > 200 and ranked == [2]
