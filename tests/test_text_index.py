@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 import re
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from evidora.functions import stemming
 from evidora.operators import text_index as ti
 from evidora.plans import search as plans
+from evidora.sources.versions import kept_already
 from evidora.sources.views import chunks, documents
 
 # Words of one stem in a row (a folded word stands for itself).
@@ -190,3 +192,24 @@ def test_a_search_of_many_lexemes_is_the_same(spark, small, monkeypatch):
         monkeypatch.setattr(ti, "FEW", 3)
         assert sorted(map(tuple, ti.search(rows, docs, asked, **limits).collect())) == want and want
     rows.unpersist()
+
+
+def test_postings_on_demand_are_those_of_the_index(spark, small):
+    parts = chunks(spark, small)
+    whole = ti.postings(parts).persist()
+    for text in (plans.QUERY, plans._QUERY, plans.COMMON, "río companies"):
+        named = stemming.lexemes_of(text)
+        assert sorted(map(repr, ti.postings(parts, ti.only_named(named)).collect())) == sorted(map(repr, whole.where(F.col("lexeme").isin(named)).collect()))
+    docs, asked = documents(spark, small), plans.questions(spark, small)
+    for limits in ({}, {"ceiling": 40, "all_of": 0}, {"ceiling": 0}):
+        assert sorted(map(tuple, ti.search_chunks(parts, docs, asked, **limits).collect())) == sorted(map(tuple, ti.search(whole, docs, asked, **limits).collect()))
+    whole.unpersist()
+
+
+def test_no_query_makes_an_index_of_all(spark, small, tmp_path):
+    own = shutil.copytree(small, tmp_path / "tables")
+    for made in (plans.hybrid_retrieve, plans.retrieve_standard, plans.retrieve_trusted, plans.retrieve_diagnostics, plans.keyword_many):
+        got = made(spark, str(own)).collect()
+        assert kept_already(spark, "postings", str(own), ("documents",)) is None
+        plans.postings(spark, small)
+        assert sorted(map(repr, got)) == sorted(map(repr, made(spark, small).collect())) and got
