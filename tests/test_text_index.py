@@ -7,6 +7,7 @@ import random
 import re
 import shutil
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,6 +183,36 @@ def test_counts_of_chunks_are_those_of_their_postings(spark, small, monkeypatch)
     assert {r.lexeme: r.df for r in ti.chunk_frequency(parts, docs).collect()} == want
 
 
+def test_chunks_are_counted_together_and_words_stemmed_once(monkeypatch):
+    rng = random.Random(11)
+    words = "loan loans lending the of board contratos financed financing x1 ab río ñandú über 2024".split()
+    texts = [None, "", " ", "loan", "loans", "ñ", *(rng.choice((" ", ", ", "ñ", "")).join(rng.choice(words) for _ in range(rng.randrange(9))) for _ in range(500)), "", None]
+    want = {}
+    for text in texts:
+        for lexeme in {x for w in re.split("[^a-z0-9]+", text or "") if w for x in ti._stems(w)}:
+            want[lexeme] = want.get(lexeme, 0) + 1
+    asked, stems = [], ti._stems
+    monkeypatch.setattr(ti, "_stems", lambda word: asked.append(word) or stems(word))
+    for kind in (pa.string(), pa.large_string()):
+        assert ti._chunk_counts(pa.array(["before", *texts, "after"], kind).slice(1, len(texts))) == want
+        assert ti._chunk_counts(pa.array([None, "", "the"], kind)) == ti._chunk_counts(pa.array([], kind)) == {}
+    asked.clear()
+    assert ti._chunk_counts(pa.array(["loan board loans"] * 1000)) == {"loan": 1000, "board": 1000, "loans": 1000} | {x: 1000 for w in ("loan", "board", "loans") for x in stems(w)}
+    assert sorted(asked) == ["board", "loan", "loans"]
+
+
+def test_rules_that_are_not_tried_change_nothing():
+    rng = random.Random(12)
+    ends = "es ies s ation ations ing ings ed ly bb dd gg mm nn pp rr tt e ee y ces amente mente acion acione a o and iend aron ieron ad id ab ar er ir".split()
+    for _ in range(20000):
+        word = "".join(rng.choice("aeiounrstldcmb17xyz") for _ in range(rng.randrange(9))) + rng.choice(["", *ends])
+        for rules in stemming.LANGUAGES:
+            plain = word
+            for found, left in rules:
+                plain = re.sub(found, left, plain)
+            assert stemming.stem(word, rules) == plain
+
+
 def test_a_search_of_many_lexemes_is_the_same(spark, small, monkeypatch):
     """Past ``FEW`` lexemes only the postings of those that were chosen are read."""
     docs, rows = documents(spark, small), ti.postings(chunks(spark, small)).persist()
