@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import tracemalloc
 
@@ -116,3 +117,14 @@ def test_the_sample_is_bounded_and_does_not_depend_on_partitions(spark, monkeypa
     some = vi._sample(v, 5000)
     assert 400 < len(some) < 600 and np.allclose(np.linalg.norm(some, axis=1), 1, atol=1e-6)
     assert np.array_equal(some, vi._sample(v.repartition(7), 5000))
+
+
+def test_blocks_do_not_go_through_the_driver(spark, data):
+    """Probes' files are small, as a question's vector stands in them again and again; the blocks that are made of them are not."""
+    index, x, _, about, _ = data
+    given = asked(spark, x, range(40)).withColumns({"project": F.lit(None).cast("string"), "doc_type": F.lit(None).cast("string"), "floor": F.lit(0.18)})
+    probes = vi.staged(vi._probes(given, index, 0, 32, False), "probes")
+    met = vi._scored(index.rows.join(about, "vec_id"), probes, 10, 0.18, DIM)
+    assert met.count() > 0
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert not [lines for lines in re.findall(r"BroadcastExchange.*\n.*(?:Project.*\n.*)?", plan) if "collect_list" in lines]
