@@ -128,3 +128,17 @@ def test_blocks_do_not_go_through_the_driver(spark, data):
     assert met.count() > 0
     plan = met._jdf.queryExecution().executedPlan().toString()
     assert not [lines for lines in re.findall(r"BroadcastExchange.*\n.*(?:Project.*\n.*)?", plan) if "collect_list" in lines]
+
+
+def test_same_questions_are_searched_once(spark, data, monkeypatch):
+    index, x, rows, about, _ = data
+    given = spark.createDataFrame([(1000 * i + j, [float(v) for v in x[i]], "P3" if j % 3 == 0 else None, None) for i in (5, 40) for j in range(30)] + [(9, [-0.0, *([1.0] * (DIM - 1))], None, None), (8, [0.0, *([1.0] * (DIM - 1))], None, None)],
+                                  "query_id long, q array<float>, project string, doc_type string")
+    searched, probes = [], vi._probes
+    monkeypatch.setattr(vi, "_probes", lambda active, *a: searched.append(active.count()) or probes(active, *a))
+    got = results(vi.search(index, given, about, 10, -1.0, exact=True))
+    assert max(searched) == 5  # two vectors with and without a project, and one more
+    for i in (5, 40):
+        for j in range(30):
+            assert got[1000 * i + j] == exact(x, rows, x[i], 10, -1.0, lambda r, j=j: j % 3 or r[2] == "P3")
+    assert got[8] == got[9] and len(got[8]) == 10
