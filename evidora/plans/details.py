@@ -398,7 +398,7 @@ def pipeline_dashboard(spark, d):
     """One row: the latest run, how many open contradictions are shown, and what waits for review."""
     c = candidates(spark, d)
     latest = table(spark, d, "orders").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest_run"))
-    shown = evidence.contradictions(c).limit(20).agg(F.count("*").alias("shown"))
+    shown = evidence.contradictions_up_to(c, 20).withColumnRenamed("n", "shown")
     return latest.join(F.broadcast(shown)).join(F.broadcast(c.agg(F.count_if(F.col("status") == "pending_review").alias("pending"))))
 
 
