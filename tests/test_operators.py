@@ -145,3 +145,19 @@ def test_files_zips_and_reports(spark, tmp_path):
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "out/csv")).first().t == 'a "b", c'
     art = spark.createDataFrame([("body", 'a "q"', None)], "b string, t string, n string").select(files.markdown_artifact(F.col("b"), title=F.col("t"), none=F.col("n"))).first()[0]
     assert art == '---\ntitle: "a \\"q\\""\n---\n\nbody'
+
+
+def test_hybrid_retrieval_fuses_scales_boosts_and_orders(spark):
+    """A document that both lanes find leads; each of the others has its own relevance, whatever lane found it; equal ones keep the fusion's order."""
+    about = "document_id long, title string, status string, review_status string, classification_source string, lifecycle string, authority_score int"
+    docs = spark.createDataFrame([(i, "Nation report" if i == 4 else "Memo", "indexed", "approved" if i == 5 else "rejected" if i == 8 else "pending", "rule", "signed", 70 if i == 7 else 10) for i in range(1, 9)], about)
+    vector = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (8, 4)], "document_id long, place int")
+    words = spark.createDataFrame([(3, 1), (4, 2), (5, 3), (6, 4), (7, 5)], "document_id long, place int")
+    got = [(r.document_id, r.relevance) for r in search.hybrid([vector, words], docs, ["nation"]).orderBy("place").collect()]
+    fused = {1: 1 / 61, 2: 1 / 62, 3: 1 / 63 + 1 / 61, 4: 1 / 62, 5: 1 / 63, 6: 1 / 64, 7: 1 / 65}
+    low, span = 1 / 65, 1 / 63 + 1 / 61 - 1 / 65
+    want = {i: (f - low) / span + {4: 0.2, 5: 0.4, 7: 0.5}.get(i, 0) for i, f in fused.items()}
+    assert {i for i, _ in got} == set(want) and all(abs(x - want[i]) < 1e-5 for i, x in got)  # 8 was rejected
+    assert [i for i, _ in got][:2] == [3, 7]  # the only ones of high relevance
+    tied = spark.createDataFrame([(0, i, 0.6, "pending", "rule", 10, n) for i, n in ((1, 0.1), (2, 0.3), (3, 0.2))], "query_id int, document_id int, relevance double, review_status string, classification_source string, authority_score int, score double")
+    assert [r.document_id for r in search.trust_order(tied, "standard", F.desc("score")).orderBy("place").collect()] == [2, 3, 1]
