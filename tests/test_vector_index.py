@@ -52,6 +52,11 @@ def results(df):
     return out
 
 
+def broadcast_blocks(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [lines for lines in re.findall(r"BroadcastExchange.*\n.*(?:Project.*\n.*)?", plan) if "collect_list" in lines]
+
+
 def test_exact_search_is_brute_force(spark, data):
     index, x, rows, about, _ = data
     ids = [*range(0, 400, 20), 1500]
@@ -126,8 +131,7 @@ def test_blocks_do_not_go_through_the_driver(spark, data):
     probes = vi.staged(vi._probes(given, index, 0, 32, False), "probes")
     met = vi._scored(index.rows.join(about, "vec_id"), probes, 10, 0.18, DIM)
     assert met.count() > 0
-    plan = met._jdf.queryExecution().executedPlan().toString()
-    assert not [lines for lines in re.findall(r"BroadcastExchange.*\n.*(?:Project.*\n.*)?", plan) if "collect_list" in lines]
+    assert not broadcast_blocks(met)
 
 
 def test_same_questions_are_searched_once(spark, data, monkeypatch):
@@ -142,3 +146,18 @@ def test_same_questions_are_searched_once(spark, data, monkeypatch):
         for j in range(30):
             assert got[1000 * i + j] == exact(x, rows, x[i], 10, -1.0, lambda r, j=j: j % 3 or r[2] == "P3")
     assert got[8] == got[9] and len(got[8]) == 10
+
+
+def test_over_fetching_sends_no_blocks_through_the_driver(spark, small, monkeypatch):
+    from evidora.plans.catalogue import QUERIES
+
+    waves, scored = [], vi._scored
+
+    def watched(*a):
+        made = scored(*a)
+        waves.append(broadcast_blocks(made))
+        return made
+
+    monkeypatch.setattr(vi, "_scored", watched)
+    assert QUERIES["over_fetch"](spark, small).count() > 0
+    assert waves and not any(waves)
